@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
 from ledgerspark.functions.text import cents_as_amount, norm_key, strip_ws
-from ledgerspark.operators.skew import fits_broadcast, lookup_join
+from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,7 @@ class Rules:
     def with_size(self) -> Rules:
         if self.rows is not None:
             return self
-        known = self.df.limit(1).count() if fits_broadcast(self.df) else None
-        return self if known is None else Rules(self.df, self.high_cents, 1)
+        return replace(self, rows=BROADCAST_ROWS) if fits_broadcast(self.df) else self
 
 
 def rules_from_pairs(
@@ -89,27 +88,19 @@ def categorise(rows: DataFrame, rules: Rules) -> DataFrame:
 def rule_impact(rows: DataFrame, rules: Rules) -> DataFrame:
     """Input rows matched per rule, and how many of them meet the high-amount limit.
 
-    ``rows`` needs ``merchant_raw`` and ``cents``.  A rule matches by comparison key; an alias
-    made of punctuation only has an empty key and then matches by its exact stripped text.
-    Rows are first counted per distinct name, so the join sees one row per name.
+    ``rows`` needs ``merchant_raw`` and ``cents``.  Rows are counted per distinct name before
+    the join, so the join sees one row per name and rule.
     """
     per_name = (
         rows.select(
             norm_key("merchant_raw").alias("norm_key"),
-            F.when(norm_key("merchant_raw") == "", strip_ws("merchant_raw")).alias("exact"),
             (F.abs("cents") >= rules.high_cents).alias("high"),
         )
-        .groupBy("norm_key", "exact")
+        .groupBy("norm_key")
         .agg(F.count("*").alias("n"), F.count_if("high").alias("h"))
     )
-    keyed = rules.df.withColumn(
-        "exact", F.when(F.col("norm_key") == "", F.col("alias"))
-    )
-    same = (keyed["norm_key"] == per_name["norm_key"]) & keyed["exact"].eqNullSafe(
-        per_name["exact"]
-    )
-    return keyed.join(per_name, same, "left").select(
-        keyed["alias"],
+    return rules.df.join(per_name, "norm_key", "left").select(
+        "alias",
         "category",
         "origin",
         F.coalesce("n", F.lit(0)).alias("matched_rows"),
