@@ -109,7 +109,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 0, F.concat(F.lit("Here you go:\n```json\n"), answer, F.lit("\n```")))
         .when(k % 6 == 1, F.concat(F.lit("see [note] then "), answer, F.lit(" done [2]")))
         .when(k % 6 == 2, F.concat(F.lit('{"results": '), answer, F.lit("}")))
-        .when(k % 6 == 3, F.expr("substring(answer, 1, length(answer) - 20)"))
+        .when(k % 6 == 3, F.expr("substring(answer, 1, 30)"))
         .when(k % 6 == 4, F.lit("I cannot help [see policy] with that."))
         .otherwise(F.lit('[1, "two", {"vendor": "x"}, {"merchant": 7}]'))
     )

@@ -74,7 +74,7 @@ WITH t AS (
       'exact duplicate of ' || duplicate_of,
       'possible duplicate of ' || possible_of || '; retained for review',
       CASE WHEN abs(cents) >= 40000000 THEN 'high amount: absolute CAD >= 400,000' END],
-      x -> x IS NOT NULL) AS reasons,
+      lambda x: x IS NOT NULL) AS reasons,
     list_filter([CASE WHEN category = 'Uncategorised' THEN 'unmapped' END,
       CASE a_err WHEN 'missing amount' THEN 'missingamount'
         WHEN 'invalid amount or unsupported currency' THEN 'invalidamount' END,
@@ -82,7 +82,7 @@ WITH t AS (
         WHEN 'ambiguous date: slash order unspecified' THEN 'ambiguousdate' END,
       CASE WHEN duplicate_of IS NOT NULL THEN 'exactdup' END,
       CASE WHEN possible_of IS NOT NULL THEN 'possibledup' END,
-      CASE WHEN abs(cents) >= 40000000 THEN 'high' END], x -> x IS NOT NULL) AS keys
+      CASE WHEN abs(cents) >= 40000000 THEN 'high' END], lambda x: x IS NOT NULL) AS keys
   FROM r
 ), kept AS (SELECT * FROM rec WHERE status = 'clean')
 """
@@ -149,7 +149,7 @@ REVIEWED = """
   FROM acting GROUP BY row_id
 ), pre AS (
   SELECT rec.*, eff.*, CASE WHEN cat IS NULL THEN reasons
-    ELSE list_filter(reasons, x -> x <> 'unmapped merchant') END AS rest
+    ELSE list_filter(reasons, lambda x: x <> 'unmapped merchant') END AS rest
   FROM rec LEFT JOIN eff ON rec.id = eff.row_id
 ), rv AS (
   SELECT id, ord, k, merchant, invoice, bill_date, cents, seg, v,
@@ -167,7 +167,7 @@ REVIEWED = """
           AND (first_move IS NULL OR first_named < first_move)
         THEN {'s': first_named, 't': 'category edited by reviewer'} END,
       CASE WHEN cat = 'Uncategorised' THEN {'s': cat_seq, 't': 'unmapped merchant'} END],
-      x -> x IS NOT NULL)), x -> x.t)) AS reasons
+      lambda x: x IS NOT NULL)), lambda x: x.t)) AS reasons
   FROM pre
 ), rvk AS (
   SELECT *, len(reasons) > 0 OR decided IS NOT NULL AS queued FROM rv
@@ -276,7 +276,7 @@ _THREE = ["clean", "duplicate", "unparseable"]
 _FOUR = [*_THREE, "excluded"]
 
 _PAIR = """
-SELECT {link} AS original_id, a.id AS id, a.invoice AS invoice, a.bill_date AS bill_date,
+SELECT a.{link} AS original_id, a.id AS id, a.invoice AS invoice, a.bill_date AS bill_date,
   a.merchant AS merchant, a.cents AS cents, b.id IS NOT NULL AS original_found,
   b.invoice AS original_invoice, b.bill_date AS original_bill_date,
   b.merchant AS original_merchant, b.cents AS original_cents
@@ -467,6 +467,16 @@ FROM (SELECT count(DISTINCT merchant) AS n FROM rec WHERE v < 30)
                 decided="", now="count(*) FILTER (len(reasons) > 0)",
                 then="count(*) FILTER (new_flagged)"),
         ),
+        "preview_rules_reviewed": (
+            c + NEW_RULES + d
+            + ", moved AS (SELECT row_id, bool_or(action = 'category') AS cat FROM acting "
+            "WHERE action <> 'confirm' GROUP BY 1)",
+            _PREVIEW.format(
+                decided="AND cat IS NOT true",
+                now="count(*) FILTER (len(reasons) > 0 OR row_id IS NOT NULL)",
+                then="count(*) FILTER (new_flagged OR row_id IS NOT NULL)",
+            ).replace("FROM n2", "FROM n2 LEFT JOIN moved ON moved.row_id = n2.id"),
+        ),
         "rules_round_trip": (
             NEW_RULES,
             "SELECT new_category AS category, new_rule AS category_rule, count(*) AS rows FROM nr "
