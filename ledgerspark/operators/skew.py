@@ -33,8 +33,9 @@ def heavy_keys(df: DataFrame, key: Column, hot_rows: int = HOT_ROWS) -> list[int
         df.select(key.alias("_key"), (F.spark_partition_id() % SKETCH_MERGE_WIDTH).alias("_lane"))
         .groupBy("_lane")
         .agg(F.expr(f"approx_top_k_accumulate(_key, {TRACKED_KEYS})").alias("_sketch"))
+        # grouped by a constant: without a group, a partition that got no sketch would fail
+        .groupBy(F.lit(1))
         .agg(F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})").alias("_sketch"))
-        .filter(F.col("_sketch").isNotNull())
     )
     top = sketches.select(F.inline(F.expr(f"approx_top_k_estimate(_sketch, {TOP_KEYS})")))
     found = top.filter(F.col("item").isNotNull() & (F.col("count") >= hot_rows))

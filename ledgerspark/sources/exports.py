@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,32 +131,51 @@ def _decode(path: str, content: bytes) -> Iterator[Row]:
     raise ValueError("supported input files are .csv and .xlsx")
 
 
-_COLUMNS = [
-    "source_file", "file_ix", "sheet_ix", "source_sheet", "source_row", "vals", "kinds", "problem",
-]
+_ARROW = pa.schema(
+    [
+        ("source_file", pa.string()), ("file_ix", pa.int32()), ("sheet_ix", pa.int32()),
+        ("source_sheet", pa.string()), ("source_row", pa.int64()),
+        ("vals", pa.list_(pa.string())), ("kinds", pa.list_(pa.string())),
+        ("problem", pa.string()),
+    ]
+)
+
+
+def _batch(path: str, file_ix: int, rows: list[Row], problem: str | None = None) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+    n = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(values, field.type)
+            for values, field in zip(
+                [[path] * n, [file_ix] * n, *columns, [problem] * n], _ARROW
+            )
+        ],
+        schema=_ARROW,
+    )
 
 
-def _chunks(path: str, file_ix: int, content: bytes) -> Iterator[pd.DataFrame]:
-    batch = []
+def _chunks(path: str, file_ix: int, content: bytes) -> Iterator[pa.RecordBatch]:
+    rows: list[Row] = []
     try:
-        for sheet_ix, sheet, number, values, kinds in _decode(path, content):
-            batch.append((path, file_ix, sheet_ix, sheet, number, values, kinds, None))
-            if len(batch) == CHUNK_ROWS:
-                yield pd.DataFrame(batch, columns=_COLUMNS)
-                batch = []
+        for row in _decode(path, content):
+            rows.append(row)
+            if len(rows) == CHUNK_ROWS:
+                yield _batch(path, file_ix, rows)
+                rows = []
     except (ValueError, KeyError, AttributeError, TypeError, IndexError,
             ET.ParseError, zipfile.BadZipFile) as e:
         # a file that cannot be decoded becomes a reject row; nothing is dropped silently
         reason = str(e) or type(e).__name__
-        batch.append((path, file_ix, None, None, None, None, None, reason))
-    if batch:
-        yield pd.DataFrame(batch, columns=_COLUMNS)
+        yield _batch(path, file_ix, [(None, None, None, None, None)], reason)
+    if rows:
+        yield _batch(path, file_ix, rows)
 
 
-def _decode_files(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, file_ix, content in zip(frame["path"], frame["file_ix"], frame["content"]):
-            yield from _chunks(path, int(file_ix), content)
+def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, file_ix, content in zip(*(batch.column(i) for i in range(3))):
+            yield from _chunks(path.as_py(), file_ix.as_py(), content.as_py())
 
 
 # --- many files -----------------------------------------------------------------------------
@@ -187,11 +206,21 @@ def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     if len(files) <= BROADCAST_ROWS:
         places = F.broadcast(places)
     loaded = spark.read.format("binaryFile").load(files).select("path", "content")
-    return loaded.join(places, "path").select("path", "file_ix", "content").mapInPandas(
+    return loaded.join(places, "path").select("path", "file_ix", "content").mapInArrow(
         _decode_files, _CELL_SCHEMA
     )
 
 
+def stage_cells(cells: DataFrame, path: str) -> DataFrame:
+    """Write decoded cells once and read them from there.
+
+    Decoding is the expensive part of an import and its result is used several times; the
+    written table also splits large files over many tasks.
+    """
+    cells.write.mode("errorifexists").parquet(path)
+    return cells.sparkSession.read.parquet(path)
+
+
 def read_csv_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of CSV exports; other files are reported as rejects by ``map_headers``."""
     return read_exports(spark, paths)

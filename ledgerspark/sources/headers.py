@@ -50,10 +50,11 @@ class Intake:
 def numeric_cell_text(value: Column, kind: Column) -> Column:
     """Text of an amount cell: a number exact to the cent gets two decimals, others stay."""
     number = value.try_cast("decimal(38,18)")
-    exact = number == number.cast("decimal(38,2)")
+    rounded = number.cast("decimal(22,2)")
+    # compared at full scale; a mixed comparison would drop digits first
+    exact = number == rounded.cast("decimal(38,18)")
     return F.when(
-        (kind == "n") & F.coalesce(exact, F.lit(False)),
-        number.cast("decimal(38,2)").cast("string"),
+        (kind == "n") & F.coalesce(exact, F.lit(False)), rounded.cast("string")
     ).otherwise(text_or_empty(value))
 
 
@@ -98,21 +99,26 @@ def _word_columns() -> dict[str, Column]:
 
 
 def _per_sheet(cells: DataFrame, columns: dict[str, Column], is_header: Column) -> DataFrame:
-    """One line per sheet: its first header row, if any, and its extent."""
-    top = cells.withColumns({f"_{f}": c for f, c in columns.items()})
+    """One line per sheet: its first header row, if any, and its extent.
+
+    Only the first rows are searched; the extent is a plain hash aggregate over all rows.
+    """
+    names = [*SHEET, "source_file", "source_sheet"]
+    extent = cells.groupBy(*names).agg(
+        F.max("source_row").alias("last_row"), F.max(_any_filled(_cells())).alias("has_data")
+    )
+    top = cells.filter(F.col("source_row") <= S.HEADER_SCAN_ROWS).withColumns(
+        {f"_{f}": c for f, c in columns.items()}
+    )
     found = F.struct(
         F.col("source_row").alias("header_row"), F.col("vals").alias("header_vals"),
         *[F.col(f"_{f}") for f in columns],
     )
-    candidate = is_header & (F.col("source_row") <= S.HEADER_SCAN_ROWS)
-    return top.groupBy(*SHEET).agg(
-        F.first("source_file").alias("source_file"),
-        F.first("source_sheet").alias("source_sheet"),
-        F.min(F.when(candidate, F.struct("source_row", found.alias("h"))))["h"].alias("h"),
+    header = top.groupBy(*SHEET).agg(
+        F.min(F.when(is_header, found)).alias("h"),
         F.min_by("vals", "source_row").alias("first_vals"),
-        F.max("source_row").alias("last_row"),
-        F.max(_any_filled(_cells())).alias("has_data"),
     )
+    return extent.join(header, SHEET, "left")
 
 
 def _with_sheet(cells: DataFrame, sheets: DataFrame, *columns: Column) -> DataFrame:
@@ -186,25 +192,27 @@ def _map_strict(cells: DataFrame) -> Intake:
     data = _with_sheet(good, mapped, F.col("h")).filter(
         (F.col("source_row") > F.col("h.header_row")) & _any_filled(_cells())
     )
-    formula = F.array_contains(F.array_compact("kinds"), "f")
     # the header may be wider than the row; nothing lies outside then
+    width = F.size("h.header_vals")
     beyond = _any_filled(
-        F.slice(
-            _cells(), F.size("h.header_vals") + 1,
-            F.greatest(F.size("vals") - F.size("h.header_vals"), F.lit(0)),
-        )
+        F.slice(_cells(), width + 1, F.greatest(F.size("vals") - width, F.lit(0)))
+    )
+    judged = data.withColumn(
+        "reason",
+        F.when(F.array_contains(F.array_compact("kinds"), "f"), FORMULA).when(beyond, OUTSIDE),
     )
     at = {f: F.col(f"h._{f}")[0] for f in S.FIELDS}
     raw = {f: text_or_empty(F.get("vals", at[f])) for f in S.FIELDS}
     raw["amount"] = numeric_cell_text(F.get("vals", at["amount"]), F.get("kinds", at["amount"]))
     headers = F.array(*[F.get("h.header_vals", at[f]) for f in S.FIELDS])
-    rows = _source_rows(data.filter(~formula & ~beyond), _ident(), headers, raw)
+    rows = _source_rows(judged.filter(F.col("reason").isNull()), _ident(), headers, raw)
+    refused = sheets.withColumn(
+        "reason", F.when(F.col("h").isNull(), UNMAPPED).when(~unique, AMBIGUOUS)
+    )
     rejects = (
         _reject(cells.filter(F.col("problem").isNotNull()), F.col("problem"))
-        .unionByName(_reject(sheets.filter(F.col("h").isNull()), UNMAPPED, None))
-        .unionByName(_reject(sheets.filter(F.col("h").isNotNull() & ~unique), AMBIGUOUS, None))
-        .unionByName(_reject(data.filter(formula), FORMULA))
-        .unionByName(_reject(data.filter(~formula & beyond), OUTSIDE))
+        .unionByName(_reject(refused.filter("reason is not null"), F.col("reason"), None))
+        .unionByName(_reject(judged.filter("reason is not null"), F.col("reason")))
     )
     report = sheets.select(
         "source_file", "source_sheet", (F.col("h").isNotNull() & unique).alias("ok"),

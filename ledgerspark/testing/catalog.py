@@ -658,6 +658,7 @@ def q_check_all(s, sf):
 def q_csv_intake(s, sf):
     """Bills written as CSV exports in two layouts, read again and cleaned."""
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
+    cells = exports.stage_cells(cells, fx.work_folder(s))
     rows = headers.map_headers(cells).or_fail()
     return _flat(totals.reconcile(clean(rows, dirty_rules(s))))
 
