@@ -1,8 +1,8 @@
 """CSV and workbook exports as one table of cells.
 
-Files are listed and read by Spark (``binaryFile``); each file is decoded in the task that holds
-it, with the standard library.  Files are the unit of parallelism here, so this path is meant for
-many exports of ordinary size; a large table goes through ``source_rows_from_table`` instead.
+Files are listed and read by Spark.  A file of ordinary size (``binaryFile``) is decoded in the
+task that holds it, with the standard library.  A CSV file above ``SPLIT_BYTES`` is read as lines
+in splits, so one huge export is spread over many tasks.
 """
 
 import csv
@@ -11,16 +11,23 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import groupby, islice
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark import schema as S
 from ledgerspark.operators.skew import BROADCAST_ROWS
 
 CHUNK_ROWS = 10_000
+SPLIT_BYTES = 64 * 1024 * 1024
+CONTINUED = "a record of this large file continues on the next line; load the file as a table"
 DELIMITERS = [",", ";", "\t"]
 _CELL_SCHEMA = (
     "source_file string, file_ix int, sheet_ix int, source_sheet string, source_row bigint, "
@@ -38,23 +45,28 @@ def _names_all_fields(values: list[str]) -> bool:
     return all(found & set(aliases) for aliases in S.HEADER_ALIASES.values())
 
 
+def _mapped_records(lines: list[str], delimiter: str) -> list[list[str]] | None:
+    """All records, if one of the first names all four fields and the quoting is sound."""
+    try:
+        reader = csv.reader(lines, delimiter=delimiter, strict=True)
+        head = list(islice(reader, S.HEADER_SCAN_ROWS))
+        return head + list(reader) if any(map(_names_all_fields, head)) else None
+    except csv.Error:
+        return None
+
+
 def csv_rows(content: bytes) -> Iterator[Row]:
     """Records of a CSV export, with the first delimiter under which a header row is found."""
     csv.field_size_limit(2**31 - 1)
     lines = content.decode("utf-8-sig").splitlines(keepends=True)
-    fallback = None
-    for delimiter in DELIMITERS:
-        try:
-            records = list(csv.reader(lines, delimiter=delimiter, strict=True))
-        except csv.Error:
-            continue
-        if any(_names_all_fields(r) for r in records[: S.HEADER_SCAN_ROWS]):
-            break
-        fallback = fallback if fallback is not None else records
-    else:
-        records = fallback
+    tries = (_mapped_records(lines, d) for d in DELIMITERS)
+    records = next((r for r in tries if r is not None), None)
     if records is None:
-        raise ValueError("not readable as comma, semicolon or tab separated text")
+        # without a header row the file is still read, so that its rows can be reported
+        try:
+            records = list(csv.reader(lines, strict=True))
+        except csv.Error as e:
+            raise ValueError(f"not readable as delimited text: {e}") from e
     for number, values in enumerate(records, 1):
         yield 1, "CSV", number, values, ["s"] * len(values)
 
@@ -178,36 +190,145 @@ def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from _chunks(path.as_py(), file_ix.as_py(), content.as_py())
 
 
+# --- one large CSV file ---------------------------------------------------------------------
+
+
+def _line_records(lines: list[str], delimiter: str) -> Iterator[tuple[list | None, str | None]]:
+    """One ``(values, problem)`` per line; a line that is not a whole record is a problem."""
+    try:
+        records = list(csv.reader(lines, delimiter=delimiter, strict=True))
+    except csv.Error:
+        records = []
+    if len(records) == len(lines):
+        yield from ((r, None) for r in records)
+        return
+    for line in lines:
+        try:
+            yield next(csv.reader([line], delimiter=delimiter, strict=True)), None
+        except csv.Error:
+            yield None, CONTINUED
+
+
+def _decode_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(2**31 - 1)
+    for batch in batches:
+        rows = zip(*(column.to_pylist() for column in batch.columns))
+        for (path, file_ix, delimiter), part in groupby(rows, key=lambda r: r[:3]):
+            part = list(part)
+            numbers = [r[3] for r in part]
+            records = list(_line_records([r[4] for r in part], delimiter))
+            good = [
+                (1, "CSV", n, values, ["s"] * len(values))
+                for n, (values, problem) in zip(numbers, records)
+                if problem is None
+            ]
+            if good:
+                yield _batch(path, file_ix, good)
+            bad = [(1, "CSV", n, None, None) for n, (_, p) in zip(numbers, records) if p]
+            if bad:
+                yield _batch(path, file_ix, bad, CONTINUED)
+
+
+@F.pandas_udf(T.StringType())
+def _delimiter_of(heads: pd.Series) -> pd.Series:
+    picked = [[d for d in DELIMITERS if _mapped_records(list(h), d)] for h in heads]
+    return pd.Series([found[0] if found else DELIMITERS[0] for found in picked])
+
+
+def _read_large_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+    """Cells of large CSV files whose records are single lines.
+
+    Lines are numbered per split and splits are added up, so the record numbers are those of a
+    reader that goes through the whole file.
+    """
+    split = ["key", "start"]
+    lines = spark.read.text([path for path, _, _ in files]).select(
+        F.col("_metadata.file_path").alias("key"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    places = spark.createDataFrame(files, "path string, key string, file_ix int")
+    first = W.partitionBy("key").orderBy("place")
+    heads = (
+        lines.filter(F.col("start") == 0)
+        .withColumn("n", F.row_number().over(first))
+        .filter(F.col("n") <= S.HEADER_SCAN_ROWS)
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("head"))
+        .select(
+            "key",
+            _delimiter_of(
+                F.transform("head", lambda h: F.regexp_replace(h["value"], "^\ufeff", ""))
+            ).alias("delimiter"),
+        )
+    )
+    before = W.partitionBy("key").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy(split).agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(heads.join(places, "key"), "key")
+    )
+    inside = F.row_number().over(W.partitionBy(split).orderBy("place"))
+    numbered = (
+        lines.withColumn("row", inside).join(splits, split)
+        .withColumn("row", F.col("row") + F.col("before"))
+    )
+    text = F.when(F.col("row") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(
+        F.col("value")
+    )
+    return numbered.select(
+        "path", "file_ix", "delimiter", F.col("row").cast("bigint"), text
+    ).mapInArrow(_decode_lines, _CELL_SCHEMA)
+
+
 # --- many files -----------------------------------------------------------------------------
 
 
-def list_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """Files behind one glob (sorted) or several paths (in the given order)."""
+def list_files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str, int]]:
+    """``(path, key, bytes)`` of the files behind one glob (sorted) or several paths (in order).
+
+    Only the listing is collected, which Spark's driver holds anyway.
+    """
     found = []
     for path in [paths] if isinstance(paths, str) else paths:
-        listing = spark.read.format("binaryFile").load(path).select("path")
-        found += sorted(r["path"] for r in listing.collect())
+        listing = spark.read.format("binaryFile").load(path).select(
+            "path", F.col("_metadata.file_path").alias("key"), "length"
+        )
+        found += sorted(tuple(r) for r in listing.collect())
     return found
 
 
-def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_exports(
+    spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """Cells of many CSV and XLSX exports.
 
     Columns ``(source_file, file_ix, sheet_ix, source_sheet, source_row, vals, kinds,
     problem)``; a kind is ``s`` text, ``n`` number, ``f`` formula or null.  ``file_ix`` counts
-    the files in order.  The same file given twice is an error.
+    the files in order.  The same file given twice is an error.  CSV files above
+    ``split_bytes`` are read in splits and must have one record per line.
     """
     files = list_files(spark, paths)
-    if len(files) != len(set(files)):
+    if len(files) != len({f[0] for f in files}):
         raise ValueError("the same input file was supplied more than once")
-    places = spark.createDataFrame(
-        [(p, i) for i, p in enumerate(files, 1)], "path string, file_ix int"
-    )
+    small, large = [], []
+    for ix, (path, key, size) in enumerate(files, 1):
+        is_large = size > split_bytes and path.lower().endswith(".csv")
+        (large if is_large else small).append((path, key, ix))
+    parts = [_read_whole(spark, small)] if small else []
+    parts += [_read_large_csv(spark, large)] if large else []
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_whole(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+    places = spark.createDataFrame([(p, i) for p, _, i in files], "path string, file_ix int")
     if len(files) <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    loaded = spark.read.format("binaryFile").load(files).select("path", "content")
-    return loaded.join(places, "path").select("path", "file_ix", "content").mapInArrow(
-        _decode_files, _CELL_SCHEMA
+    loaded = spark.read.format("binaryFile").load([p for p, _, _ in files])
+    return (
+        loaded.select("path", "content").join(places, "path")
+        .select("path", "file_ix", "content").mapInArrow(_decode_files, _CELL_SCHEMA)
     )
 
 

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import rules, totals
+from ledgerspark.operators import checks, rules, totals
 from ledgerspark.plans import reports
 from ledgerspark.plans.clean import clean
 from ledgerspark.sources import exports, headers
@@ -271,3 +271,40 @@ def test_csv_decoder_reads_bytes():
     content = "﻿Invoice;Vendor;Date;Amount\n1;a;b;c\n".encode()
     assert [row[3] for row in exports.csv_rows(content)] == [PLAIN, ["1", "a", "b", "c"]]
     assert io.BytesIO(content).read() == content
+
+
+def _many_lines(n):
+    body = [[f"i{k}", f'v "{k % 7}", x', "2026-01-01", f"{k}.00"] for k in range(n)]
+    body[n // 2] = [""]
+    return [["title"], PLAIN, *body]
+
+
+def test_large_csv_is_read_in_splits(spark, tmp_path):
+    """Splits of a large file give the same cells as reading the file whole."""
+    big = write_csv(tmp_path / "big.csv", _many_lines(5000), ";", quoting=csv.QUOTE_ALL)
+    small = write_csv(tmp_path / "small.csv", [PLAIN, ["i", "v", "2026-01-01", "1.00"]])
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    columns = ["file_ix", "sheet_ix", "source_sheet", "source_row", "vals", "kinds", "problem"]
+    try:
+        spark.conf.set(name, "20000")
+        split = exports.read_exports(spark, [big, small], split_bytes=1000)
+        assert spark.read.text(big).rdd.getNumPartitions() > 1
+        whole = exports.read_exports(spark, [big, small])
+        assert checks.check_repeatable(
+            whole.select(columns), split.select(columns)
+        ).first()["ok"]
+        rows = headers.map_headers(split).or_fail()
+        assert rows.count() == 5000
+        assert rows.agg(F.max("source_row")).first()[0] == 5002
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_large_csv_with_records_over_lines_is_refused(spark, tmp_path):
+    path = write_csv(
+        tmp_path / "m.csv", [PLAIN, ["i", "a\nb", "2026-01-01", "1.00"], ["j", "v", "", ""]]
+    )
+    cells = exports.read_exports(spark, path, split_bytes=10)
+    with pytest.raises(ValueError, match="continues on the next line"):
+        headers.map_headers(cells).or_fail()
