@@ -332,16 +332,6 @@ def _read_whole(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataF
     )
 
 
-def stage_cells(cells: DataFrame, path: str) -> DataFrame:
-    """Write decoded cells once and read them from there.
-
-    Decoding is the expensive part of an import and its result is used several times; the
-    written table also splits large files over many tasks.
-    """
-    cells.write.mode("errorifexists").parquet(path)
-    return cells.sparkSession.read.parquet(path)
-
-
 def read_csv_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of CSV exports; other files are reported as rejects by ``map_headers``."""
     return read_exports(spark, paths)

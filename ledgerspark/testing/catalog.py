@@ -13,6 +13,7 @@ from ledgerspark.operators import dedupe, review, rules, suggest, totals, views
 from ledgerspark.plans import reports
 from ledgerspark.plans.clean import clean, parse_rows
 from ledgerspark.sinks import ledger as sinks
+from ledgerspark.sinks.staging import stage
 from ledgerspark.sources import documents, exports, headers
 from ledgerspark.sources.tables import repeated_order_keys
 from ledgerspark.testing import fixtures as fx
@@ -31,6 +32,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return clean(dirty_bills(spark, sf), dirty_rules(spark))
 
 
+def staged(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written once, for queries that use them more than once."""
+    return stage(records(spark, sf), fx.work_folder(spark))
+
+
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
     return review.apply_decisions(records(spark, sf), fx.decision_log(spark, sf))
 
@@ -178,18 +184,20 @@ def q_check_rule_snapshot(s, sf):
     )
 
 
-def q_preview_rules(s, sf):
+def _preview(s, sf, decisions=None):
     rows = dirty_bills(s, sf)
     old, new = dirty_rules(s), new_rules(s)
-    return review.preview_rules(clean(rows, old), clean(rows, new), rows, old, new)
+    now = stage(clean(rows, old), fx.work_folder(s))
+    then = stage(clean(rows, new), fx.work_folder(s))
+    return review.preview_rules(now, then, rows, old, new, decisions)
+
+
+def q_preview_rules(s, sf):
+    return _preview(s, sf)
 
 
 def q_preview_rules_reviewed(s, sf):
-    rows = dirty_bills(s, sf)
-    old, new = dirty_rules(s), new_rules(s)
-    return review.preview_rules(
-        clean(rows, old), clean(rows, new), rows, old, new, fx.decision_log(s, sf)
-    )
+    return _preview(s, sf, fx.decision_log(s, sf))
 
 
 def q_rules_round_trip(s, sf):
@@ -262,13 +270,13 @@ def q_change_counts(s, sf):
 
 
 def _log(s, sf):
-    base = records(s, sf)
+    base = staged(s, sf)
     made = review.reviewer_changes(base, fx.decision_log(s, sf))
     return ch.change_log(ch.build_changes(base), made)
 
 
 def q_reviewer_changes(s, sf):
-    made = review.reviewer_changes(records(s, sf), fx.decision_log(s, sf))
+    made = review.reviewer_changes(staged(s, sf), fx.decision_log(s, sf))
     return made.select("seq", "id", "field", "before", "after", "rule")
 
 
@@ -322,7 +330,7 @@ def q_category_totals(s, sf):
 
 
 def q_merchant_totals(s, sf):
-    out = totals.merchant_totals(kept(s, sf)).withColumn("share", F.round("share", 4))
+    out = totals.merchant_totals(totals.bills(staged(s, sf))).withColumn("share", F.round("share", 4))
     return _flat(out)
 
 
@@ -404,15 +412,15 @@ def q_page(s, sf):
 
 
 def q_duplicate_pairs(s, sf):
-    return _flat(views.duplicate_pairs(records(s, sf)))
+    return _flat(views.duplicate_pairs(staged(s, sf)))
 
 
 def q_duplicate_pairs_reviewed(s, sf):
-    return _flat(views.duplicate_pairs(reviewed(s, sf)))
+    return _flat(views.duplicate_pairs(stage(reviewed(s, sf), fx.work_folder(s))))
 
 
 def q_possible_duplicate_pairs(s, sf):
-    return _flat(views.possible_duplicate_pairs(records(s, sf)))
+    return _flat(views.possible_duplicate_pairs(staged(s, sf)))
 
 
 def q_ledger_diff(s, sf):
@@ -478,7 +486,7 @@ def q_decisions_from_bulk(s, sf):
 
 
 def q_bulk_then_replay(s, sf):
-    base = records(s, sf)
+    base = staged(s, sf)
     picked = views.filter_bills(base, reason="possibledup")
     d = review.decisions_from_bulk(picked, "duplicate", 1, AT, after=F.col("possible_of"))
     return _flat(totals.reconcile(review.apply_decisions(base, d), with_excluded=True))
@@ -505,11 +513,11 @@ def q_report_change_log(s, sf):
 
 
 def q_report_summary(s, sf):
-    return _flat(reports.report_summary(records(s, sf), HIGH_CENTS))
+    return _flat(reports.report_summary(staged(s, sf), HIGH_CENTS))
 
 
 def q_report_summary_reviewed(s, sf):
-    out = reports.report_summary(reviewed(s, sf), HIGH_CENTS, top_n=10)
+    out = reports.report_summary(stage(reviewed(s, sf), fx.work_folder(s)), HIGH_CENTS, top_n=10)
     return _flat(out).filter("section in (0, 2)")
 
 
@@ -563,7 +571,7 @@ def q_suggest(s, sf):
 
 def q_upsert_cache(s, sf):
     cache = fx.suggestion_cache(s, sf)
-    names = suggest.uncategorised_merchants(records(s, sf))
+    names = suggest.uncategorised_merchants(staged(s, sf))
     answers = suggest.latest_answers(
         suggest.suggest(names, _canned, batch=1)
         .filter("error is null")
@@ -594,7 +602,7 @@ def q_eval_misses(s, sf):
 
 
 def q_check_identity(s, sf):
-    return ck.check_identity(dirty_bills(s, sf), records(s, sf))
+    return ck.check_identity(dirty_bills(s, sf), staged(s, sf))
 
 
 def q_check_partition(s, sf):
@@ -602,16 +610,16 @@ def q_check_partition(s, sf):
 
 
 def q_check_amounts(s, sf):
-    return ck.check_amounts(dirty_bills(s, sf), records(s, sf))
+    return ck.check_amounts(dirty_bills(s, sf), staged(s, sf))
 
 
 def q_check_review_complete(s, sf):
-    r = records(s, sf)
+    r = staged(s, sf)
     return ck.check_review_complete(reports.report_needs_review(r), r)
 
 
 def q_check_changes_complete(s, sf):
-    r = records(s, sf)
+    r = staged(s, sf)
     return ck.check_changes_complete(ch.build_changes(r), r)
 
 
@@ -631,7 +639,7 @@ def q_check_repeatable(s, sf):
 
 
 def q_check_advisory(s, sf):
-    r, cache = records(s, sf), fx.suggestion_cache(s, sf)
+    r, cache = staged(s, sf), fx.suggestion_cache(s, sf)
     return ck.check_advisory(suggest.suggestions_report(r, cache), cache, r)
 
 
@@ -640,7 +648,7 @@ def q_check_cache(s, sf):
 
 
 def q_check_all(s, sf):
-    r = records(s, sf)
+    r = staged(s, sf)
     return ck.check_all(
         [
             ck.check_identity(dirty_bills(s, sf), r),
@@ -658,7 +666,7 @@ def q_check_all(s, sf):
 def q_csv_intake(s, sf):
     """Bills written as CSV exports in two layouts, read again and cleaned."""
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
-    cells = exports.stage_cells(cells, fx.work_folder(s))
+    cells = stage(cells, fx.work_folder(s))
     rows = headers.map_headers(cells).or_fail()
     return _flat(totals.reconcile(clean(rows, dirty_rules(s))))
 
@@ -674,14 +682,14 @@ def q_csv_intake_words(s, sf):
 def q_write_ledger(s, sf):
     """Ledger tables written and read again."""
     path = fx.work_folder(s)
-    r = records(s, sf)
+    r = staged(s, sf)
     sinks.write_ledger(path, r, ch.build_changes(r), dirty_rules(s), [sf])
     return _flat(s.read.parquet(f"{path}/reconciliation"))
 
 
 def q_write_reports(s, sf):
     path = fx.work_folder(s)
-    r = records(s, sf)
+    r = staged(s, sf)
     sinks.write_reports(
         path, {"bills": reports.report_bills(r), "duplicates": reports.report_duplicates(r)}
     )

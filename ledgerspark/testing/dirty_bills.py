@@ -49,15 +49,20 @@ def dirty_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit(0), F.when(k % 41 == 0, 1), F.when(k % 67 == 0, 2))
     )
     rows = true.withColumn("copy", F.explode(copies))
-    number = F.concat(
-        F.lit("INV-"), F.lpad(k.cast("string"), 8, "0"),
-        F.when(F.col("copy") == 2, "-COPY").otherwise(""),
+    # parts used several times below are computed once, in a step of their own
+    parts = rows.select(
+        "k", "dt", "c", "copy",
+        F.concat(
+            F.lit("INV-"), F.lpad(k.cast("string"), 8, "0"),
+            F.when(F.col("copy") == 2, "-COPY").otherwise(""),
+        ).alias("number"),
+        F.concat_ws(" ", "seg", F.lit("vendor"), "v").alias("name"),
+        F.format_number((F.abs("c") / 100).cast("decimal(18,2)"), 2).alias("grouped"),
     )
-    name = F.concat_ws(" ", "seg", F.lit("vendor"), "v")
-    grouped = F.format_number((F.abs("c") / 100).cast("decimal(18,2)"), 2)
+    number, name, grouped = F.col("number"), F.col("name"), F.col("grouped")
     plain = F.translate(grouped, ",", "")
     minus = F.when(F.col("c") < 0, "-").otherwise("")
-    return rows.select(
+    return parts.select(
         (k * 10 + F.col("copy")).alias("ord"),
         F.when(k % 5 == 0, F.concat(F.lit("  "), number, F.lit(" ")))
         .otherwise(number)

@@ -193,3 +193,21 @@ def test_views_and_pages(spark):
     assert views.filter_bills(records, q="SYNTHETIC").count() == 1
     assert views.duplicate_pairs(records).filter("original_found").count() == 3
     assert views.possible_duplicate_pairs(records).filter("original_found").count() == 2
+
+
+def test_generated_code_stays_small_enough_to_be_compiled(spark, sf_dir, capfd):
+    """The JVM never compiles methods above 8,000 bytes; parsing would then run interpreted."""
+    import re
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = {f: "o_orderpriority" for f in ("invoice", "merchant", "date", "amount")}
+    records = clean(
+        source_rows_from_table(orders, text, "o_orderkey"), rules.builtin_rules(spark), hot=[]
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        records.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capfd.readouterr().out)]
+    assert sizes and max(sizes) < 8000
