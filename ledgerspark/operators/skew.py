@@ -8,11 +8,11 @@ The sketch only decides which of two exact ways a key takes; it never changes a
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# the sketch keeps this many candidate keys; a key holding more than about 1/1200 of the rows
+# the sketch keeps this many candidate keys; a key holding more than about 1/4500 of the rows
 # is always among them
-TRACKED_KEYS = 4096
-TOP_KEYS = 1024
-SKETCH_MERGE_WIDTH = 64
+TRACKED_KEYS = 16_384
+TOP_KEYS = 4096
+SKETCH_MERGE_WIDTH = 256
 
 # a key is worth splitting only when it has at least this many rows
 HOT_ROWS = 100_000

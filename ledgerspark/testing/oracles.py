@@ -4,6 +4,8 @@ Everything is computed from true values: keys, dates, prices and segments.  The
 only ever produced (for the change log), never read.
 """
 
+from ledgerspark.schema import KEYWORDS
+
 BASE = """
 WITH t AS (
   SELECT o_orderkey AS k, n.copy, o_orderkey * 10 + n.copy AS ord, c_mktsegment AS seg,
@@ -233,21 +235,9 @@ NEW_RULES = """
 )
 """
 
-_KEYWORDS = [
-    ("supply|supplies|office|paper|stationer", "Supplies"),
-    (
-        "utility|hydro|electric|water|gas|power|energy|telecom|fibre|fiber|internet",
-        "Utilities",
-    ),
-    ("software|saas|cloud|app|hosting|licen", "Software"),
-    ("lease|rent|landlord|property|realty", "Rent"),
-    ("carrier|freight|courier|shipping|transport|logistic|delivery|haul", "Transport"),
-]
-
-
 def _keyword_case(column: str, value) -> str:
     parts = []
-    for words, category in _KEYWORDS:
+    for words, category in KEYWORDS:
         tests = " OR ".join(f"contains(lower({column}), '{w}')" for w in words.split("|"))
         parts.append(f"WHEN {tests} THEN '{value(words, category)}'")
     return "CASE " + " ".join(parts)

@@ -14,6 +14,7 @@ FIRST_ROW = 5
 
 def bills(seed: int = 42) -> list[list[str]]:
     draw = random.Random(seed)
+    # fixed values: the edge cases of the published sample
     special_date = {5: "", 17: "", 22: "2025-02-30", 31: "03/04/2025"}
     special_amount = {
         0: "(CAD 1,250.00)", 8: "", 29: "", 24: "CAD 12,34.00", 32: "USD 45.00", 40: "CAD 0.00",

@@ -10,7 +10,7 @@ from ledgerspark.plans.clean import clean
 from ledgerspark.sources import documents
 from tests import sample
 
-# the published evaluation set: merchant, expected category, kind
+# fixed values, the published evaluation set: merchant, expected category, kind
 LABELLED = [
     ("Northwind Office Supplies", "Supplies", "keyword"),
     ("Paperclip Stationers Ltd", "Supplies", "keyword"),
@@ -103,17 +103,16 @@ def test_bad_cache_is_refused(spark, tmp_path, damage):
 
 
 REPLIES = [
-    ('Here you go:\n```json\n[{"a": "b]"}]\n```', [{"a": "b]"}], None),
-    ('see [note] then [{"m": "say \\"hi\\" ]"}]', [{"m": 'say "hi" ]'}], None),
-    ('[{"m": "a \\" ] b"}]', [{"m": 'a " ] b'}], None),
-    ('Sure! {"results": [{"merchant": "A"}]}', [{"merchant": "A"}], None),
-    ('{"a": [1], "b": [2]}', [1], None),
-    ("I cannot help with that.", None, suggest.NO_ARRAY),
-    ("I cannot help [see policy] with that.", None, suggest.NO_ARRAY),
-    ("Categories are [Supplies, Utilities]; I will not guess.", None, suggest.NO_ARRAY),
-    ("Here it is: [oops", None, suggest.CUT_OFF),
-    ('[ {"merchant": "A", "reason": "x"}, {"merchant": "B", "category": "Suppl', None,
-     suggest.CUT_OFF),
+    ('My answer:\n```json\n[{"merchant": "Oak [1]"}]\n```\nBye', [{"merchant": "Oak [1]"}], None),
+    ('per [rule 3]: [{"merchant": "the \\"Inn\\" ]["}]', [{"merchant": 'the "Inn" ]['}], None),
+    ('{"answers": [{"merchant": "Elm"}], "n": 1}', [{"merchant": "Elm"}], None),
+    ('first [10, 20] and then [30]', [10, 20], None),
+    ('```[[1], "x"]```', [[1], "x"], None),
+    ("Sorry, no answer.", None, suggest.NO_ARRAY),
+    ("The list [to be decided] is empty.", None, suggest.NO_ARRAY),
+    ("[a] [b] [c, d]", None, suggest.NO_ARRAY),
+    ("So far: [1, 2,", None, suggest.CUT_OFF),
+    ('[{"merchant": "Elm", "category": "Rent"}, {"merchant": "As', None, suggest.CUT_OFF),
     ("", None, suggest.NO_ARRAY),
 ]
 
