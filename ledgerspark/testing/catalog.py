@@ -393,17 +393,17 @@ def q_filter_queue_decided(s, sf):
 
 
 def q_sort_bills(s, sf):
-    return _dates(views.sort_bills(kept(s, sf), "amount", "desc").limit(300)).select(
+    return _dates(views.sort_bills(kept(s, sf), "amount", "desc")).select(
         "id", "bill_date", "cents"
     )
 
 
 def q_sort_bills_unknown_first(s, sf):
-    return views.sort_bills(records(s, sf), "date", "asc").limit(100).select("id")
+    return views.sort_bills(records(s, sf), "date", "asc").select("id")
 
 
 def q_review_queue(s, sf):
-    return views.review_queue(reviewed(s, sf), "amount").limit(500).select("id")
+    return views.review_queue(reviewed(s, sf), "amount").select("id")
 
 
 def q_page(s, sf):

@@ -593,13 +593,13 @@ UNION ALL SELECT 'all', NULL, {_MONEY}, count(*) FROM kept
             rv, "SELECT id FROM rvk WHERE queued AND list_contains(reasons, 'invalid date')"),
         "filter_queue_decided": (rv, "SELECT id FROM rvk WHERE decided IS NOT NULL"),
         "sort_bills": (
-            "", "SELECT id, bill_date, cents FROM kept ORDER BY cents DESC, ord LIMIT 300"),
+            "", "SELECT id, bill_date, cents FROM kept ORDER BY cents DESC, ord"),
         "sort_bills_unknown_first": (
-            "", "SELECT id FROM rec ORDER BY bill_day NULLS FIRST, ord LIMIT 100"),
+            "", "SELECT id FROM rec ORDER BY bill_day NULLS FIRST, ord"),
         "review_queue": (
             rv,
             "SELECT id FROM rvk WHERE queued ORDER BY decided IS NOT NULL, "
-            "abs(coalesce(cents, -1)) DESC, ord LIMIT 500",
+            "abs(coalesce(cents, -1)) DESC, ord",
         ),
         "page": ("", "SELECT id FROM kept ORDER BY bill_day, ord LIMIT 200 OFFSET 600"),
         "duplicate_pairs": (

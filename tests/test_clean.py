@@ -190,6 +190,15 @@ def test_views_and_pages(spark):
     assert pages == [50, 50, 14, 0]
     assert views.sort_bills(records, "amount", "asc").first()["cents"] is None
     assert views.sort_bills(records, "src", "desc").first()["id"] == "3:45"
+    cents = [r["cents"] for r in views.sort_bills(records, "amount", "desc").collect()]
+    known = [c for c in cents if c is not None]
+    assert cents[: len(known)] == sorted(known, reverse=True)
+    undecided = records.withColumn("decided", F.lit(None).cast("string"))
+    sizes = [
+        abs(-1 if r["cents"] is None else r["cents"])
+        for r in views.review_queue(undecided, "amount").collect()
+    ]
+    assert len(sizes) == 39 and sizes == sorted(sizes, reverse=True)
     assert views.filter_bills(records, q="SYNTHETIC").count() == 1
     assert views.duplicate_pairs(records).filter("original_found").count() == 3
     assert views.possible_duplicate_pairs(records).filter("original_found").count() == 2
