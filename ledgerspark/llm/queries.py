@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import mixing, warc
+from ledgerspark.llm import mixing, phrase_index, token_files, warc
 from ledgerspark.llm.common import staged
 
 
@@ -26,10 +26,28 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return phrase_index.contamination(docs, items).drop("tag")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_files.write_sequences(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.read_documents(shards)
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_warc_zstd": op4_warc_zstd,
+        "op7_phrase_index": op7_phrase_index,
+        "op8_token_files": op8_token_files,
     }
 
 
@@ -109,5 +127,34 @@ FROM f
 """
 
 
+# Joins every run of document words to the windows as text.
+_PHRASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, array_to_string(w[s : s + 9], ' ') AS phrase, least(len(w), 10) AS n
+  FROM b, range(1, greatest(1, len(w) - 9) + 1) AS r(s) WHERE len(w) > 0),
+runs AS (
+  SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS phrase
+  FROM d, (SELECT DISTINCT n FROM win) AS l, range(1, len(w) - n + 2) AS r(s)),
+m AS (SELECT r.doc_id, r.s, r.n, win.item_id FROM runs r JOIN win USING (phrase, n)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, range(s, s + n) AS r(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op2_mix_sources": _MIX_SQL, "op4_warc_zstd": _WARC_SQL}
+    return {"op2_mix_sources": _MIX_SQL, "op4_warc_zstd": _WARC_SQL, "op7_phrase_index": _PHRASE_SQL}
