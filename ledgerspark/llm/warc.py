@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import file_system, shared_dir, staged
+from ledgerspark.llm.common import file_system, shared_dir, small, staged
 
 MIN_REVISIT = 100
 # the dictionary is trained on the first bytes of this many pages, those of smallest id hash
@@ -35,8 +35,6 @@ SAMPLE_PAGES = 256
 SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 32_768
 LEVEL = 3
-# rows that one archive gets on average; the range partitioning decides
-PAGES_PER_ARCHIVE = 4096
 
 # fixed values of the two public formats
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -61,10 +59,18 @@ class WarcError(ValueError):
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads; empty if there is too little to learn."""
+    # the ids first: sorting the payloads would send a sample of every task to the driver
+    ids = (
+        pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+        .select("page_id")
+        .orderBy(F.xxhash64("page_id"), "page_id")
+        .limit(SAMPLE_PAGES)
+        .collect()
+    )
     rows = (
-        pages.where(F.col("html").isNotNull())
-        .select(F.xxhash64("page_id").alias("h"), "page_id", F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("s"))
-        .orderBy("h", "page_id")
+        pages.where(F.col("page_id").isin([r["page_id"] for r in ids]) & F.col("html").isNotNull())
+        .select("page_id", F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("s"))
+        .orderBy("page_id", "s")
         .limit(SAMPLE_PAGES)
         .collect()
     )
@@ -81,15 +87,15 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    # only digests that occur twice are kept, so that the join carries few of them
-    firsts = (
+    # only digests that occur twice are kept; where they are few, no payload is shuffled
+    firsts = staged(
         bodies.where(F.octet_length("payload") >= MIN_REVISIT)
         .groupBy(F.col("digest").alias("_digest"))
         .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
     )
     later = F.col("page_id") > F.col("_first")
-    return bodies.join(firsts, F.col("digest") == F.col("_digest"), "left").select(
+    return bodies.join(small(firsts), F.col("digest") == F.col("_digest"), "left").select(
         "page_id", "url", "payload", "digest", F.when(later, F.col("_first")).alias("refers_to")
     )
 
@@ -195,6 +201,8 @@ def read_frames(stream) -> Iterator[bytes]:
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write the archives to the shared folder; returns ``path, records, bytes`` of each.
 
+    Each partition of the pages, as read, becomes an archive, so payloads are not moved.
+
     Files have names of their own per attempt, and only those of attempts that Spark committed
     are listed, so a task that is run again after a loss leaves no trace in the result.
     """
@@ -219,8 +227,6 @@ def write_archives(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [count], "bytes": [size]})
 
     rows = with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
-    parts = max(spark.sparkContext.defaultParallelism, -(-pages.select("page_id").count() // PAGES_PER_ARCHIVE))
-    rows = rows.repartition(parts, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id")
     return staged(rows.mapInArrow(write, MANIFEST)).withColumn("folder", F.lit(folder))
 
 
