@@ -1,9 +1,10 @@
 """Find test passages in training text with a positional inverted index.
 
-The index holds postings ``(term, document, position)``.  A test phrase is looked up from its
-rarest term: the postings of that term, shifted by the term's offset, give the places where the
-phrase could start.  Each place is then intersected with the offset-adjusted postings of all other
-terms of the phrase; a place that every list confirms is a match.
+The index holds postings ``(term, document, position)``.  A window of consecutive item words is
+looked up from its rarest term: the postings of that term, shifted by the term's place in the
+item, give the places where the item could lie in a document.  Each place is intersected with the
+offset-adjusted postings of all other terms of the item; runs of confirmed terms that are as long
+as a window are exact matches.
 
 Only postings of test terms are ever looked up, so only those are indexed, in two parts: those of
 the rarest terms for all documents (stored), and those of the other terms for the documents that
@@ -24,16 +25,18 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import small, staged
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# a word before letters are lower-cased
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 # a document is its id and a hash of its text, so that rows repeating an id stay apart
 KEY = ["doc_id", "tag"]
 
 
-def words(text: Column) -> Column:
-    """The words of a text; a null text has none."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_remove(F.split(lower, SEPARATORS, -1), "")
+def lowered(term: Column) -> Column:
+    """A-Z in lower case, other letters as they are; most terms need no change."""
+    ascii_lower = F.translate(term, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.lower(term) != term, ascii_lower).otherwise(term)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,41 +47,48 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tag, pos, term)``: every word of every document."""
-    return docs.select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    """``(doc_id, tag, pos, term)``: every word of every document.
 
+    Positions count from a document's first separator or word, whichever comes first; only their
+    differences matter.
+    """
+    split = docs.select(*KEY, F.posexplode(F.split("text", SEPARATORS, -1)).alias("pos", "_w"))
+    return split.select(*KEY, "pos", lowered(F.col("_w")).alias("term"))
 
-def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item_id, phrase, terms)``: each run of ``window`` words; a shorter item is one run."""
-    ws = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
-    runs = ws.withColumn("_s", F.explode(starts)).select(
-        "item_id", F.slice("w", F.col("_s"), F.lit(window)).alias("terms")
-    )
-    # words contain no space, so the joined words name the phrase without doubt
-    return runs.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms").dropDuplicates(["item_id", "phrase"])
+
+def item_texts(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item_id, body, terms)``: the words of each item that has any; ``body`` names them."""
+    lower = F.translate(F.col(text_col).cast("string"), string.ascii_uppercase, string.ascii_lowercase)
+    terms = F.array_remove(F.split(lower, SEPARATORS, -1), "")
+    rows = items.select(F.col(id_col).alias("item_id"), terms.alias("terms")).where(F.size("terms") > 0)
+    return rows.select("item_id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("body"), "terms")
 
 
-def phrase_terms(windows: DataFrame) -> DataFrame:
-    """``(phrase, n_terms, off, term)`` of the distinct phrases."""
-    return windows.dropDuplicates(["phrase"]).select(
-        "phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("off", "term")
+def body_terms(texts: DataFrame) -> DataFrame:
+    """``(body, n_terms, off, term)`` of the distinct item texts."""
+    bodies = texts.select("body", "terms").dropDuplicates(["body"])
+    return bodies.select(
+        F.col("body"), F.size("terms").alias("n_terms"), F.posexplode("terms").alias("off", "term")
     )
 
 
-def rarest_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(phrase, n_terms, off, term)``: one rarest term of each phrase whose terms all occur.
+def rarest_terms(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+    """``(body, n_terms, off, term)``: a rarest term of each window whose terms all occur.
 
-    Frequencies are counted over all documents.
+    Frequencies are counted over all documents.  A window is ``window`` words; a shorter item is
+    one window.
     """
     vocabulary = small(terms.select("term").distinct())
     counts = tokens(docs).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = terms.join(counts, "term", "left")
+    size = F.least(F.col("n_terms"), F.lit(window))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("off") - size + 1), F.least(F.col("off"), F.col("n_terms") - size))
+    known = terms.join(counts, "term", "left").withColumn("start", F.explode(starts))
     return (
-        known.groupBy("phrase", "n_terms")
+        known.groupBy("body", "n_terms", "start")
         .agg(F.min(F.struct("n", "off", "term")).alias("best"), F.min(F.col("n").isNotNull()).alias("all"))
         .where("all")
-        .select("phrase", "n_terms", "best.off", "best.term")
+        .select("body", "n_terms", "best.off", "best.term")
+        .distinct()
     )
 
 
@@ -87,54 +97,60 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens(docs).join(small(terms.select("term").distinct()), "term").select("term", *KEY, "pos")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(doc_id, tag, phrase, n_terms, start)``: all places of all phrases in ``keyed`` documents."""
-    terms = staged(phrase_terms(windows))
-    probes = staged(rarest_terms(docs, terms))
+def phrase_matches(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, tag, body, start, n)``: the longest runs of item words in ``keyed`` documents.
+
+    A run starts at word ``start`` and has at least ``window`` words or is the whole of a shorter
+    item; ``terms`` comes from ``body_terms``.
+    """
+    probes = staged(rarest_terms(docs, terms, window))
     rare = staged(postings(docs, probes))
-    starts = F.col("pos") - F.col("off")
-    places = staged(
-        rare.join(small(probes), "term").select(*KEY, "phrase", "n_terms", starts.alias("start")).where("start >= 0").distinct()
-    )
+    place = (F.col("pos") - F.col("off")).alias("place")
+    places = staged(rare.join(small(probes), "term").select(*KEY, "body", place).distinct())
     left = places.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
-    lists = postings(docs.join(small(left), same, "left_semi"), terms).distinct()
-    wanted = places.join(small(terms.drop("n_terms")), "phrase").select(
-        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "phrase", "n_terms", "start",
-        F.col("term").alias("_term"), (F.col("start") + F.col("off")).alias("_pos"),
+    lists = postings(docs.join(small(left), same, "left_semi"), terms)
+    wanted = places.join(small(terms), "body").select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "body", "place", "n_terms", "off",
+        F.col("term").alias("_term"), (F.col("place") + F.col("off")).alias("_pos"),
     )
     met = (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos"))
-    return (
+    found = (
         wanted.join(lists, same & met)
-        .groupBy(*KEY, "phrase", "n_terms", "start")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .where("found = n_terms")
-        .drop("found")
+        .groupBy(*KEY, "body", "place", "n_terms")
+        .agg(F.sort_array(F.collect_set("off")).alias("offs"))
+        .where(F.size("offs") >= F.least("n_terms", F.lit(window)))
+        .select(*KEY, "body", "place", "n_terms", F.posexplode("offs").alias("i", "off"))
+    )
+    return (
+        found.groupBy(*KEY, "body", "place", "n_terms", (F.col("off") - F.col("i")).alias("run"))
+        .agg(F.min("off").alias("first"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= F.least("n_terms", F.lit(window)))
+        .select(*KEY, "body", (F.col("place") + F.col("first")).alias("start"), "n")
     )
 
 
-def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
-    """``(doc_id, tag, phrase, pos)``: places of a phrase's rarest term that have every other term
-    of the phrase, in any order, at most ``n_terms - 1 + slop`` words away."""
-    terms = staged(phrase_terms(windows))
-    probes = staged(rarest_terms(docs, terms))
-    places = staged(postings(docs, probes).join(small(probes), "term").select(*KEY, "phrase", "n_terms", "pos").distinct())
-    wanted = places.join(small(terms.select("phrase", "term").distinct()), "phrase").select(
-        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "phrase", "n_terms",
+def proximity_matches(docs: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
+    """``(doc_id, tag, body, pos)``: places of an item's rarest term that have every other term
+    of the item, in any order, at most ``n_terms - 1 + slop`` words away."""
+    probes = staged(rarest_terms(docs, terms, 1 << 30))
+    places = staged(postings(docs, probes).join(small(probes), "term").select(*KEY, "body", "n_terms", "pos").distinct())
+    wanted = places.join(small(terms.select("body", "term").distinct()), "body").select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "body", "n_terms",
         F.col("term").alias("_term"), F.col("pos").alias("_at"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
     near = F.abs(F.col("pos") - F.col("_at")) <= F.col("n_terms") - 1 + slop
-    distinct = terms.groupBy("phrase").agg(F.count_distinct("term").alias("n_distinct"))
+    distinct = terms.groupBy("body").agg(F.count_distinct("term").alias("n_distinct"))
     left = places.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     lists = postings(docs.join(small(left), same, "left_semi"), terms)
     return (
         wanted.join(lists, same & (F.col("term") == F.col("_term")) & near)
-        .groupBy(*KEY, "phrase", F.col("_at").alias("pos"))
+        .groupBy(*KEY, "body", F.col("_at").alias("pos"))
         .agg(F.count_distinct("term").alias("found"))
-        .join(small(distinct), "phrase")
+        .join(small(distinct), "body")
         .where("found = n_distinct")
-        .select(*KEY, "phrase", "pos")
+        .select(*KEY, "body", "pos")
     )
 
 
@@ -144,15 +160,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     ``n_hit`` counts the words inside any place of any of the items' windows; ``items_sha256`` is
     over the ids of the items found, sorted as strings and joined by commas.
     """
-    docs, windows = keyed(docs), staged(item_windows(items, window))
-    matches = staged(phrase_matches(docs, windows))
+    docs, texts = keyed(docs), staged(item_texts(items))
+    matches = staged(phrase_matches(docs, staged(body_terms(texts)), window))
     covered = matches.select(
-        *KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("pos")
+        *KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")
     )
     hit = covered.groupBy(*KEY).agg(F.count_distinct("pos").alias("n_hit"))
     found = (
-        matches.select(*KEY, "phrase").distinct()
-        .join(small(windows.select("item_id", "phrase")), "phrase")
+        matches.select(*KEY, "body").distinct()
+        .join(small(texts.select("item_id", "body")), "body")
         .where(F.col("item_id").isNotNull())
         .select(*KEY, F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy(*KEY)
@@ -160,8 +176,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
     of = lambda df, a: df.withColumnsRenamed({"doc_id": f"{a}_id", "tag": f"{a}_tag"})
     met = lambda a: F.col("doc_id").eqNullSafe(F.col(f"{a}_id")) & (F.col("tag") == F.col(f"{a}_tag"))
-    counted = docs.select(*KEY, F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
-    counted = counted.withColumn("n_words", F.greatest("n_words", F.lit(0).cast("long")))
+    counted = docs.select(*KEY, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     rows = counted.join(of(hit, "h"), met("h"), "left").join(of(found, "f"), met("f"), "left")
     n_hit, n_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("n_items", F.lit(0).cast("long"))
     return rows.select(
