@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import mixing, phrase_index, token_files, warc
+from ledgerspark.llm import hilbert_search, mixing, phrase_index, token_files, warc
 from ledgerspark.llm.common import staged
 
 
@@ -26,6 +26,10 @@ def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return phrase_index.contamination(docs, items).drop("tag")
@@ -46,6 +50,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_warc_zstd": op4_warc_zstd,
+        "op5_hilbert_search": op5_hilbert_search,
         "op7_phrase_index": op7_phrase_index,
         "op8_token_files": op8_token_files,
     }
