@@ -8,9 +8,9 @@ All batches of a file have the same size in bytes, so sequence ``i`` lies at a c
 ``SequenceFile`` returns it from the memory map without copying or reading anything else.
 A second stream beside it lists the shard's documents.
 
-Texts are split at spaces, each distinct piece is encoded once per batch, and the ids are put
-together by array gathers; the tokenizer drops white space and never joins text across it, so the
-ids are those of the whole text (tests compare them).
+Texts are split at spaces, pieces not seen lately are encoded, and the ids are put together by
+array gathers; the tokenizer drops white space and never joins text across it or across the end of
+a word, so the ids are those of the whole text (tests compare them).
 
 Defined cases: a null text is empty and has only the end id; a null document id comes first; rows
 that repeat an id are in the order of their texts; an empty table gives no files and no rows.
@@ -23,6 +23,7 @@ import itertools
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ END_ID = 1
 LENGTH = 2048
 ROWS = 32  # sequences in a record batch
 DOCS_PER_SHARD = 4096
-KNOWN_PIECES = 1 << 17  # encoded pieces that a worker keeps
+KNOWN_PIECES = 3 << 18  # encoded pieces that a worker keeps
 MANIFEST = "path string, first_doc long, n_docs long, n_ids long"
 
 
@@ -52,16 +53,21 @@ def _tokenizer(path: str):
 def encode(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of ids of each text."""
     model, known = _tokenizer(tokenizer)
+    # fewer distinct pieces: the model lower-cases anyway (special tokens, which it looks for
+    # before that, are left alone), and closing punctuation after a letter is a piece of its own
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    texts = pc.replace_substring_regex(texts, r"([\pL])([.,;:!?]+)(\s|$)", r"\1 \2\3")
     pieces = pc.split_pattern(texts, " ")
     coded = pieces.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
     new = [x for x in names if x not in known]
-    fresh = {x: e.ids for x, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    codes = (array("I", e.ids).tobytes() for e in model.encode_batch_fast(new, add_special_tokens=False))
+    fresh = dict(zip(new, codes, strict=True))
     parts = [known[x] if x in known else fresh[x] for x in names]
     if len(known) < KNOWN_PIECES:
         known.update(itertools.islice(fresh.items(), KNOWN_PIECES - len(known)))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter(itertools.chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat = np.frombuffer(b"".join(parts), np.uint32)
     at = np.concatenate([[0], np.cumsum(sizes)])
     which = coded.indices.to_numpy()
     each = sizes[which]
