@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, mixing, phrase_index, token_files, warc
+from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, token_files, warc
 from ledgerspark.llm.common import staged
 
 
@@ -40,6 +40,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(shards)
 
 
+def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages_of(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hilbert_search": op5_hilbert_search,
         "op7_phrase_index": op7_phrase_index,
         "op8_token_files": op8_token_files,
+        "op9_string_kernel": op9_string_kernel,
     }
 
 
