@@ -1,10 +1,10 @@
 """Find test passages in training text with a positional inverted index.
 
 The index holds postings ``(term, document, position)``.  A window of consecutive item words is
-looked up from its rarest term: the postings of that term, shifted by the term's place in the
-item, give the places where the item could lie in a document.  Each place is intersected with the
-offset-adjusted postings of all other terms of the item; runs of confirmed terms that are as long
-as a window are exact matches.
+looked up from its rarest terms: the postings of the rarest, shifted by its place in the item, give
+the places where the item could lie in a document; they are intersected with the offset-adjusted
+postings of the second rarest, and what is left with those of all other terms of the item.  Runs
+of confirmed terms that are as long as a window are exact matches.
 
 Only postings of test terms are ever looked up, so only those are indexed, in two parts: those of
 the rarest terms for all documents (stored), and those of the other terms for the documents that
@@ -57,11 +57,12 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def item_texts(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item_id, body, terms)``: the words of each item that has any; ``body`` names them."""
+    """``(item_id, body, terms)``: the words of each item that has any; ``body`` is 60 bits of their digest."""
     lower = F.translate(F.col(text_col).cast("string"), string.ascii_uppercase, string.ascii_lowercase)
     terms = F.array_remove(F.split(lower, SEPARATORS, -1), "")
     rows = items.select(F.col(id_col).alias("item_id"), terms.alias("terms")).where(F.size("terms") > 0)
-    return rows.select("item_id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("body"), "terms")
+    digest = F.sha2(F.array_join("terms", " ").cast("binary"), 256)
+    return rows.select("item_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("body"), "terms")
 
 
 def body_terms(texts: DataFrame) -> DataFrame:
@@ -73,21 +74,25 @@ def body_terms(texts: DataFrame) -> DataFrame:
 
 
 def rarest_terms(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """``(body, n_terms, off, term)``: a rarest term of each window whose terms all occur.
+    """``(body, n_terms, off, term, off2, term2)``: the two rarest terms of each window.
 
-    Frequencies are counted over all documents.  A window is ``window`` words; a shorter item is
-    one window.
+    Windows with a term that never occurs are left out.  Frequencies are counted over all
+    documents.  A window is ``window`` words; a shorter item is one window, and a window of one
+    word names it twice.
     """
     vocabulary = small(terms.select("term").distinct())
     counts = tokens(docs).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     size = F.least(F.col("n_terms"), F.lit(window))
     starts = F.sequence(F.greatest(F.lit(0), F.col("off") - size + 1), F.least(F.col("off"), F.col("n_terms") - size))
     known = terms.join(counts, "term", "left").withColumn("start", F.explode(starts))
+    # the terms of one window: at most its size, so these lists are short
+    ranked = F.sort_array(F.collect_list(F.struct("n", "off", "term")))
     return (
         known.groupBy("body", "n_terms", "start")
-        .agg(F.min(F.struct("n", "off", "term")).alias("best"), F.min(F.col("n").isNotNull()).alias("all"))
+        .agg(ranked.alias("r"), F.min(F.col("n").isNotNull()).alias("all"))
         .where("all")
-        .select("body", "n_terms", "best.off", "best.term")
+        .select("body", "n_terms", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b"))
+        .select("body", "n_terms", "a.off", "a.term", F.col("b.off").alias("off2"), F.col("b.term").alias("term2"))
         .distinct()
     )
 
@@ -104,17 +109,21 @@ def phrase_matches(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> D
     item; ``terms`` comes from ``body_terms``.
     """
     probes = staged(rarest_terms(docs, terms, window))
-    rare = staged(postings(docs, probes))
-    place = (F.col("pos") - F.col("off")).alias("place")
-    places = staged(rare.join(small(probes), "term").select(*KEY, "body", place).distinct())
-    left = places.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    probe_terms = probes.select("term").union(probes.select("term2"))
+    rare = staged(postings(docs, probe_terms))
+    first = rare.join(small(probes), "term").select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "body", F.col("term2").alias("_term"),
+        (F.col("pos") - F.col("off")).alias("place"), (F.col("pos") + F.col("off2") - F.col("off")).alias("_pos"),
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    met = (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos"))
+    places = staged(first.join(rare, same & met).select(*KEY, "body", "place").distinct())
+    left = places.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     lists = postings(docs.join(small(left), same, "left_semi"), terms)
     wanted = places.join(small(terms), "body").select(
         F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "body", "place", "n_terms", "off",
         F.col("term").alias("_term"), (F.col("place") + F.col("off")).alias("_pos"),
     )
-    met = (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos"))
     found = (
         wanted.join(lists, same & met)
         .groupBy(*KEY, "body", "place", "n_terms")
