@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, token_files, warc
+from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, token_files, toxicity, warc
 from ledgerspark.llm.common import staged
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.toxic_scores(docs, toxicity.train(docs, labels))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = staged(mixing.word_sizes(_table(spark, sf_dir, "documents")))
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +57,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_compression_toxicity": op1_compression_toxicity,
         "op2_mix_sources": op2_mix_sources,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_hilbert_search": op5_hilbert_search,
