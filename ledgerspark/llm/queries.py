@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, token_files, toxicity, warc
+from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, pii, token_files, toxicity, warc
 from ledgerspark.llm.common import staged
 
 
@@ -35,6 +35,11 @@ def op5_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))
+
+
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return phrase_index.contamination(docs, items).drop("tag")
@@ -61,6 +66,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_hilbert_search": op5_hilbert_search,
+        "op6_boosted_pii": op6_boosted_pii,
         "op7_phrase_index": op7_phrase_index,
         "op8_token_files": op8_token_files,
         "op9_string_kernel": op9_string_kernel,
