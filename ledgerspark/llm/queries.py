@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, language, mixing, phrase_index, pii, token_files, toxicity, warc
+from ledgerspark.llm import hilbert_search, language, mixing, ngram_join, phrase_index, pii, token_files, toxicity, warc
 from ledgerspark.llm.common import staged
 
 
@@ -54,6 +54,10 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages_of(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -70,6 +74,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_phrase_index": op7_phrase_index,
         "op8_token_files": op8_token_files,
         "op9_string_kernel": op9_string_kernel,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
