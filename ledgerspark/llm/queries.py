@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, language, mixing, ngram_join, phrase_index, pii, token_files, toxicity, warc
+from ledgerspark.llm import hilbert_search, language, mixing, ngram_join, phrase_index, pii, suffix_dedup, token_files, toxicity, warc
 from ledgerspark.llm.common import staged
 
 
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(archives).select(
@@ -68,6 +72,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_toxicity": op1_compression_toxicity,
         "op2_mix_sources": op2_mix_sources,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_warc_zstd": op4_warc_zstd,
         "op5_hilbert_search": op5_hilbert_search,
         "op6_boosted_pii": op6_boosted_pii,
