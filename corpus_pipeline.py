@@ -1,11 +1,50 @@
-"""The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to all that the stage before kept.
+
+Every stage but the last returns the columns of ``documents``.  Defined cases are those of the
+operators; an empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import language, mixing, ngram_join, phrase_index, token_files
+from ledgerspark.llm.common import small, staged
+from ledgerspark.llm.queries import tokenizer_path
+
+# the best language must be likelier than all others together
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the model knows; without any to learn, keep all."""
+    model = language.train(docs)
+    if not model.languages:
+        return docs
+    judged = language.identify(docs, model)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
-from ledgerspark.llm import mixing
-from ledgerspark.llm.common import staged
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group; equal rows count once."""
+    groups = staged(ngram_join.near_duplicates(docs))
+    later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(small(staged(later)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # only rows that share their id can be equal; all others need no comparison
+    shared = staged(groups.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    alone = kept.join(small(shared), same, "left_anti")
+    return alone.union(kept.join(small(shared), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = phrase_index.contamination(docs, items).where("contaminated")
+    hit = staged(hit.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag"))
+    return docs.join(small(hit), same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +52,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token files and return what they hold of each document."""
+    return token_files.read_documents(token_files.write_sequences(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mix sources", mix_sources),
+    ("token files", write_tokens),
+]
 
-# language identification is a trained model and the last stage runs a tokenizer
+# the first stage is a trained model and the last one runs a tokenizer
 ORACLE_SQL = None
 
 
