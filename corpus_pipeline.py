@@ -22,20 +22,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs)
     if not model.languages:
         return docs
-    judged = language.identify(docs, model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language.identify(docs, model, "_lang_found", "_lang_score")
+    known = (F.col("_lang_found") != language.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)
+    return judged.where(known).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; equal rows count once."""
-    groups = staged(ngram_join.near_duplicates(docs))
-    later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small(staged(later)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    # only rows that share their id can be equal; all others need no comparison
-    shared = staged(groups.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    alone = kept.join(small(shared), same, "left_anti")
-    return alone.union(kept.join(small(shared), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Keep the document with the smallest id of each group; equal rows count once.
+
+    Texts without words are in no group and stay.
+    """
+    groups = staged(ngram_join.near_duplicates(docs).where("group is not null"))
+    row = F.struct("doc_id", "tag")
+    firsts = groups.groupBy(F.col("group").alias("_group")).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    many = groups.join(small(staged(firsts.where("_n > 1"))), F.col("group") == F.col("_group"))
+    later = staged(many.where(row > F.col("_first")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct())
+    equal = staged(many.where(row == F.col("_first")).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).count().where("count > 1"))
+    tag = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
+    kept = docs.join(small(later), same, "left_anti")
+    # a row that stands several times, text included; all others need no comparison
+    again = small(equal.select("_id", "_tag"))
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").union(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

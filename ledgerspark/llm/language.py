@@ -94,7 +94,7 @@ class Model:
 
 def training_sets(docs: DataFrame, per_class: int) -> list[tuple[str, np.ndarray]]:
     """Language and n-grams of the bounded sample; ids are chosen before texts are read."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
         rows.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
@@ -150,10 +150,10 @@ def train(docs: DataFrame, per_class: int = PER_CLASS, landmarks: int = LANDMARK
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of columns of these names."""
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score``, in place of columns of these names."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in (pred, score)]
     rows = docs.select(*names)
     # one field of the bounded model is sent once per worker; the text column gives the sizes
     text_at = names.index("text")
@@ -164,12 +164,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 found, scores = loaded.predict(part.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"]
+                    [*part.columns, pa.array(found, pa.string()), pa.array(scores)], [*names, pred, score]
                 )
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(list(rows.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(rows.schema.fields)).add(pred, StringType()).add(score, DoubleType())
     return rows.mapInArrow(predict, schema)
 
 

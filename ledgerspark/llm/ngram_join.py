@@ -10,8 +10,9 @@ step leaves out only pairs that cannot link:
 2. **Rare first.**  For what is left, shingles are counted and ordered from rare to frequent.  A
    unit needs 80 % shared shingles, and a pair meets in the rarest 20 % of both; the ranks of the
    shingle where it meets bound its overlap.  Widely shared passages come last in this order.
-3. **Leaders.**  Each prefix list first offers its smallest unit to all others: one candidate per
-   posting.  A large group of near copies becomes one component here without its pairs.
+3. **Leaders.**  Each prefix list first offers one unit, that of earliest rank, to all others: one
+   candidate per posting.  A large group of near copies becomes one component here without its
+   pairs.
 4. **The rest.**  Only lists that still hold several components offer the pairs across them that
    the rank bound allows, so the links of one component are never listed in full.
 
@@ -30,6 +31,7 @@ import hashlib
 import heapq
 import itertools
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -44,6 +46,7 @@ from ledgerspark.llm.components import components
 
 WORDS = 5
 PERCENT = 80
+SIEVE = 8  # a prefix must share one in so many of all shingles
 CHUNK = 64  # candidates that one search holds
 PAIRS_PER_TASK_GROUP = 512
 MU = 0.0085  # cost ratio of DivideSkip's choice of long lists
@@ -100,7 +103,7 @@ def need(n: int) -> int:
 
 def share(n: int) -> int:
     """Shared prefix shingles that the sieve asks for; grows with ``n``."""
-    return max(1, n // 20)
+    return max(1, n // SIEVE)
 
 
 def _unit(grams: np.ndarray) -> int | None:
@@ -113,20 +116,27 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def documents_with_prefixes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, unit, n, prefix)`` per row; ``unit`` is a digest of the set, null if it is empty."""
+    """``(doc_id, tag, unit, n, prefix)`` per row.
+
+    ``tag`` is crc32 of the text, ``unit`` a digest of the set and null if that is empty.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                sets = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                sets = shingle_sets(texts)
                 prefixes = [s[: max(0, len(s) - need(len(s)) + share(len(s)))] if len(s) else s for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([_unit(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(prefixes)],
-                    ["doc_id", "unit", "n", "prefix"],
+                    [
+                        part.column("doc_id"), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array([_unit(s) for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()), _lists(prefixes),
+                    ],
+                    ["doc_id", "tag", "unit", "n", "prefix"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(read, f"doc_id {kind}, unit long, n long, prefix array<long>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(read, f"doc_id {kind}, tag long, unit long, n long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -154,7 +164,7 @@ def sieve(rows: DataFrame) -> DataFrame:
     tokens = one.select("doc_id", "unit", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("token").alias("_token"))
     met = tokens.join(shared, F.col("token") == F.col("_token"), "left_semi").groupBy("doc_id", "unit", "n").agg(F.count(F.lit(1)).alias("met"))
-    return met.where(f"met >= greatest(1, {_need('n')} div 20)").select("doc_id", "unit")
+    return met.where(f"met >= greatest(1, {_need('n')} div {SIEVE})").select("doc_id", "unit")
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -178,8 +188,12 @@ _APART = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
 
 
 def leader_pairs(postings: DataFrame) -> DataFrame:
-    """``(query, unit)``: the smallest unit of each list with every other unit of it."""
-    first = F.min(F.struct("unit", "n", "i")).alias("f")
+    """``(query, unit)``: a leader of each list with every other unit of it.
+
+    The leader is the unit with the earliest rank: it has the fewest rarer shingles, as the text
+    that near copies were made from does, which each of its copies links to.
+    """
+    first = F.min(F.struct("i", "unit", "n")).alias("f")
     leaders = postings.groupBy(F.col("token").alias("_token")).agg(first, F.count(F.lit(1)).alias("_c")).where("_c > 1")
     leaders = leaders.select("_token", F.col("f.unit").alias("query"), F.col("f.n").alias("n2"), F.col("f.i").alias("i2"))
     met = postings.join(leaders, F.col("token") == F.col("_token")).where("unit != query").where(_ROOM).where(_APART)
@@ -189,13 +203,12 @@ def leader_pairs(postings: DataFrame) -> DataFrame:
 def cross_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
     """``(query, unit)``: pairs of a list in different components, with room to link.
 
-    ``found`` has the components so far.  In each list the component of the smallest unit is at
-    home; only what is not at home asks.  Of a pair with room, one has the meeting shingle in its
+    ``found`` has the components so far.  In each list the component of the leader is at home; only what is not at home asks.  Of a pair with room, one has the meeting shingle in its
     first ninth, so that lists of later ranks only, as common passages make, offer nothing.
     """
     of = found.select(F.col("node").alias("_node"), "component")
     known = postings.join(of, F.col("unit") == F.col("_node"), "left").withColumn("c", F.coalesce("component", "unit")).drop("_node", "component")
-    lists = known.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("unit", "c")).alias("f"), F.min("c").alias("_a"), F.max("c").alias("_b"))
+    lists = known.groupBy(F.col("token").alias("_token")).agg(F.min(F.struct("i", "unit", "c")).alias("f"), F.min("c").alias("_a"), F.max("c").alias("_b"))
     lists = lists.where("_a != _b").select("_token", F.col("f.c").alias("home"))
     mixed = staged(known.join(lists, F.col("token") == F.col("_token")).drop("_token"))
     asks = mixed.where("c != home").select(F.col("token").alias("_token"), F.col("unit").alias("query"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
@@ -268,7 +281,12 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    """Per row of ``docs``: ``doc_id, tag, n_shingles, component_id, group``.
+
+    ``component_id`` is the smallest id of the component; ``group`` is the component itself, which
+    also tells components apart that rows repeating an id give the same name (null if alone
+    because the text has no words).
+    """
     rows = staged(documents_with_prefixes(docs))
     likely = staged(sieve(rows))
     ids = small(likely.select(F.col("doc_id").alias("_id")).distinct())
@@ -280,11 +298,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = links(staged(cross_pairs(postings, components(near))), sets)
     groups = components(staged(near.union(rest)))
 
-    narrow = rows.select("doc_id", "unit", "n")
+    narrow = rows.select("doc_id", "tag", "unit", "n")
     first = narrow.where("unit is not null").groupBy("unit").agg(F.min("doc_id").alias("first"))
     named = groups.join(first, F.col("node") == F.col("unit")).select(F.col("unit").alias("_unit"), "component", "first")
     names = named.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("name"))
-    by_unit = named.join(names, F.col("component") == F.col("_c")).select("_unit", "name")
+    by_unit = named.join(names, F.col("component") == F.col("_c")).select("_unit", "component", "name")
     copied = narrow.where("unit is not null").groupBy(F.col("unit").alias("_copy")).agg(F.min("doc_id").alias("copy_first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     out = narrow.join(by_unit, F.col("unit") == F.col("_unit"), "left").join(copied, F.col("unit") == F.col("_copy"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "copy_first", "doc_id").alias("component_id"))
+    name = F.coalesce("name", "copy_first", "doc_id").alias("component_id")
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), name, F.coalesce("component", "unit").alias("group"))

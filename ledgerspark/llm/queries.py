@@ -59,7 +59,7 @@ def op9_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -143,7 +143,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int,
         .select(F.col("doc_id").alias("_id"), "label", "h")
     )
     # at most the two documented numbers of rows
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     found = rows.select("h", "_id", "label", F.substring("text", 1, LEARN_CHARS).alias("text")).collect()
     return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["h"], r["_id"], r["text"]))], totals
 
