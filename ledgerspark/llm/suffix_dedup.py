@@ -13,9 +13,11 @@ Sorting the suffixes of all positions is not affordable, so a sieve decides most
 2. A run whose anchor occurs once has no earlier match.  A run that equals an earlier run in
    anchor and bytes is repeated as a whole.  The first run of its kind, when the anchor also has
    other runs, is undecided.
-3. The windows of undecided runs are the suffixes that are sorted: range-partitioned by bytes and
-   position, so that a string repeated very often is spread over partitions too.  Each compares
-   with its predecessor; the first row of a partition with the last one of the partition before.
+3. The windows of undecided runs are the suffixes that are sorted.  Runs of one anchor meet in one
+   task, many anchors at a time, where the suffix array of their bytes is built.  The runs of an
+   anchor with more than ``GROUP`` different runs are range-partitioned by suffix and position
+   instead, so that they are spread over tasks wherever their bytes agree; the first row of a
+   partition compares with the last one of the partition before.
 
 The removed bytes are the union of the repeated windows.  Defined cases: a null text is empty;
 texts of less than ``LENGTH`` bytes lose nothing; a null id comes first; rows that repeat an id
@@ -27,11 +29,12 @@ overlap, so memory is bounded by the piece and the text itself.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from ledgerspark.llm.common import slices, small, staged
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 21
+GROUP = 128  # different runs of an anchor that one task may take
+RUNS_PER_TASK_GROUP = 2048
 
 _TABLE = np.random.default_rng(30).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = [np.uint64(int(x) | 1) for x in np.random.default_rng(31).integers(1, 2**63, 6, dtype=np.uint64)]
@@ -62,9 +67,8 @@ def gram_hashes(values: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def anchors(buffer: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def anchors(grams: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each window start, the place of the window's anchor (the leftmost on ties)."""
-    grams = gram_hashes(_TABLE[buffer])
     # 40 bits of the hash choose, the low bits carry the place
     best = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
     width, size = length - GRAM + 1, 1
@@ -76,8 +80,8 @@ def anchors(buffer: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return (best & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """The runs of a batch of texts: ``text`` index, ``lo``, ``hi`` (window starts), ``anchor``, ``body``.
+def runs(texts: list[bytes], length: int = LENGTH, bodies: bool = True) -> dict[str, np.ndarray]:
+    """The runs of a batch of texts: ``text`` index, ``lo``, ``hi`` (window starts), ``anchor`` and ``body``.
 
     The texts lie one after the other in a buffer; windows across texts are left out.
     """
@@ -87,7 +91,9 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
         return empty
     sizes = np.array([len(t) for t in texts])
     starts = np.cumsum(sizes) - sizes
-    at = anchors(buffer, length)
+    values = _TABLE[buffer]
+    grams = gram_hashes(values)
+    at = anchors(grams, length)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
     inside = np.arange(len(at)) + length <= (starts + sizes)[owner]
     change = (np.diff(at) != 0) | (np.diff(owner) != 0) | (np.diff(inside.astype(np.int8)) != 0)
@@ -97,8 +103,10 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
     lo, hi = first[keep], last[keep]
     if not len(lo):
         return empty
-    place = at[lo]
-    values = _TABLE[buffer]
+    place, text = at[lo], owner[lo]
+    found = {"text": text, "lo": lo - starts[text], "hi": hi - starts[text], "anchor": grams[place].view(np.int64)}
+    if not bodies:
+        return found
     # a prefix sum gives the hash of any range of bytes, whatever its place
     n = len(values)
     falling = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
@@ -106,12 +114,7 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
     rising = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
     body = (total[hi + length] - total[lo]) * rising[lo]
     shape = ((hi - lo) * 1024 + (place - lo)).astype(np.uint64)
-    grams = gram_hashes(values)
-    text = owner[lo]
-    return {
-        "text": text, "lo": lo - starts[text], "hi": hi - starts[text],
-        "anchor": grams[place].view(np.int64), "body": _mixed(body + shape * _FACTOR[0]).view(np.int64),
-    }
+    return found | {"body": _mixed(body + shape * _FACTOR[0]).view(np.int64)}
 
 
 def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -121,84 +124,166 @@ def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 
 KEY = ["doc_id", "tag"]
-_RUNS = "tag long, lo long, hi long, anchor long, body long"
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` with the text as UTF-8 bytes, empty where it is null."""
-    return docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    """``(doc_id, tag, text)`` with the text as UTF-8 bytes, empty where it is null.
+
+    ``tag`` is a hash of the text where rows repeat an id, and 0 elsewhere.
+    """
+    twice = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_id")
+    texts = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    met = texts.join(small(staged(twice.withColumn("_again", F.lit(True)))), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    tag = F.when(F.col("_again"), F.crc32("text")).otherwise(F.lit(0).cast("long"))
+    return met.select("doc_id", tag.alias("tag"), "text")
 
 
-def document_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, tag, lo, hi, anchor, body)`` of all documents; ``tag`` is a hash of the text."""
+def document_runs(texts: DataFrame, length: int = LENGTH, bodies: bool = True) -> DataFrame:
+    """``(doc_id, tag, span, anchor, body)`` of all documents; ``span`` is ``lo * 128 + hi - lo``.
+
+    Without ``bodies``, only ``anchor``.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE):
-                whole, ids = part.column("text").to_pylist(), part.column("doc_id")
+                whole = part.column("text").to_pylist()
                 if len(whole) == 1:
-                    held = [(0, at, piece) for at, piece in _pieces(whole[0], length)]
-                    groups = [[h] for h in held]
+                    groups = [[(0, at, piece)] for at, piece in _pieces(whole[0], length)]
                 else:
                     groups = [[(i, 0, t) for i, t in enumerate(whole)]]
-                tags = np.array([zlib.crc32(t) for t in whole], np.int64)
                 for group in groups:
-                    found = runs([piece for _, _, piece in group], length)
-                    which = np.array([i for i, _, _ in group])[found["text"]]
-                    shift = np.array([at for _, at, _ in group])[found["text"]]
+                    found = runs([piece for _, _, piece in group], length, bodies)
+                    anchor = pa.array(found["anchor"])
+                    if not bodies:
+                        yield pa.RecordBatch.from_arrays([anchor], ["anchor"])
+                        continue
+                    which = pa.array(np.array([i for i, _, _ in group])[found["text"]])
+                    lo = found["lo"] + np.array([at for _, at, _ in group])[found["text"]]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(which)), pa.array(tags[which]), pa.array(found["lo"] + shift), pa.array(found["hi"] + shift), pa.array(found["anchor"]), pa.array(found["body"])],
-                        [*KEY, "lo", "hi", "anchor", "body"],
+                        [part.column("doc_id").take(which), part.column("tag").take(which), pa.array(lo * 128 + found["hi"] - found["lo"]), anchor, pa.array(found["body"])],
+                        [*KEY, "span", "anchor", "body"],
                     )
 
-    return texts.mapInArrow(read, f"doc_id {kind}, {_RUNS}")
+    schema = f"doc_id {kind}, tag long, span long, anchor long, body long" if bodies else "anchor long"
+    return texts.mapInArrow(read, schema)
 
 
-def judge_runs(found: DataFrame) -> DataFrame:
-    """Runs of anchors that occur more than once, with ``state``: ``repeated`` or ``open``.
+def judge_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, tag, lo, hi, anchor, kinds, state)``: runs of anchors that occur more than once.
 
-    Runs that are decided as first and only are left out.
+    ``state`` is ``repeated`` or ``open``; runs that are decided as first and only are left out.
     """
-    many = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col("anchor").alias("_anchor"))
-    kept = staged(found.join(many, F.col("anchor") == F.col("_anchor"), "left_semi"))
-    place = F.struct(*KEY, "lo")
+    many = document_runs(texts, length, bodies=False).groupBy(F.col("anchor").alias("_anchor")).agg(F.count(F.lit(1)).alias("_c"))
+    many = many.where("_c > 1").select("_anchor")
+    kept = staged(document_runs(texts, length).join(many, F.col("anchor") == F.col("_anchor"), "left_semi"))
+    place = F.struct(*KEY, "span")
     firsts = kept.groupBy(F.col("anchor").alias("_anchor"), F.col("body").alias("_body")).agg(F.min(place).alias("_first"))
-    kinds = firsts.groupBy(F.col("_anchor").alias("_of")).agg(F.count(F.lit(1)).alias("_kinds"))
+    kinds = firsts.groupBy(F.col("_anchor").alias("_of")).agg(F.count(F.lit(1)).alias("kinds"))
     known = kept.join(firsts, (F.col("anchor") == F.col("_anchor")) & (F.col("body") == F.col("_body")))
     known = known.join(kinds, F.col("anchor") == F.col("_of"))
-    state = F.when(place > F.col("_first"), "repeated").when(F.col("_kinds") > 1, "open")
-    return known.select(*KEY, "lo", "hi", state.alias("state")).where("state is not null")
+    state = F.when(place > F.col("_first"), "repeated").when(F.col("kinds") > 1, "open")
+    lo, hi = F.expr("span div 128"), F.expr("span div 128 + span % 128")
+    return known.select(*KEY, lo.alias("lo"), hi.alias("hi"), "anchor", "kinds", state.alias("state")).where("state is not null")
 
 
-def _same(a: str) -> Column:
-    return F.col("doc_id").eqNullSafe(F.col(f"{a}_id")) & (F.col("tag") == F.col(f"{a}_tag"))
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
 
 
-def suffixes(texts: DataFrame, judged: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(suffix, doc_id, tag, at)``: the first ``length`` bytes at each window of the open runs."""
-    spans = judged.where("state = 'open'").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` with compressed bytes, which is what the joins shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                small_texts = pa.array([made.compress(t) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), small_texts], [*KEY, "text"])
+
+    return texts.select(*KEY, "text").mapInArrow(pack, texts.select(*KEY, "text").schema)
+
+
+def open_runs(texts: DataFrame, judged: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(anchor, kinds, doc_id, tag, lo, bytes)``: the open runs with the bytes of their windows."""
+    spans = judged.where("state = 'open'").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "anchor", "kinds")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    tagged = texts.withColumn("tag", F.crc32("text"))
-    rows = tagged.join(small(staged(spans)), _same("")).select(*KEY, "text", "spans")
+    rows = packed(texts).join(spans, _same()).select(*KEY, "text", "spans")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(len(batch)):
-                text = np.frombuffer(batch.column("text")[i].as_py(), np.uint8)
-                views = np.lib.stride_tricks.sliding_window_view(text, length)
+                text = unpack.decompress(batch.column("text")[i].as_py())
                 spans = batch.column("spans")[i].values
-                lo, hi = spans.field("lo").to_numpy(), spans.field("hi").to_numpy()
-                # a bounded number of windows at a time
-                for a in range(0, len(lo), 256):
-                    at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[a : a + 256], hi[a : a + 256], strict=True)])
-                    strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(at), [None, pa.py_buffer(views[at].tobytes())]).cast(pa.binary())
-                    again = batch.slice(i, 1)
-                    index = pa.array(np.zeros(len(at), np.int64))
-                    yield pa.RecordBatch.from_arrays([strings, again.column("doc_id").take(index), again.column("tag").take(index), pa.array(at)], ["suffix", *KEY, "at"])
+                lo, hi = (spans.field(x).to_numpy() for x in ("lo", "hi"))
+                parts = pa.array([text[a : b + length] for a, b in zip(lo, hi, strict=True)], pa.binary())
+                index = pa.array(np.full(len(lo), i))
+                yield pa.RecordBatch.from_arrays(
+                    [spans.field("anchor"), spans.field("kinds"), batch.column("doc_id").take(index), batch.column("tag").take(index), spans.field("lo"), parts],
+                    ["anchor", "kinds", *KEY, "lo", "bytes"],
+                )
+
+    return rows.mapInArrow(cut, f"anchor long, kinds long, doc_id {kind}, tag long, lo long, bytes binary")
+
 
-    return rows.mapInArrow(cut, f"suffix binary, doc_id {kind}, tag long, at long")
+def repeated_in_groups(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, tag, a, b)``: repeated bytes of open runs, from suffix arrays of whole anchors.
+
+    ``found`` has all open runs of each of its anchors.
+    """
+    groups = max(1, -(-found.count() // RUNS_PER_TASK_GROUP))
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def sort(table: pa.Table) -> pa.Table:
+        # document order; nulls come first, as in the order of the tables
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("tag", "ascending"), ("lo", "ascending")], null_placement="at_start"))
+        parts = table.column("bytes").to_pylist()
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        count = sizes - length + 1
+        run = np.repeat(np.arange(len(parts)), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(parts), np.uint8), length)
+        suffix = np.ascontiguousarray(views[starts[run] + step])
+        # the suffix array; a stable sort keeps equal suffixes in the order of their positions
+        order = np.argsort(suffix.view(f"V{length}").ravel(), kind="stable")
+        ordered = suffix[order]
+        hit = np.sort(order[1:][(ordered[1:] == ordered[:-1]).all(1)])
+        # hits next to each other in one run are one range
+        new = np.append(True, (np.diff(hit) != 1) | (np.diff(run[hit]) != 0))[: len(hit)]
+        first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+        base = table.column("lo").to_numpy()[run[first]]
+        index = pa.array(run[first])
+        return pa.table({
+            "doc_id": table.column("doc_id").take(index), "tag": table.column("tag").take(index),
+            "a": pa.array(base + step[first]), "b": pa.array(base + step[last] + length),
+        })
+
+    grouped = found.select(F.pmod(F.col("anchor"), F.lit(groups)).alias("g"), *KEY, "lo", "bytes").groupBy("g")
+    return grouped.applyInArrow(sort, f"doc_id {kind}, tag long, a long, b long")
+
+
+def suffixes(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(suffix, doc_id, tag, at)``: the first ``length`` bytes at each window of the open runs."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a bounded number of windows at a time
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                texts = part.column("bytes").to_pylist()
+                views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(t, np.uint8), length) for t in texts]
+                count = np.array([len(v) for v in views], np.int64)
+                index = pa.array(np.repeat(np.arange(len(texts)), count))
+                at = np.concatenate([lo + np.arange(n) for lo, n in zip(part.column("lo").to_numpy(), count, strict=True)])
+                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(at), [None, pa.py_buffer(b"".join(v.tobytes() for v in views))])
+                yield pa.RecordBatch.from_arrays([strings.cast(pa.binary()), part.column("doc_id").take(index), part.column("tag").take(index), pa.array(at)], ["suffix", *KEY, "at"])
+
+    return found.select(*KEY, "lo", "bytes").mapInArrow(cut, f"suffix binary, doc_id {kind}, tag long, at long")
 
 
 def repeated_suffixes(found: DataFrame) -> DataFrame:
@@ -245,20 +330,24 @@ def repeated_suffixes(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``, its bytes."""
     texts = documents(docs)
-    judged = staged(judge_runs(document_runs(texts, length)))
-    hits = repeated_suffixes(suffixes(texts, judged, length))
+    judged = staged(judge_runs(texts, length))
+    found = staged(open_runs(texts, judged, length))
+    grouped = repeated_in_groups(found.where(F.col("kinds") <= GROUP), length)
+    spread = repeated_suffixes(suffixes(found.where(F.col("kinds") > GROUP), length))
     whole = judged.where("state = 'repeated'").select(*KEY, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    single = hits.select(*KEY, F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    cover = whole.union(single).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
+    single = spread.select(*KEY, F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    cover = whole.union(grouped).union(single).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
     cover = cover.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "cover")
-    rows = texts.withColumn("tag", F.crc32("text")).join(cover, _same(""), "left").select("doc_id", "text", "cover")
+    rows = packed(texts).join(cover, _same(), "left").select("doc_id", "text", "cover")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE // 4):
                 out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-                for i, text in enumerate(part.column("text").to_pylist()):
+                for i, held in enumerate(part.column("text").to_pylist()):
+                    text = unpack.decompress(held)
                     kept, removed, spans, at = [], 0, 0, 0
                     cover = part.column("cover")[i]
                     if cover.is_valid:

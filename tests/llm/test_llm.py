@@ -110,7 +110,9 @@ def brute_repeats(rows, length):
     return sorted((out[r] for r in rows), key=repr)
 
 
-def test_repeats_against_brute_force(spark, odd):
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
+def test_repeats_against_brute_force(spark, odd, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 2: most anchors take the way of very frequent ones
     rng = random.Random(2)
     shared = [words(rng, 25) for _ in range(6)]
     rows = [(i, " ".join(rng.choice([words(rng, 8), rng.choice(shared)]) for _ in range(9))) for i in range(80)]
