@@ -63,15 +63,16 @@ def norm_key(c) -> Column:
 
 
 def _amount_value(text: Column) -> Column:
-    """Number inside an accepted amount text; null when it has more than 16 integer digits."""
-    return F.regexp_replace(text, "[^0-9.-]", "").try_cast("decimal(18,2)")
+    """Number inside an accepted amount text; null when it has more than 36 integer digits."""
+    return F.regexp_replace(text, "[^0-9.-]", "").try_cast("decimal(38,2)")
 
 
 def amount_cents(c) -> Column:
-    """Integer cents, or null where the text is not an accepted CAD amount."""
+    """Integer cents, or null where the text is not an accepted CAD amount or too large."""
     text = text_or_empty(c)
     value = _amount_value(text)
-    cents = (value * 100).cast("decimal(18,0)").cast("bigint")
+    # the digits without the point, so that no product can leave the range of a decimal
+    cents = F.translate(value.cast("string"), ".", "").try_cast("bigint")
     return F.when(text.rlike(_PLAIN), cents).when(text.rlike(_REFUND) & (value >= 0), -cents)
 
 
@@ -82,8 +83,10 @@ def amount_error(c, cents: Column | None = None) -> Column:
         (amount_cents(c) if cents is None else cents).isNull(),
         F.when(is_blank(text), S.R_MISSING_AMOUNT)
         .when(~text.rlike(_PLAIN) & ~text.rlike(_REFUND), S.R_INVALID_AMOUNT)
-        .when(_amount_value(text).isNull(), S.R_AMOUNT_RANGE)
-        .otherwise(S.R_SIGNS),
+        .when(
+            text.rlike(_REFUND) & (_amount_value(text) < 0), S.R_SIGNS
+        )
+        .otherwise(S.R_AMOUNT_RANGE),
     )
 
 

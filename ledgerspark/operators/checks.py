@@ -14,6 +14,7 @@ from ledgerspark.functions.text import amount_cents, cents_sum, norm_key
 from ledgerspark.operators.changes import build_changes
 from ledgerspark.operators.review import active_decisions
 from ledgerspark.operators.rules import Rules, check_rule_snapshot
+from ledgerspark.operators.suggest import suggestions_report
 
 
 def _text(*parts) -> Column:
@@ -80,7 +81,8 @@ def check_partition(records: DataFrame) -> DataFrame:
 
 def check_amounts(rows: DataFrame, records: DataFrame) -> DataFrame:
     """Cents of all groups equal the control total read again from the source text."""
-    by_group = records.agg(_zero_sum("cents").alias("cents"))
+    known = F.col("status").isin(S.STATUSES_WITH_REVIEW)
+    by_group = records.agg(_zero_sum(F.when(known, F.col("cents"))).alias("cents"))
     control = rows.select(amount_cents("amount_raw").alias("cents")).agg(_zero_sum("cents"))
     totals = by_group.withColumn("control", control.scalar())
     return _verdict(
@@ -138,14 +140,9 @@ def check_repeatable(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def check_advisory(report: DataFrame, cache: DataFrame, records: DataFrame) -> DataFrame:
-    """Suggestions repeat the cache, and no suggested merchant was categorised."""
-    keyed = report.withColumn("norm_key", norm_key("merchant"))
-    entry = cache.select("norm_key", F.col("category").alias("_c"), F.col("reason").alias("_r"))
-    wrong = keyed.join(entry, "norm_key", "left").agg(
-        F.count_if(
-            ~F.col("category").eqNullSafe(F.col("_c")) | ~F.col("reason").eqNullSafe(F.col("_r"))
-        ).alias("n")
-    )
+    """The report is the one that the cache gives, and no suggested merchant was categorised."""
+    given = suggestions_report(records, cache)
+    wrong = ledger_diff(report.select(given.columns), given).agg(_sum("copies").alias("n"))
     applied = (
         records.filter(F.col("category") != S.UNCATEGORISED).select("merchant").distinct()
         .join(report.select("merchant"), "merchant", "left_semi")

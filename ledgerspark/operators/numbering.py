@@ -1,48 +1,35 @@
 """Gap-free row numbers in processing order, without a global sort in one task.
 
-``ord`` already says where a row stands.  Rows are counted per block of source rows, the block
-counts are summed up, and rows are numbered inside their block.  A block holds at most
-``BLOCK_ROWS`` source rows, so no task sees more than that from one group.
+One range sort puts the rows in order over the shuffle partitions.  A row's number is its place in
+its partition plus the rows of the partitions before, of which there is one count per partition.
+Whatever the keys look like, no task gets more than its part of the rows.
 """
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 65_536
+# where a row stands: its file, sheet and row
+ORDER = ["ord.file_ix", "ord.sheet_ix", "ord.source_row"]
 
 
 def number_rows(df: DataFrame, tie: list[str], name: str = "n") -> DataFrame:
-    """Add ``name``: 1, 2, … by ``ord`` and then the ``tie`` columns."""
-    keys = ["_file", "_sheet", "_block"]
-    blocked = df.select(
-        "*",
-        F.col("ord.file_ix").alias("_file"),
-        F.col("ord.sheet_ix").alias("_sheet"),
-        F.floor(F.col("ord.source_row") / BLOCK_ROWS).alias("_block"),
-    )
-    sizes = blocked.groupBy(keys).agg(F.count("*").alias("_n"))
-    earlier = (W.unboundedPreceding, -1)
-    # one row per input file: the file list is the driver's own, so this one stays small
-    files = sizes.groupBy("_file").agg(F.sum("_n").alias("_fn")).select(
-        "_file", F.sum("_fn").over(W.orderBy("_file").rowsBetween(*earlier)).alias("_before")
-    )
-    starts = (
-        sizes.withColumn(
-            "_inside",
-            F.sum("_n").over(
-                W.partitionBy("_file").orderBy("_sheet", "_block").rowsBetween(*earlier)
-            ),
-        )
-        .join(files, "_file")
-        .select(
-            *keys,
-            (F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))).alias("_start"),
-        )
-    )
-    place = F.row_number().over(W.partitionBy(keys).orderBy("ord.source_row", *tie))
+    """Add ``name``: 1, 2, … by ``ord`` and then the ``tie`` columns, which must tell rows apart.
+
+    The sorted rows are kept, because their counts and their numbers must come from the same cut
+    into partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*ORDER, *tie]]
+    placed = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
+    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per partition
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
     return (
-        blocked.join(starts, keys)
-        .withColumn(name, F.col("_start") + place)
-        .drop(*keys, "_start")
+        placed.withColumn(name, place).join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
     )

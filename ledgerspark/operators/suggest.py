@@ -101,6 +101,7 @@ _FENCE = re.compile(r"```(?:json)?")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[\[\]]', re.S)
 _DECODER = json.JSONDecoder()
 NO_ARRAY = "no JSON array in the model reply"
+TOO_DEEP = "the JSON array in the model reply is nested too deeply"
 CUT_OFF = "the model reply opens a JSON array and never closes it"
 
 
@@ -122,11 +123,21 @@ def first_array(reply: str) -> tuple[list | None, str | None]:
     for bracket in re.finditer(r"\[", text):
         try:
             return _DECODER.raw_decode(text, bracket.start())[0], None
+        except RecursionError:
+            return None, TOO_DEEP
         except ValueError:
             cut_off = cut_off or not _closes(text, bracket.start())
     return None, CUT_OFF if cut_off else NO_ARRAY
 
 
+def _number(value) -> float | None:
+    """A number as float; one that no float can hold is none."""
+    try:
+        return float(value) if isinstance(value, (int, float)) else None
+    except OverflowError:
+        return None
+
+
 def _entry(item) -> dict | None:
     """Text fields of one answer, or None when it names no merchant."""
     if not isinstance(item, dict) or not isinstance(item.get("merchant"), str):
@@ -135,7 +146,7 @@ def _entry(item) -> dict | None:
     return {
         "merchant": item["merchant"],
         "category": category if isinstance(category, str) else None,
-        "confidence": float(confidence) if isinstance(confidence, (int, float)) else None,
+        "confidence": _number(confidence),
         "reason": str(item.get("reason", "")),
     }
 

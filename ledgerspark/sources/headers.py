@@ -294,10 +294,18 @@ def _map_fixed(cells: DataFrame, expected: list, header_row: int) -> Intake:
     wrong = found.filter(
         F.col("present") & ~F.coalesce(F.col("top") == F.col("wanted"), F.lit(False))
     )
-    data = good.join(layout, "source_sheet").filter(F.col("source_row") > header_row)
+    accepted = found.filter(F.coalesce(F.col("top") == F.col("wanted"), F.lit(False)))
+    data = (
+        good.join(layout, "source_sheet").filter(F.col("source_row") > header_row)
+        .join(accepted.select("file_ix", "source_sheet"), ["file_ix", "source_sheet"], "left_semi")
+    )
     bad = F.array_contains(F.array_compact("kinds"), "f") | (F.size("vals") > len(S.FIELDS))
     raw = {f: text_or_empty(F.get("vals", F.lit(i))) for i, f in enumerate(S.FIELDS)}
-    ident = F.concat_ws(":", "place", "source_row")
+    # the same sheet and row of another file is another bill
+    several = files.agg(F.count("*") > 1).scalar()
+    ident = F.when(several, F.concat_ws(":", "file_ix", "place", "source_row")).otherwise(
+        F.concat_ws(":", "place", "source_row")
+    )
     ordered = data.withColumn("sheet_ix", F.col("place"))
     rows = _source_rows(ordered.filter(~bad), ident, F.col("wanted"), raw)
     rejects = (

@@ -106,24 +106,29 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(', "reason": "see ]\\" [1] '), F.lpad(F.lit(""), 150, "x"), F.lit('"}]'),
     )
     reply = (
-        F.when(k % 6 == 0, F.concat(F.lit("Here you go:\n```json\n"), answer, F.lit("\n```")))
-        .when(k % 6 == 1, F.concat(F.lit("see [note] then "), answer, F.lit(" done [2]")))
+        F.when(k % 6 == 0, F.concat(F.lit("Result below.\n```json\n"), answer, F.lit("\n```")))
+        .when(k % 6 == 1, F.concat(F.lit("Per [guideline], "), answer, F.lit(" done [2]")))
         .when(k % 6 == 2, F.concat(F.lit('{"results": '), answer, F.lit("}")))
         .when(k % 6 == 3, F.expr("substring(answer, 1, 30)"))
-        .when(k % 6 == 4, F.lit("I cannot help [see policy] with that."))
+        .when(k % 6 == 4, F.lit("No answer is available [code 7]."))
         .otherwise(F.lit('[1, "two", {"vendor": "x"}, {"merchant": 7}]'))
     )
     return customer.withColumn("answer", answer).select(k.alias("batch_id"), reply.alias("reply"))
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder, or a temporary one where none is set."""
+    """A new folder in the folder that all machines share.
+
+    Only a local session, where all tasks see the same disk, may do without that setting.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="ledgerspark-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def csv_exports(spark: SparkSession, sf_dir: str, files: int = 4) -> list[str]:
+def csv_exports(spark: SparkSession, sf_dir: str) -> list[str]:
     """Write the messy bills as CSV exports in two layouts; returns their globs."""
     folder = work_folder(spark)
     rows = dirty_table(spark, sf_dir)
@@ -138,7 +143,7 @@ def csv_exports(spark: SparkSession, sf_dir: str, files: int = 4) -> list[str]:
     )
     for name, df, sep in [("plain", plain, ","), ("other", other, ";")]:
         (
-            df.repartition(files).write.option("header", True).option("sep", sep)
+            df.write.option("header", True).option("sep", sep)
             .option("quoteAll", True).option("emptyValue", "")
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(f"{folder}/{name}")

@@ -19,7 +19,8 @@ AMOUNTS = [
     ("(5.00", None, INVALID), ("٣.00", None, INVALID), ("CAD5", 500, None),
     ("cad 5", None, INVALID), (" 7.00 ", 700, None), ("5.00\n", 500, None),
     ("9999999999999999.99", 999999999999999999, None),
-    ("12345678901234567", None, S.R_AMOUNT_RANGE),
+    ("12345678901234567", 1234567890123456700, None), ("99999999999999999999", None, S.R_AMOUNT_RANGE),
+    ("9" * 60, None, S.R_AMOUNT_RANGE),
     ("-1,000.25", -100025, None), ("CAD 5.00", 500, None),
 ]
 
