@@ -1,8 +1,16 @@
 """CSV and workbook exports as one table of cells.
 
-Files are listed and read by Spark.  A file of ordinary size (``binaryFile``) is decoded in the
-task that holds it, with the standard library.  A CSV file above ``SPLIT_BYTES`` is read as lines
-in splits, so one huge export is spread over many tasks.
+Files are listed and read by Spark.  A workbook is decoded in the task that holds it.  CSV files of
+any size are read as lines, in splits, and cut into records in three steps:
+
+1. every split tells, for each delimiter and for both states in which it may be entered (between
+   records or inside quotes), how it is left and how many records start in it;
+2. these few numbers are chained along each file, which fixes the delimiter, the state and the
+   first record number of every split, or the reason why the file cannot be read;
+3. every split decodes the records that lie within it; the two ends that belong to a record across
+   splits are put together by record number.
+
+A record ends at a line feed, a carriage return or both; all other characters are content.
 """
 
 import csv
@@ -17,17 +25,14 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerspark import schema as S
-from ledgerspark.operators.skew import BROADCAST_ROWS
+from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast
 
 CHUNK_ROWS = 10_000
-SPLIT_BYTES = 64 * 1024 * 1024
-CONTINUED = "a record of this large file continues on the next line; load the file as a table"
 DELIMITERS = [",", ";", "\t"]
 _CELL_SCHEMA = (
     "source_file string, file_ix int, sheet_ix int, source_sheet string, source_row bigint, "
@@ -45,30 +50,17 @@ def _names_all_fields(values: list[str]) -> bool:
     return all(found & set(aliases) for aliases in S.HEADER_ALIASES.values())
 
 
-def _mapped_records(lines: list[str], delimiter: str) -> list[list[str]] | None:
-    """All records, if one of the first names all four fields and the quoting is sound."""
-    try:
-        reader = csv.reader(lines, delimiter=delimiter, strict=True)
-        head = list(islice(reader, S.HEADER_SCAN_ROWS))
-        return head + list(reader) if any(map(_names_all_fields, head)) else None
-    except csv.Error:
-        return None
+def _records(text: str, delimiter: str) -> Iterator[list[str]]:
+    return csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True)
 
 
-def csv_rows(content: bytes) -> Iterator[Row]:
-    """Records of a CSV export, with the first delimiter under which a header row is found."""
-    csv.field_size_limit(2**31 - 1)
-    lines = content.decode("utf-8-sig").splitlines(keepends=True)
-    tries = (_mapped_records(lines, d) for d in DELIMITERS)
-    records = next((r for r in tries if r is not None), None)
-    if records is None:
-        # without a header row the file is still read, so that its rows can be reported
-        try:
-            records = list(csv.reader(lines, strict=True))
-        except csv.Error as e:
-            raise ValueError(f"not readable as delimited text: {e}") from e
-    for number, values in enumerate(records, 1):
-        yield 1, "CSV", number, values, ["s"] * len(values)
+def _has_header(head: bytes, delimiter: str) -> bool:
+    """Whether one of the first records names all four fields."""
+    try:
+        first = islice(_records(head.decode("utf-8", "replace"), delimiter), S.HEADER_SCAN_ROWS)
+        return any(map(_names_all_fields, first))
+    except csv.Error:
+        return False
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -135,10 +127,7 @@ def workbook_rows(content: bytes) -> Iterator[Row]:
 
 
 def _decode(path: str, content: bytes) -> Iterator[Row]:
-    suffix = posixpath.splitext(path)[1].lower()
-    if suffix == ".csv":
-        return csv_rows(content)
-    if suffix == ".xlsx":
+    if posixpath.splitext(path)[1].lower() == ".xlsx":
         return workbook_rows(content)
     raise ValueError("supported input files are .csv and .xlsx")
 
@@ -190,96 +179,223 @@ def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from _chunks(path.as_py(), file_ix.as_py(), content.as_py())
 
 
-# --- one large CSV file ---------------------------------------------------------------------
-
-
-def _line_records(lines: list[str], delimiter: str) -> Iterator[tuple[list | None, str | None]]:
-    """One ``(values, problem)`` per line; a line that is not a whole record is a problem."""
+# --- CSV files in splits --------------------------------------------------------------------
+
+BETWEEN, INSIDE = 0, 1  # states at a line start: a record starts, or a quoted field goes on
+_QUOTE, _RETURN = ord('"'), ord("\r")
+BOM = b"\xef\xbb\xbf"
+# what a header row may take from the start of a file
+HEAD_BYTES = 1 << 20
+SPLIT = ["key", "start"]
+BAD_QUOTES = "not readable as delimited text: bad quoting"
+BAD_UTF8 = "not readable as delimited text: not UTF-8"
+
+
+def after_line(line: bytes, delimiter: int, state: int) -> tuple[int, int, int, bool]:
+    """State after a line, the number of records that start in it, the place of the last start,
+    and whether the quoting is sound."""
+    starts, last, at, n = int(state == BETWEEN), 0, 0, len(line)
+    if state == BETWEEN and _QUOTE not in line and _RETURN not in line:
+        return BETWEEN, 1, 0, True
+    if state == INSIDE and _QUOTE not in line:
+        return INSIDE, 0, 0, True
+    quoted = state == INSIDE
+    while True:
+        if not quoted and at < n and line[at] == _QUOTE:
+            quoted, at = True, at + 1
+        if quoted:
+            close = line.find(b'"', at)
+            if close < 0:
+                return INSIDE, starts, last, True
+            at = close + 1
+            if at < n and line[at] == _QUOTE:
+                at += 1
+                continue
+            quoted = False
+            if at < n and line[at] not in (delimiter, _RETURN):
+                return BETWEEN, starts, last, False
+        else:
+            ends = [x for x in (line.find(delimiter, at), line.find(b"\r", at)) if x >= 0]
+            at = min(ends, default=n)
+        if at >= n or (line[at] == _RETURN and at + 1 == n):
+            return BETWEEN, starts, last, True
+        if line[at] == _RETURN:
+            starts, last = starts + 1, at + 1
+        at += 1
+
+
+def _splits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """The lines of each split, in order; the columns before ``line`` name the split."""
+
+    def rows():
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            yield from zip(*columns, strict=True)
+
+    for name, group in groupby(rows(), key=lambda r: r[:-1]):
+        first = name[1] == 0
+
+        def lines(group=group, first=first):
+            for row in group:
+                line = row[-1]
+                if first:
+                    line, first = line.removeprefix(BOM), False
+                yield line
+
+        yield name, lines()
+
+
+def _summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (key, start), lines in _splits(batches):
+        states = [[d, s, 0, True] for d in map(ord, DELIMITERS) for s in (BETWEEN, INSIDE)]
+        head, utf8 = bytearray(), True
+        for line in lines:
+            if start == 0 and len(head) < HEAD_BYTES:
+                head += line + b"\n"
+            utf8 = utf8 and (line.isascii() or _is_utf8(line))
+            for way in states:
+                way[1], starts, _, sound = after_line(line, way[0], way[1])
+                way[2] += starts
+                way[3] = way[3] and sound
+        yield pa.RecordBatch.from_pydict({
+            "key": [key], "start": [start], "utf8": [utf8], "head": pa.array([bytes(head)], pa.binary()),
+            "ends": pa.array([[w[1] for w in states]], pa.list_(pa.int32())),
+            "starts": pa.array([[w[2] for w in states]], pa.list_(pa.int64())),
+            "sound": [[w[3] for w in states]],
+        })
+
+
+def _is_utf8(line: bytes) -> bool:
     try:
-        records = list(csv.reader(lines, delimiter=delimiter, strict=True))
-    except csv.Error:
-        records = []
-    if len(records) == len(lines):
-        yield from ((r, None) for r in records)
-        return
-    for line in lines:
-        try:
-            yield next(csv.reader([line], delimiter=delimiter, strict=True)), None
-        except csv.Error:
-            yield None, CONTINUED
-
-
-def _decode_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    csv.field_size_limit(2**31 - 1)
-    for batch in batches:
-        rows = zip(*(column.to_pylist() for column in batch.columns))
-        for (path, file_ix, delimiter), part in groupby(rows, key=lambda r: r[:3]):
-            part = list(part)
-            numbers = [r[3] for r in part]
-            records = list(_line_records([r[4] for r in part], delimiter))
-            good = [
-                (1, "CSV", n, values, ["s"] * len(values))
-                for n, (values, problem) in zip(numbers, records)
-                if problem is None
-            ]
-            if good:
-                yield _batch(path, file_ix, good)
-            bad = [(1, "CSV", n, None, None) for n, (_, p) in zip(numbers, records) if p]
-            if bad:
-                yield _batch(path, file_ix, bad, CONTINUED)
-
-
-@F.pandas_udf(T.StringType())
-def _delimiter_of(heads: pd.Series) -> pd.Series:
-    picked = [[d for d in DELIMITERS if _mapped_records(list(h), d)] for h in heads]
-    return pd.Series([found[0] if found else DELIMITERS[0] for found in picked])
-
-
-def _read_large_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
-    """Cells of large CSV files whose records are single lines.
-
-    Lines are numbered per split and splits are added up, so the record numbers are those of a
-    reader that goes through the whole file.
+        line.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _chain(splits: pd.DataFrame) -> pd.DataFrame:
+    """The entry state and first record of each split of one file, or why it cannot be read."""
+    splits = splits.sort_values("start", kind="stable")
+    head = bytes(splits["head"].iloc[0])
+    readable = {}
+    for i, delimiter in enumerate(DELIMITERS):
+        state, record, rows, sound = BETWEEN, 1, [], True
+        for ends, starts, fine in zip(splits["ends"], splits["starts"], splits["sound"], strict=True):
+            rows.append((state, record))
+            way = 2 * i + state
+            state, record, sound = ends[way], record + starts[way], sound and fine[way]
+        if sound and state == BETWEEN:
+            readable[delimiter] = rows
+    named = [d for d in readable if _has_header(head, d)]
+    # without a header row the file is still read, so that its rows can be reported
+    delimiter = named[0] if named else DELIMITERS[0]
+    problem = BAD_UTF8 if not splits["utf8"].all() else None if delimiter in readable else BAD_QUOTES
+    if problem:
+        return pd.DataFrame({"key": splits["key"].iloc[:1], "start": -1, "delimiter": "", "entry": 0, "first": 0, "problem": problem})
+    entry, first = zip(*readable[delimiter], strict=True)
+    return pd.DataFrame({
+        "key": splits["key"].to_numpy(), "start": splits["start"].to_numpy(), "delimiter": delimiter,
+        "entry": entry, "first": first, "problem": None,
+    })
+
+
+def _cells(path: str, file_ix: int, first: int, records: list[list[str]]) -> pa.RecordBatch:
+    rows = [(1, "CSV", first + i, r, ["s"] * len(r)) for i, r in enumerate(records)]
+    return _batch(path, file_ix, rows)
+
+
+_PIECES = _CELL_SCHEMA + ", piece binary, delimiter string"
+
+
+def _with_piece(batch: pa.RecordBatch, piece: bytes | None, delimiter: str) -> pa.RecordBatch:
+    n = len(batch)
+    more = [pa.array([piece] * n, pa.binary()), pa.array([delimiter] * n, pa.string())]
+    return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "piece", "delimiter"])
+
+
+def _decode_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the records within a split, and the pieces of records across splits.
+
+    A piece is a row with the number of its record in ``source_row`` and the place of its split,
+    to put pieces in order, in ``source_sheet``.
     """
-    split = ["key", "start"]
-    lines = spark.read.text([path for path, _, _ in files]).select(
+    csv.field_size_limit(2**31 - 1)
+    for (_, start, path, file_ix, delimiter, entry, first), lines in _splits(batches):
+        place = str(start).zfill(20)
+
+        def piece(number: int, content: list[bytes], last: bool) -> pa.RecordBatch:
+            row = _batch(path, file_ix, [(0, place, number, None, None)])  # noqa: B023
+            return _with_piece(row, b"\n".join(content) + b"\n" * (not last), delimiter)  # noqa: B023
+
+        def cells(content: list[bytes], number: int) -> pa.RecordBatch:
+            records = list(_records(b"\n".join(content).decode() + "\n", delimiter))  # noqa: B023
+            return _with_piece(_cells(path, file_ix, number, records), None, delimiter)  # noqa: B023
+
+        # held: lines of records numbered from ``number``; ``cut``: they end an earlier record
+        state, record, held, cut = entry, first, [], entry == INSIDE
+        number, begun = record - cut, (0, 0)
+        for line in lines:
+            state, starts, last, _ = after_line(line, ord(delimiter), state)
+            if starts:
+                begun = (len(held), last)
+            held.append(line)
+            record += starts
+            if state == BETWEEN and (cut or len(held) >= CHUNK_ROWS):
+                yield piece(number, held, last=True) if cut else cells(held, number)
+                held, cut, number = [], False, record
+        if held and state == BETWEEN:
+            yield cells(held, number)
+        elif held and cut and begun == (0, 0):
+            yield piece(number, held, last=False)
+        elif held:
+            index, offset = begun
+            before = held[:index] + ([held[index][: offset - 1]] if offset else [])
+            if before:
+                yield piece(number, before, last=True) if cut else cells(before, number)
+            yield piece(record - 1, [held[index][offset:], *held[index + 1 :]], last=False)
+
+
+def _join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The record, or records on the same lines, that several splits hold pieces of."""
+    csv.field_size_limit(2**31 - 1)
+    pieces = pieces.sort_values("source_sheet", kind="stable")
+    top = pieces.iloc[0]
+    records = list(_records(b"".join(map(bytes, pieces["piece"])).decode(), top["delimiter"]))
+    return _cells(top["source_file"], int(top["file_ix"]), int(top["source_row"]), records).to_pandas()
+
+
+def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+    places = spark.createDataFrame(files, "path string, key string, file_ix int")
+    lines = spark.read.option("lineSep", "\n").text([path for path, _, _ in files]).select(
         F.col("_metadata.file_path").alias("key"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("place"),
-        "value",
-    )
-    places = spark.createDataFrame(files, "path string, key string, file_ix int")
-    first = W.partitionBy("key").orderBy("place")
-    heads = (
-        lines.filter(F.col("start") == 0)
-        .withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= S.HEADER_SCAN_ROWS)
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("head"))
-        .select(
-            "key",
-            _delimiter_of(
-                F.transform("head", lambda h: F.regexp_replace(h["value"], "^\ufeff", ""))
-            ).alias("delimiter"),
-        )
-    )
-    before = W.partitionBy("key").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    splits = (
-        lines.groupBy(split).agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(heads.join(places, "key"), "key")
+        F.col("value").cast("binary").alias("line"),
     )
-    inside = F.row_number().over(W.partitionBy(split).orderBy("place"))
-    numbered = (
-        lines.withColumn("row", inside).join(splits, split)
-        .withColumn("row", F.col("row") + F.col("before"))
+    summary = "key string, start bigint, utf8 boolean, head binary, ends array<int>, starts array<bigint>, sound array<boolean>"
+    plan = (
+        lines.mapInArrow(_summarise, summary).groupBy("key")
+        .applyInPandas(_chain, "key string, start bigint, delimiter string, entry int, first bigint, problem string")
+        .join(places, "key")
+        # a few numbers per split, used for the problems, the size and the lines
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    text = F.when(F.col("row") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(
-        F.col("value")
+    readable = plan.filter("problem is null").drop("problem")
+    columns = [*SPLIT, "path", "file_ix", "delimiter", "entry", "first", "line"]
+    if fits_broadcast(readable):
+        ordered = lines.join(F.broadcast(readable), SPLIT).select(columns)
+    else:
+        numbered = lines.withColumn("place", F.monotonically_increasing_id())
+        ordered = numbered.join(readable, SPLIT).sortWithinPartitions(*SPLIT, "place").select(columns)
+    decoded = ordered.mapInArrow(_decode_splits, _PIECES)
+    whole = decoded.filter("piece is null").drop("piece", "delimiter")
+    across = decoded.filter("piece is not null").groupBy("file_ix", "source_row").applyInPandas(_join_pieces, _CELL_SCHEMA)
+    null = F.lit(None)
+    bad = plan.filter("problem is not null").select(
+        F.col("path").alias("source_file"), "file_ix", null.cast("int").alias("sheet_ix"),
+        null.cast("string").alias("source_sheet"), null.cast("bigint").alias("source_row"),
+        null.cast("array<string>").alias("vals"), null.cast("array<string>").alias("kinds"), "problem",
     )
-    return numbered.select(
-        "path", "file_ix", "delimiter", F.col("row").cast("bigint"), text
-    ).mapInArrow(_decode_lines, _CELL_SCHEMA)
+    return whole.unionByName(across).unionByName(bad)
 
 
 # --- many files -----------------------------------------------------------------------------
@@ -299,25 +415,21 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, s
     return found
 
 
-def read_exports(
-    spark: SparkSession, paths: str | list[str], split_bytes: int = SPLIT_BYTES
-) -> DataFrame:
+def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of many CSV and XLSX exports.
 
     Columns ``(source_file, file_ix, sheet_ix, source_sheet, source_row, vals, kinds,
     problem)``; a kind is ``s`` text, ``n`` number, ``f`` formula or null.  ``file_ix`` counts
-    the files in order.  The same file given twice is an error.  CSV files above
-    ``split_bytes`` are read in splits and must have one record per line.
+    the files in order.  The same file given twice is an error.
     """
     files = list_files(spark, paths)
     if len(files) != len({f[0] for f in files}):
         raise ValueError("the same input file was supplied more than once")
-    small, large = [], []
-    for ix, (path, key, size) in enumerate(files, 1):
-        is_large = size > split_bytes and path.lower().endswith(".csv")
-        (large if is_large else small).append((path, key, ix))
-    parts = [_read_whole(spark, small)] if small else []
-    parts += [_read_large_csv(spark, large)] if large else []
+    text, other = [], []
+    for ix, (path, key, _) in enumerate(files, 1):
+        (text if path.lower().endswith(".csv") else other).append((path, key, ix))
+    parts = [_read_whole(spark, other)] if other else []
+    parts += [_read_csv(spark, text)] if text else []
     return reduce(DataFrame.unionByName, parts)
 
 

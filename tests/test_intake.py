@@ -71,41 +71,6 @@ def cleaned(spark, *paths, high=250_000):
     return records.orderBy("ord").collect()
 
 
-def test_several_exports(spark, tmp_path):
-    a = write_csv(
-        tmp_path / "a/bills.csv",
-        [["bills of the month"], [],
-         ["Remark", "Total CAD", "Invoice date", "Merchant name", "Bill ID"],
-         ["skip me", "21.40", "2026-04-05", "  DEMO-SUPPLY-01 ", " K7 "],
-         ["", "CAD 1,2.00", "2026-04-06", "Someone", "K8"],
-         ["", "", "2026-04-06", "Someone", "K9"],
-         ["", "6.10", "05/04/2026", "Someone", "K10"]],
-        ";",
-    )
-    b = write_csv(
-        tmp_path / "b/bills.csv",
-        [["Reference", "Payee", "Billed on", "Gross amount"],
-         ["K7", "Demo Supply 01", "2026-04-05", "CAD 21.40"],
-         ["K11", "Demo Supply 01", "2026-04-05", "21.40"],
-         ["back", "=NOT_A_FORMULA()", "2026/05/01", "(CAD 7.00)"]],
-    )
-    r = cleaned(spark, a, b, high=1000)
-    assert [x["status"] for x in r] == [
-        "clean", "unparseable", "unparseable", "unparseable", "duplicate", "clean", "clean",
-    ]
-    assert [x["id"] for x in r] == ["1:1:4", "1:1:5", "1:1:6", "1:1:7", "2:1:2", "2:1:3", "2:1:4"]
-    assert r[0]["category"] == "Supplies" and r[0]["invoice_raw"] == " K7 "
-    assert r[0]["headers"] == ["Bill ID", "Merchant name", "Invoice date", "Total CAD"]
-    assert r[1]["cents"] is None and r[2]["cents"] is None
-    assert r[4]["duplicate_of"] == r[0]["id"] and r[5]["possible_of"] == r[0]["id"]
-    assert any(x.startswith("high amount") for x in r[5]["reasons"])
-    assert r[0]["source_file"] != r[4]["source_file"]
-    assert sum(x["cents"] or 0 for x in r) == 3 * 2140 + 610 - 700
-    # the other order of files keeps the other row
-    swapped = cleaned(spark, b, a)
-    assert [x["id"] for x in swapped if x["status"] == "duplicate"] == ["2:1:4"]
-
-
 def test_glob_is_sorted(spark, tmp_path):
     for name in ("b", "a", "c"):
         write_csv(tmp_path / f"{name}.csv", [PLAIN, [name, "v", "2026-01-01", "1.00"]])
@@ -265,46 +230,3 @@ def test_fixed_layout(spark, tmp_path):
         exports.read_workbooks(spark, write_workbook(tmp_path / "bad.xlsx", wrong)), mode="fixed"
     )
     assert {r["reason"] for r in bad.rejects.collect()} == {headers.LAYOUT, headers.MISSING_SHEET}
-
-
-def test_csv_decoder_reads_bytes():
-    content = "﻿Invoice;Vendor;Date;Amount\n1;a;b;c\n".encode()
-    assert [row[3] for row in exports.csv_rows(content)] == [PLAIN, ["1", "a", "b", "c"]]
-    assert io.BytesIO(content).read() == content
-
-
-def _many_lines(n):
-    body = [[f"i{k}", f'v "{k % 7}", x', "2026-01-01", f"{k}.00"] for k in range(n)]
-    body[n // 2] = [""]
-    return [["title"], PLAIN, *body]
-
-
-def test_large_csv_is_read_in_splits(spark, tmp_path):
-    """Splits of a large file give the same cells as reading the file whole."""
-    big = write_csv(tmp_path / "big.csv", _many_lines(5000), ";", quoting=csv.QUOTE_ALL)
-    small = write_csv(tmp_path / "small.csv", [PLAIN, ["i", "v", "2026-01-01", "1.00"]])
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    columns = ["file_ix", "sheet_ix", "source_sheet", "source_row", "vals", "kinds", "problem"]
-    try:
-        spark.conf.set(name, "20000")
-        split = exports.read_exports(spark, [big, small], split_bytes=1000)
-        assert spark.read.text(big).rdd.getNumPartitions() > 1
-        whole = exports.read_exports(spark, [big, small])
-        assert checks.check_repeatable(
-            whole.select(columns), split.select(columns)
-        ).first()["ok"]
-        rows = headers.map_headers(split).or_fail()
-        assert rows.count() == 5000
-        assert rows.agg(F.max("source_row")).first()[0] == 5002
-    finally:
-        spark.conf.set(name, before)
-
-
-def test_large_csv_with_records_over_lines_is_refused(spark, tmp_path):
-    path = write_csv(
-        tmp_path / "m.csv", [PLAIN, ["i", "a\nb", "2026-01-01", "1.00"], ["j", "v", "", ""]]
-    )
-    cells = exports.read_exports(spark, path, split_bytes=10)
-    with pytest.raises(ValueError, match="continues on the next line"):
-        headers.map_headers(cells).or_fail()
