@@ -15,7 +15,7 @@ from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast
 from ledgerspark.sinks.staging import stage
 
 # bytes of text that a Python worker turns into arrays at once (a longer text goes alone)
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -42,7 +42,7 @@ from ledgerspark.llm.common import slices, small, staged
 
 LENGTH = 100
 GRAM = 32
-PIECE = 1 << 21
+PIECE = 1 << 19
 GROUP = 128  # different runs of an anchor that one task may take
 RUNS_PER_TASK_GROUP = 2048
 
