@@ -43,7 +43,7 @@ from ledgerspark.llm.common import slices, small, staged
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 19
-GROUP = 128  # different runs of an anchor that one task may take
+GROUP = 1024  # different runs of an anchor that one task may take, a few MB of windows
 RUNS_PER_TASK_GROUP = 2048
 
 _TABLE = np.random.default_rng(30).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
