@@ -18,6 +18,7 @@ import io
 import posixpath
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import groupby, islice
@@ -63,67 +64,74 @@ def _has_header(head: bytes, delimiter: str) -> bool:
         return False
 
 
+# --- workbooks ------------------------------------------------------------------------------
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _number_text(text: str) -> str:
-    number = float(text)
-    return str(int(number)) if number.is_integer() else str(number)
-
+class _Workbook:
+    """Streams the sheets of an XLSX workbook; of a sheet, one row is in memory."""
 
-def _cell(node: ET.Element, shared: list[str]) -> tuple[str | None, str | None]:
-    kind, value = node.get("t", "n"), node.findtext(f"{_MAIN}v")
-    formula = node.find(f"{_MAIN}f")
-    if formula is not None:
-        return formula.text or "", "f"
-    if kind == "inlineStr":
-        inline = node.find(f"{_MAIN}is")
-        return ("" if inline is None else "".join(inline.itertext())), "s"
-    if value is None:
-        return None, None
-    if kind == "s":
-        return shared[int(value)], "s"
-    if kind in ("str", "e"):
-        return value, "s"
-    return _number_text(value), "n"
+    def __init__(self, book: zipfile.ZipFile):
+        self.book = book
+        members = Counter(book.namelist())
+        if max(members.values(), default=0) > 1:
+            raise ValueError("duplicate workbook member name")
+        self.strings = array_of_texts(self._ended("xl/sharedStrings.xml", "si")) if "xl/sharedStrings.xml" in members else []
+        links = {x.get("Id"): x.get("Target") for x in self._ended("xl/_rels/workbook.xml.rels", None)}
+        self.sheets = [
+            (x.get("name"), posixpath.normpath(posixpath.join("/xl", links[x.get(f"{_DOC_REL}id")])).lstrip("/"))
+            for x in self._ended("xl/workbook.xml", "sheet")
+        ]
+
+    def _ended(self, member: str, tag: str | None) -> Iterator[ET.Element]:
+        """Elements of one tag (or all) as they end; each is emptied after its use."""
+        with self.book.open(member) as file:
+            for _, node in ET.iterparse(file):
+                if tag is None or node.tag == _MAIN + tag:
+                    yield node
+                    node.clear()
+
+    def rows(self, member: str) -> Iterator[tuple[int, list, list]]:
+        for row in self._ended(member, "row"):
+            found = dict(map(self._placed, row))
+            width = max(found, default=-1) + 1
+            cells = [found.get(i, (None, None)) for i in range(width)]
+            yield int(row.get("r")), [v for v, _ in cells], [k for _, k in cells]
+
+    def _placed(self, node: ET.Element) -> tuple[int, tuple[str | None, str | None]]:
+        letters = node.get("r").rstrip("0123456789")
+        column = reduce(lambda n, c: 26 * n + int(c, 36) - 9, letters, 0) - 1
+        parts = {child.tag.removeprefix(_MAIN): child for child in node}
+        if "f" in parts:
+            return column, (parts["f"].text or "", "f")
+        kind = node.get("t", "n")
+        if kind == "inlineStr":
+            return column, ("".join(parts["is"].itertext()) if "is" in parts else "", "s")
+        text = parts["v"].text if "v" in parts else None
+        if text is None:
+            return column, (None, None)
+        read = {"s": lambda: self.strings[int(text)], "n": lambda: _number_text(text), "b": lambda: _number_text(text)}
+        return column, (read.get(kind, lambda: text)(), "n" if kind in "nb" else "s")
+
+
+def array_of_texts(nodes: Iterator[ET.Element]) -> list[str]:
+    return ["".join(n.itertext()) for n in nodes]
 
 
-def _column(ref: str) -> int:
-    letters = re.match("[A-Z]+", ref)[0]
-    index = 0
-    for letter in letters:
-        index = index * 26 + ord(letter) - ord("A") + 1
-    return index - 1
+def _number_text(text: str) -> str:
+    number = float(text)
+    return str(int(number)) if number.is_integer() else str(number)
 
 
 def workbook_rows(content: bytes) -> Iterator[Row]:
     """Stored rows of every sheet of an XLSX workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        if len(names) != len(set(names)):
-            raise ValueError("duplicate workbook member name")
-
-        def xml(name: str) -> ET.Element:
-            return ET.fromstring(book.read(name))
-
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(s.itertext()) for s in xml("xl/sharedStrings.xml")]
-        targets = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
-        sheets = xml("xl/workbook.xml").find(f"{_MAIN}sheets")
-        for sheet_ix, sheet in enumerate(sheets, 1):
-            target = posixpath.join("/xl", targets[sheet.get(f"{_DOC_REL}id")])
-            data = xml(posixpath.normpath(target).lstrip("/")).find(f"{_MAIN}sheetData")
-            for row in data:
-                values, kinds = [], []
-                for node in row:
-                    at = _column(node.get("r"))
-                    pad = at + 1 - len(values)
-                    values.extend([None] * pad)
-                    kinds.extend([None] * pad)
-                    values[at], kinds[at] = _cell(node, shared)
-                yield sheet_ix, sheet.get("name"), int(row.get("r")), values, kinds
+        read = _Workbook(book)
+        for sheet_ix, (name, member) in enumerate(read.sheets, 1):
+            for number, values, kinds in read.rows(member):
+                yield sheet_ix, name, number, values, kinds
 
 
 def _decode(path: str, content: bytes) -> Iterator[Row]:

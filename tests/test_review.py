@@ -32,68 +32,87 @@ def log(spark, *entries):
     return spark.createDataFrame(rows, S.DECISIONS)
 
 
-def replay_by_hand(base, decisions):
-    """The published replay, one decision after the other."""
-    state = {r["id"]: r.asDict() | {"decided": None} for r in base.collect()}
-    entries = []
-    listed = sorted(decisions.collect(), key=lambda d: d["seq"])
-    undone = {d["undo_of"] for d in listed if d["action"] == "undo"}
-    action_of = {d["id"]: d["action"] for d in listed}
-    for d in listed:
-        if d["id"] in undone:
-            continue
-        if d["action"] == "undo":
-            entries.append((d["row_id"], "decision", action_of[d["undo_of"]], "undone"))
-            continue
-        r = state.get(d["row_id"])
-        if r is None:
-            continue
-        r["decided"] = d["action"]
-        if d["action"] == "category":
-            entries.append((r["id"], "category", r["category"], d["after"]))
-            r["category"], r["decided"] = d["after"], None
-            left = [x for x in r["reasons"] if x != S.R_UNMAPPED]
-            left += [S.R_UNMAPPED] if d["after"] == S.UNCATEGORISED else []
-            r["reasons"] = left or [S.R_EDITED]
-        elif d["action"] == "confirm":
-            entries.append((r["id"], "review", "flagged", "confirmed as is"))
-        else:
-            new = "duplicate" if d["action"] == "duplicate" else "excluded"
-            entries.append((r["id"], "disposition", r["status"], new))
-            r["status"] = new
-            if new == "duplicate":
-                r["duplicate_of"] = d["after"]
-                note = f"marked duplicate of {d['after']} by reviewer"
-            else:
-                note = S.R_EXCLUDED
-            r["reasons"] = r["reasons"] + [note]
-    return state, entries
-
-
-CASES = [
-    [("1:10", "category", "Software")],
-    [("1:10", "category", "Software"), ("1:10", "confirm", None)],
-    [("1:10", "category", "Software"), ("1:10", "confirm", None), ("1:10", "undo", 2)],
-    [("1:6", "category", "Rent")],
-    [("1:6", "category", S.UNCATEGORISED), ("1:6", "category", "Rent")],
-    [("1:6", "category", S.UNCATEGORISED), ("1:6", "exclude", None), ("1:6", "category", "Rent")],
-    [("1:6", "duplicate", "1:5"), ("1:6", "category", "Rent"), ("1:6", "exclude", None)],
-    [("1:6", "exclude", None), ("1:6", "duplicate", "1:7"), ("1:6", "duplicate", "1:8")],
-    [("9:9", "confirm", None), ("9:9", "confirm", None), ("9:9", "undo", 2)],
-    [("1:10", "category", "Rent"), ("1:10", "undo", 1), ("1:10", "category", "Software")],
-    [("1:10", "category", "Rent"), ("1:10", "category", "Rent"), ("1:11", "confirm", None)],
-]
-
-
-@pytest.mark.parametrize("case", CASES)
-def test_replay(spark, base, case, monkeypatch):
+OPEN, KEPT = "1:10", "1:6"  # an unmapped row without a date, and a clean row
+DATE, EDITED, OUT = [S.R_MISSING_DATE], [S.R_EDITED], [S.R_EXCLUDED]
+
+
+def marked(row):
+    return f"marked duplicate of {row} by reviewer"
+
+
+# decisions; the final (category, status, duplicate_of, reasons, decided) of the rows that differ
+# from the start; the entries (row, field, before, after) of the change log
+REPLAYS = {
+    "a category takes the flag away": (
+        [(OPEN, "category", "Software")],
+        {OPEN: ("Software", "unparseable", None, DATE, None)},
+        [(OPEN, "category", S.UNCATEGORISED, "Software")],
+    ),
+    "a confirmation is kept": (
+        [(OPEN, "category", "Software"), (OPEN, "confirm", None)],
+        {OPEN: ("Software", "unparseable", None, DATE, "confirm")},
+        [(OPEN, "category", S.UNCATEGORISED, "Software"), (OPEN, "review", "flagged", "confirmed as is")],
+    ),
+    "an undone confirmation is not": (
+        [(OPEN, "category", "Software"), (OPEN, "confirm", None), (OPEN, "undo", 2)],
+        {OPEN: ("Software", "unparseable", None, DATE, None)},
+        [(OPEN, "category", S.UNCATEGORISED, "Software"), (OPEN, "decision", "confirm", "undone")],
+    ),
+    "an edited clean row is listed": (
+        [(KEPT, "category", "Rent")],
+        {KEPT: ("Rent", "clean", None, EDITED, None)},
+        [(KEPT, "category", "Utilities", "Rent")],
+    ),
+    "there and back": (
+        [(KEPT, "category", S.UNCATEGORISED), (KEPT, "category", "Rent")],
+        {KEPT: ("Rent", "clean", None, EDITED, None)},
+        [(KEPT, "category", "Utilities", S.UNCATEGORISED), (KEPT, "category", S.UNCATEGORISED, "Rent")],
+    ),
+    "excluded between two categories": (
+        [(KEPT, "category", S.UNCATEGORISED), (KEPT, "exclude", None), (KEPT, "category", "Rent")],
+        {KEPT: ("Rent", "excluded", None, OUT, None)},
+        [(KEPT, "category", "Utilities", S.UNCATEGORISED), (KEPT, "disposition", "clean", "excluded"),
+         (KEPT, "category", S.UNCATEGORISED, "Rent")],
+    ),
+    "a duplicate that is excluded": (
+        [(KEPT, "duplicate", "1:5"), (KEPT, "category", "Rent"), (KEPT, "exclude", None)],
+        {KEPT: ("Rent", "excluded", "1:5", [marked("1:5"), *OUT], "exclude")},
+        [(KEPT, "disposition", "clean", "duplicate"), (KEPT, "category", "Utilities", "Rent"),
+         (KEPT, "disposition", "duplicate", "excluded")],
+    ),
+    "the last duplicate counts": (
+        [(KEPT, "exclude", None), (KEPT, "duplicate", "1:7"), (KEPT, "duplicate", "1:8")],
+        {KEPT: ("Utilities", "duplicate", "1:8", [*OUT, marked("1:7"), marked("1:8")], "duplicate")},
+        [(KEPT, "disposition", "clean", "excluded"), (KEPT, "disposition", "excluded", "duplicate"),
+         (KEPT, "disposition", "duplicate", "duplicate")],
+    ),
+    "an unknown row": (
+        [("9:9", "confirm", None), ("9:9", "confirm", None), ("9:9", "undo", 2)],
+        {},
+        [("9:9", "decision", "confirm", "undone")],
+    ),
+    "an undone category": (
+        [(OPEN, "category", "Rent"), (OPEN, "undo", 1), (OPEN, "category", "Software")],
+        {OPEN: ("Software", "unparseable", None, DATE, None)},
+        [(OPEN, "decision", "category", "undone"), (OPEN, "category", S.UNCATEGORISED, "Software")],
+    ),
+    "the same twice, and another row": (
+        [(OPEN, "category", "Rent"), (OPEN, "category", "Rent"), ("1:11", "confirm", None)],
+        {OPEN: ("Rent", "unparseable", None, DATE, None), "1:11": ("Supplies", "clean", None, [], "confirm")},
+        [(OPEN, "category", S.UNCATEGORISED, "Rent"), (OPEN, "category", "Rent", "Rent"),
+         ("1:11", "review", "flagged", "confirmed as is")],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", REPLAYS)
+def test_replay(spark, base, name, monkeypatch):
+    case, final, entries = REPLAYS[name]
     decisions = log(spark, *case)
-    state, entries = replay_by_hand(base, decisions)
-    fields = ["category", "status", "duplicate_of", "reasons", "decided"]
-    got = {r["id"]: r for r in review.apply_decisions(base, decisions).collect()}
-    assert len(got) == 125
-    for ident, r in state.items():
-        assert [got[ident][f] for f in fields] == [r[f] for f in fields], ident
+    fields = ["category", "status", "duplicate_of", "reasons"]
+    want = {r["id"]: (*(r[f] for f in fields), None) for r in base.collect()} | final
+    got = review.apply_decisions(base, decisions).collect()
+    assert {r["id"]: tuple(r[f] for f in [*fields, "decided"]) for r in got} == want
     # blocks of two decisions, so that values must be carried from block to block
     monkeypatch.setattr(review, "CARRY_BLOCK", 2)
     made = review.reviewer_changes(base, decisions).orderBy("seq").collect()
