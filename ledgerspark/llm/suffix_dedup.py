@@ -15,9 +15,10 @@ Sorting the suffixes of all positions is not affordable, so a sieve decides most
    other runs, is undecided.
 3. The windows of undecided runs are the suffixes that are sorted.  Runs of one anchor meet in one
    task, many anchors at a time, where the suffix array of their bytes is built.  The runs of an
-   anchor with more than ``GROUP`` different runs are range-partitioned by suffix and position
-   instead, so that they are spread over tasks wherever their bytes agree; the first row of a
-   partition compares with the last one of the partition before.
+   anchor with more than ``GROUP`` different runs are cut into parts at fixed distances from the
+   anchor; a part that equals an earlier one is repeated as a whole, and the suffixes of the first
+   parts are range-partitioned by bytes and position, so that they are spread over tasks wherever
+   their bytes agree.  The first row of a partition compares with the last one of the one before.
 
 The removed bytes are the union of the repeated windows.  Defined cases: a null text is empty;
 texts of less than ``LENGTH`` bytes lose nothing; a null id comes first; rows that repeat an id
@@ -43,7 +44,8 @@ from ledgerspark.llm.common import slices, small, staged
 LENGTH = 100
 GRAM = 32
 PIECE = 1 << 19
-GROUP = 1024  # different runs of an anchor that one task may take, a few MB of windows
+GROUP = 128  # different runs of an anchor that one task may take
+PART = 16  # windows of a part of a run of a more frequent anchor
 RUNS_PER_TASK_GROUP = 2048
 
 _TABLE = np.random.default_rng(30).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -266,6 +268,46 @@ def repeated_in_groups(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return grouped.applyInArrow(sort, f"doc_id {kind}, tag long, a long, b long")
 
 
+def run_parts(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, tag, lo, bytes)``: the runs cut where the distance to the anchor is a multiple
+    of ``PART``, so that runs which agree around the anchor have equal parts there."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                texts = part.column("bytes").to_pylist()
+                sizes = np.array([len(t) for t in texts])
+                at = np.cumsum(sizes) - sizes
+                place = anchors(gram_hashes(_TABLE[np.frombuffer(b"".join(texts), np.uint8)]), length)[at] - at
+                rows, shift, pieces = [], [], []
+                for i, (text, far) in enumerate(zip(texts, place, strict=True)):
+                    count = len(text) - length + 1
+                    # windows near the anchor end first: cuts where far - window passes a multiple
+                    edges = [0, *range(int(far % PART) + 1, count, PART), count]
+                    for a, b in zip(edges, edges[1:], strict=False):
+                        rows.append(i)
+                        shift.append(a)
+                        pieces.append(text[a : b + length - 1])
+                index = pa.array(rows)
+                lo = part.column("lo").to_numpy()[rows] + np.array(shift)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(index), part.column("tag").take(index), pa.array(lo), pa.array(pieces, pa.binary())], [*KEY, "lo", "bytes"])
+
+    return found.select(*KEY, "lo", "bytes").mapInArrow(cut, f"doc_id {kind}, tag long, lo long, bytes binary")
+
+
+def repeated_when_spread(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc_id, tag, a, b)``: repeated bytes of open runs of very frequent anchors."""
+    parts = staged(run_parts(found, length))
+    place = F.struct(*KEY, "lo")
+    firsts = parts.groupBy(F.col("bytes").alias("_bytes")).agg(F.min(place).alias("_first"))
+    later = parts.join(firsts, F.col("bytes") == F.col("_bytes")).where(place > F.col("_first"))
+    whole = later.select(*KEY, F.col("lo").alias("a"), (F.col("lo") + F.octet_length("bytes")).alias("b"))
+    single = repeated_suffixes(suffixes(firsts.select("_first.*", F.col("_bytes").alias("bytes")), length))
+    return whole.union(single.select(*KEY, F.col("at").alias("a"), (F.col("at") + length).alias("b")))
+
+
 def suffixes(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(suffix, doc_id, tag, at)``: the first ``length`` bytes at each window of the open runs."""
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -333,10 +375,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     judged = staged(judge_runs(texts, length))
     found = staged(open_runs(texts, judged, length))
     grouped = repeated_in_groups(found.where(F.col("kinds") <= GROUP), length)
-    spread = repeated_suffixes(suffixes(found.where(F.col("kinds") > GROUP), length))
+    spread = repeated_when_spread(found.where(F.col("kinds") > GROUP), length)
     whole = judged.where("state = 'repeated'").select(*KEY, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    single = spread.select(*KEY, F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    cover = whole.union(grouped).union(single).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
+    cover = whole.union(grouped).union(spread).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("cover"))
     cover = cover.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "cover")
     rows = packed(texts).join(cover, _same(), "left").select("doc_id", "text", "cover")
     kind = texts.schema["doc_id"].dataType.simpleString()
