@@ -629,7 +629,11 @@ def q_check_reviewer_changes(s, sf):
 
 
 def q_check_policy(s, sf):
-    return ck.check_policy(reviewer_rules(s), reviewer_rules(s))
+    """The policy of all vendors against the vendors that the tables have."""
+    stored = dirty_rules(s)
+    names = fx.vendor_names(s, sf).select(ft.norm_key("merchant").alias("norm_key"))
+    given = rules.Rules(stored.df.join(names, "norm_key", "left_semi"), stored.high_cents)
+    return ck.check_policy(given, stored)
 
 
 def q_check_repeatable(s, sf):
@@ -643,6 +647,26 @@ def q_check_advisory(s, sf):
     return ck.check_advisory(suggest.suggestions_report(r, cache), cache, r)
 
 
+def q_check_advisory_damaged(s, sf):
+    """A report without one of its merchants."""
+    r, cache = staged(s, sf), fx.suggestion_cache(s, sf)
+    report = suggest.suggestions_report(r, cache)
+    first = report.agg(F.min("merchant")).scalar()
+    return ck.check_advisory(report.filter(F.col("merchant") != first), cache, r)
+
+
+def q_check_identity_damaged(s, sf):
+    """Records that lost one row in a hundred."""
+    return ck.check_identity(dirty_bills(s, sf), staged(s, sf).filter("ord.source_row % 1000 <> 0"))
+
+
+def q_check_amounts_damaged(s, sf):
+    """Records with a cent too many in one row."""
+    cent = F.when(F.col("ord.source_row") == 20, 1).otherwise(0)
+    changed = staged(s, sf).withColumn("cents", F.col("cents") + cent)
+    return ck.check_amounts(dirty_bills(s, sf), changed)
+
+
 def q_check_cache(s, sf):
     return ck.check_cache(fx.suggestion_cache(s, sf))
 
@@ -673,9 +697,21 @@ def q_csv_intake(s, sf):
 
 def q_csv_intake_words(s, sf):
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
-    intake = headers.map_headers(cells, mode="words")
-    return intake.sheets.groupBy("ok").agg(
-        F.count("*").alias("sheets"), F.sum("rows").cast("bigint").alias("rows")
+    # one of the layouts names no invoice column by these words; its rows get made-up numbers
+    return _imported(headers.map_headers(cells, mode="words").or_fail()).drop("invoice")
+
+
+def q_csv_intake_rows(s, sf):
+    cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
+    return _imported(headers.map_headers(cells).or_fail())
+
+
+def _imported(rows):
+    """What an import has of each bill; the rows of its files are in no given order."""
+    return rows.select(
+        ft.strip_ws("invoice_raw").alias("invoice"), ft.strip_ws("merchant_raw").alias("merchant"),
+        ft.amount_cents("amount_raw").alias("cents"),
+        ft.bill_date("date_raw").cast("string").alias("bill_date"),
     )
 
 

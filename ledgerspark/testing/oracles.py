@@ -752,8 +752,10 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
             "AS detail FROM active WHERE row_id NOT LIKE '9:%'",
         ),
         "check_policy": (
-            "",
-            "SELECT 'policy' AS \"check\", true AS ok, '0 rules missing, 0 unexpected' AS detail",
+            v,
+            "SELECT 'policy' AS \"check\", count(*) = 150 AS ok, "
+            "(150 - count(*)) || ' rules missing, 0 unexpected' AS detail "
+            "FROM vendors WHERE v < 30",
         ),
         "check_repeatable": (
             "", "SELECT 'repeatable' AS \"check\", true AS ok, '0 differing rows' AS detail"),
@@ -762,6 +764,21 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
             "SELECT 'advisory' AS \"check\", true AS ok, "
             "'0 differ from the cache, 0 were applied' AS detail",
         ),
+        "check_advisory_damaged": (
+            "",
+            "SELECT 'advisory' AS \"check\", false AS ok, "
+            "'1 differ from the cache, 0 were applied' AS detail",
+        ),
+        "check_identity_damaged": (
+            "",
+            "SELECT 'identity' AS \"check\", false AS ok, count(*) FILTER (WHERE ord % 1000 <> 0) "
+            "|| ' records for ' || count(*) || ' source rows' AS detail FROM rec",
+        ),
+        "check_amounts_damaged": (
+            "",
+            "SELECT 'amounts' AS \"check\", false AS ok, (sum(cents) + 1) || ' cents in groups, ' "
+            "|| sum(cents) || ' cents read' AS detail FROM rec",
+        ),
         "check_cache": (
             v,
             "SELECT 'cache' AS \"check\", true AS ok, count(*) || ' cache entries' AS detail "
@@ -771,7 +788,9 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
         # files
         "csv_intake": ("", _reconcile("rec", _THREE)),
         "csv_intake_words": (
-            "", "SELECT true AS ok, CAST(8 AS BIGINT) AS sheets, count(*) AS rows FROM rec"),
+            "", "SELECT written AS merchant, cents, bill_date FROM rec"),
+        "csv_intake_rows": (
+            "", "SELECT invoice, written AS merchant, cents, bill_date FROM rec"),
         "write_ledger": ("", _reconcile("rec", _THREE)),
         "write_reports": (
             "", f"SELECT month, count(*) AS rows, {_MONEY} AS cents FROM kept GROUP BY month"),
