@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
+from ledgerspark.functions.text import norm_key
 from ledgerspark.operators.changes import CHANGE_COLUMNS, REVIEW_SLOT, change_count
 from ledgerspark.operators.numbering import number_rows
 from ledgerspark.operators.rules import Rules, categorise
@@ -245,6 +246,26 @@ def rules_in_force(rules: Rules, decisions: DataFrame) -> Rules:
     return Rules(rules.df.join(gone, "rule_id", "left_anti"), rules.high_cents, rules.rows)
 
 
+def rules_from_decisions(
+    records: DataFrame, decisions: DataFrame, high_cents: int = S.DEFAULT_HIGH_CENTS
+) -> Rules:
+    """The reviewer rules that category decisions in force have added.
+
+    A rule maps the merchant of the decided record to the chosen category; of several for one
+    merchant, the last counts.  Undoing a decision takes its rule away.
+    """
+    adding = active_decisions(decisions).filter(_is("category") & F.col("rule_added").isNotNull())
+    named = adding.join(
+        records.select(F.col("id").alias("row_id"), "merchant"), "row_id"
+    ).withColumn("norm_key", norm_key("merchant"))
+    last = F.max(F.struct("seq", "merchant", "after", "rule_added")).alias("last")
+    df = named.groupBy("norm_key").agg(last).select(
+        "norm_key", F.col("last.merchant").alias("alias"), F.col("last.after").alias("category"),
+        F.lit("reviewer").alias("origin"), F.col("last.rule_added").alias("rule_id"),
+    )
+    return Rules(df, high_cents)
+
+
 def decisions_from_bulk(
     rows: DataFrame,
     action: str,

@@ -478,6 +478,13 @@ def q_rules_in_force(s, sf):
     return review.rules_in_force(rules.Rules(added), log).df.select("rule_id", "category")
 
 
+def q_rules_from_decisions(s, sf):
+    """Bills cleaned with the rules that decisions have added, some of them undone."""
+    added = review.rules_from_decisions(staged(s, sf), fx.decision_log(s, sf), HIGH_CENTS)
+    again = clean(dirty_bills(s, sf), rules.effective_rules(dirty_rules(s), added))
+    return again.groupBy("merchant", "category").agg(F.count("*").alias("rows"))
+
+
 def q_decisions_from_bulk(s, sf):
     base = records(s, sf)
     picked = views.filter_bills(base, reason="possibledup")

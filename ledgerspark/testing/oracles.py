@@ -641,6 +641,14 @@ SELECT action, count(*) AS rows FROM (
             d,
             "SELECT rule_added AS rule_id, after AS category FROM active WHERE rule_added IS NOT NULL",
         ),
+        "rules_from_decisions": (
+            d + """, added AS (
+  SELECT seg, v, arg_max(after, seq) AS chosen, arg_max(merchant, seq) AS alias
+  FROM active JOIN rec ON rec.id = active.row_id
+  WHERE action = 'category' AND rule_added IS NOT NULL GROUP BY seg, v)""",
+            "SELECT coalesce(alias, merchant) AS merchant, coalesce(chosen, category) AS category, "
+            "count(*) AS rows FROM rec LEFT JOIN added USING (seg, v) GROUP BY 1, 2",
+        ),
         "decisions_from_bulk": (
             "",
             "SELECT row_number() OVER (ORDER BY ord) AS seq, id AS row_id, 'duplicate' AS action, "
