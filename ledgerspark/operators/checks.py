@@ -48,7 +48,8 @@ def ledger_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def _same(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+def check_same(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """Two tables have the same rows, as often."""
     differing = ledger_diff(a, b).agg(_sum("copies").alias("n"))
     return _verdict(differing, name, F.col("n") == 0, _text(F.col("n"), " differing rows"))
 
@@ -111,7 +112,7 @@ def check_changes_complete(changes: DataFrame, records: DataFrame) -> DataFrame:
     """The stored automatic entries equal a recomputation from the records."""
     columns = ["id", "slot", "field", "before", "after", "rule"]
     build = changes.filter(F.col("seq").isNull()).select(columns)
-    return _same(build, build_changes(records).select(columns), "changes")
+    return check_same(build, build_changes(records).select(columns), "changes")
 
 
 def check_reviewer_changes(changes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def check_policy(given: Rules, stored: Rules) -> DataFrame:
 
 def check_repeatable(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two runs gave the same rows."""
-    return _same(first, second, "repeatable")
+    return check_same(first, second, "repeatable")
 
 
 def check_advisory(report: DataFrame, cache: DataFrame, records: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
 from ledgerspark.functions.text import cents_as_amount
-from ledgerspark.operators.changes import REVIEW_SLOT
+from ledgerspark.operators import checks
+from ledgerspark.operators.changes import REVIEW_SLOT, build_changes
 from ledgerspark.operators.numbering import number_rows
+from ledgerspark.operators.review import apply_decisions
 from ledgerspark.operators.rules import Rules
 from ledgerspark.operators.totals import reconcile
+from ledgerspark.plans.clean import clean
 
 NEW = "errorifexists"
 
@@ -73,6 +76,32 @@ def read_ledger_policy(spark, path: str) -> Rules:
     return Rules(spark.read.schema(S.RULES).parquet(f"{path}/rules"), high)
 
 
+def verify_ledger(path: str, rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """The verdicts ``(check, ok, detail)`` on a written ledger, made again from the source rows.
+
+    The records must be what the recorded policy makes of the rows, with the ``decisions`` if
+    there are any; the changes and the reconciliation must be those of the records.
+    """
+    spark = rows.sparkSession
+    records = spark.read.parquet(f"{path}/records")
+    changes = spark.read.schema(build_changes(records).schema).parquet(f"{path}/changes")
+    again = clean(rows, read_ledger_policy(spark, path))
+    if decisions is not None:
+        again = apply_decisions(again, decisions)
+    compared = ["id", "status", "merchant", "category", "cents", "duplicate_of", "reasons"]
+    stored = spark.read.parquet(f"{path}/reconciliation")
+    unused = (F.col("status") == "excluded") & (F.col("rows") == 0)
+    made = reconcile(records, with_excluded=True).filter(~unused).select(stored.columns)
+    return checks.check_all([
+        checks.check_identity(rows, records),
+        checks.check_partition(records),
+        checks.check_amounts(rows, records),
+        checks.check_changes_complete(changes, records),
+        checks.check_same(stored, made, "reconciliation"),
+        checks.check_same(records.select(compared), again.select(compared), "records"),
+    ])
+
+
 def write_reports(path: str, reports: dict[str, DataFrame]) -> None:
     """Write each report table under its name; tables with a month are partitioned by it."""
     for name, df in reports.items():

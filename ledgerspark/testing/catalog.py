@@ -730,6 +730,24 @@ def q_write_ledger(s, sf):
     return _flat(s.read.parquet(f"{path}/reconciliation"))
 
 
+def q_verify_ledger(s, sf):
+    """A written ledger, checked against the source rows."""
+    path = fx.work_folder(s)
+    r = staged(s, sf)
+    sinks.write_ledger(path, r, ch.build_changes(r), dirty_rules(s), [sf])
+    return sinks.verify_ledger(path, dirty_bills(s, sf))
+
+
+def q_verify_ledger_damaged(s, sf):
+    """A ledger with a cent too many in one record and without the changes of another."""
+    path = fx.work_folder(s)
+    cent = F.when(F.col("ord.source_row") == 20, 1).otherwise(0)
+    r = staged(s, sf)
+    changes = ch.build_changes(r).filter("ord.source_row not in (20, 30)")
+    sinks.write_ledger(path, r.withColumn("cents", F.col("cents") + cent), changes, dirty_rules(s), [sf])
+    return sinks.verify_ledger(path, dirty_bills(s, sf)).select("check", "ok")
+
+
 def q_write_reports(s, sf):
     path = fx.work_folder(s)
     r = staged(s, sf)

@@ -800,6 +800,21 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
         "csv_intake_rows": (
             "", "SELECT invoice, written AS merchant, cents, bill_date FROM rec"),
         "write_ledger": ("", _reconcile("rec", _THREE)),
+        "verify_ledger": (
+            "",
+            " UNION ALL ".join(
+                [_CHECKS[n] for n in ("identity", "partition", "amounts", "changes")]
+                + [
+                    _CHECK.format(name=n, detail="'0 differing rows'", table="(SELECT 1)")
+                    for n in ("reconciliation", "records")
+                ]
+            ),
+        ),
+        "verify_ledger_damaged": (
+            "",
+            "SELECT * FROM (VALUES ('identity', true), ('partition', true), ('amounts', false), "
+            "('changes', false), ('reconciliation', true), ('records', false)) AS t(\"check\", ok)",
+        ),
         "write_reports": (
             "", f"SELECT month, count(*) AS rows, {_MONEY} AS cents FROM kept GROUP BY month"),
         "write_suggestions": (
