@@ -131,15 +131,21 @@ KEY = ["doc_id", "tag"]
 def documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, tag, text)`` with the text as UTF-8 bytes, empty where it is null.
 
-    ``tag`` is a hash of the text where rows repeat an id, and 0 elsewhere.
+    ``tag`` is one more than a hash of the text where rows repeat an id, and 0 elsewhere.
     """
     twice = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_id")
     texts = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
     met = texts.join(small(staged(twice.withColumn("_again", F.lit(True)))), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    tag = F.when(F.col("_again"), F.crc32("text")).otherwise(F.lit(0).cast("long"))
+    tag = F.when(F.col("_again"), F.crc32("text") + 1).otherwise(F.lit(0).cast("long"))
     return met.select("doc_id", tag.alias("tag"), "text")
 
 
+def once(texts: DataFrame) -> DataFrame:
+    """``texts`` with each document in one row: rows that repeat an id with the same text are one."""
+    again = texts.where("tag <> 0").dropDuplicates([*KEY, "text"])
+    return texts.where("tag = 0").unionByName(again)
+
+
 def document_runs(texts: DataFrame, length: int = LENGTH, bodies: bool = True) -> DataFrame:
     """``(doc_id, tag, span, anchor, body)`` of all documents; ``span`` is ``lo * 128 + hi - lo``.
 
@@ -209,9 +215,10 @@ def packed(texts: DataFrame) -> DataFrame:
 
 def open_runs(texts: DataFrame, judged: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(anchor, kinds, doc_id, tag, lo, bytes)``: the open runs with the bytes of their windows."""
-    spans = judged.where("state = 'open'").groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "anchor", "kinds")).alias("spans"))
+    # a set, because rows that repeat an id with the same text have each run several times
+    spans = judged.where("state = 'open'").groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi", "anchor", "kinds")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    rows = packed(texts).join(spans, _same()).select(*KEY, "text", "spans")
+    rows = packed(once(texts)).join(spans, _same()).select(*KEY, "text", "spans")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -297,6 +297,16 @@ def test_ngrams_do_not_depend_on_pieces(monkeypatch):
         assert set(whole) - set(language.ngrams(text)) == set()
 
 
+def test_rows_that_repeat_an_id_keep_first_occurrences(spark):
+    rng = random.Random(12)
+    shared = words(rng, 60)
+    a, b = (f"{words(rng, 30)} {shared} {words(rng, 30)}" for _ in range(2))
+    rows = [(1, a), (1, a), (2, b)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert sorted(rows_of(got), key=repr) == brute_repeats([(d, t.encode()) for d, t in rows], 100)
+    assert {r.n_removed for r in got.where("doc_id = 1").collect()} == {0}
+
+
 # toxicity
 
 def test_toxic_words_are_learned(spark, odd, none):
