@@ -1,9 +1,10 @@
 """Toxicity by compression distance: how much shorter a window gets with a toxic dictionary.
 
 Two Zstandard dictionaries are trained.  The ordinary one learns from windows of ordinary texts.
-The toxic one learns from the words that set toxic texts apart: those whose share of toxic texts
-exceeds their share of ordinary texts by ``MIN_Z`` standard errors, the strongest ``MAX_WORDS`` of
-them, as often as they occur.  The toxic dictionary is used together with the ordinary one, so
+The toxic one learns from parts of all windows of toxic texts: of each word, its longest start (the
+whole word, or a stem) whose share of toxic texts exceeds its share of ordinary texts by ``MIN_Z``
+standard errors, as often as it occurs.  Trained on whole windows instead, the dictionary holds what
+all texts have in common, and next to no toxic text is found.  The toxic dictionary is used together with the ordinary one, so
 that ordinary text costs the same either way and the difference of the compressed lengths of a
 window is what the toxic part saves.
 
@@ -43,7 +44,7 @@ WINDOW = 6
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 2048
 MIN_Z = 6.0
-MAX_WORDS = 80
+MIN_START = 4
 LEVEL = 3
 # features of a text: its largest savings, the numbers of windows that save so much, its length
 TOP = 3
@@ -68,22 +69,27 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, int]:
-    """Words that set toxic texts apart, with their number of toxic texts."""
+def starts(word: bytes) -> list[bytes]:
+    """The starts of a word with the blank before it; the longest has the blank after it too."""
+    whole = b" " + word + b" "
+    return [whole[:i] for i in range(min(MIN_START, len(whole)), len(whole) + 1)]
+
+
+def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """The parts of the toxic windows that set them apart, as often as they occur."""
     counts = []
     for texts in (toxic, ordinary):
-        counts.append(Counter(w for t in texts for w in {w for x in t for w in x.split()}))
+        counts.append(Counter(s for t in texts for s in {s for w in {w for x in t for w in x.split()} for s in starts(w)}))
     n, m = max(1, len(toxic)), max(1, len(ordinary))
 
-    def z(word: bytes) -> float:
-        a, b = counts[0][word], counts[1][word]
+    def z(start: bytes) -> float:
+        a, b = counts[0][start], counts[1][start]
         p = (a + b + 1) / (n + m + 2)
         return (a / n - b / m) / (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
 
-    strong = sorted(((z(w), w) for w in counts[0]), key=lambda x: (-x[0], x[1]))[:MAX_WORDS]
-    # small samples cannot reach the full strength; there the best half of it is asked for
-    least = MIN_Z if n >= 400 else MIN_Z * max(0.5, (n / 400) ** 0.5)
-    return {w: counts[0][w] for s, w in strong if s >= least}
+    strong = {s for s in counts[0] if z(s) >= MIN_Z}
+    found = (max((s for s in starts(w) if s in strong), key=len, default=b"") for t in toxic for x in t for w in x.split())
+    return [s for s in found if s]
 
 
 @dataclass
@@ -157,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # the first part of each class is for the dictionaries, the rest for the regression
     cut = {c: max(1, int(0.55 * len(by[c]))) for c in by}
     seen = {c: [windows(t) for t in by[c][: cut[c]]] for c in by}
-    words = distinctive(seen[1], seen[0])
-    toxic = dictionary([b" " + w + b" " for w, n in sorted(words.items()) for _ in range(n)], TOXIC_BYTES, 24) if words else b""
+    parts = distinctive(seen[1], seen[0])
+    toxic = dictionary(parts, TOXIC_BYTES, 24) if parts else b""
     model = Model(dictionary([w for t in seen[0] for w in t], ORDINARY_BYTES, 48), toxic, np.zeros(FEATURES))
     pair = model.compressors()
     held = [(c, t) for c in by for t in (by[c][cut[c] :] or by[c])]

@@ -331,6 +331,22 @@ def test_toxic_words_are_learned(spark, odd, none):
     assert toxicity.toxic_scores(none, toxicity.train(none, table)).count() == 0
 
 
+def test_toxic_stems_with_rare_endings_are_learned():
+    rng = random.Random(9)
+    texts = {0: [], 1: []}
+    for i in range(400):
+        w = words(rng, rng.randint(40, 80)).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                w.insert(rng.randint(0, len(w)), "grumbl" + words(rng, 1) + words(rng, 1))
+        texts[int(i % 4 == 0)].append(toxicity.windows(" ".join(w)))
+    parts = toxicity.distinctive(texts[1], texts[0])
+    assert len(parts) >= 400 and all(p.startswith(b" g") for p in parts)
+    # hundreds of whole words set texts apart, and each of them is used
+    many = [[b" " + b"v%03dxq" % i + b" " for i in range(200)]] * 50
+    assert len(set(toxicity.distinctive(many, texts[0]))) == 200
+
+
 # personal data
 
 def test_base_spans_match_the_patterns():
