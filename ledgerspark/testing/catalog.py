@@ -524,8 +524,8 @@ def q_report_summary(s, sf):
 
 
 def q_report_summary_reviewed(s, sf):
-    out = reports.report_summary(stage(reviewed(s, sf), fx.work_folder(s)), HIGH_CENTS, top_n=10)
-    return _flat(out).filter("section in (0, 2)")
+    out = reports.report_summary(stage(reviewed(s, sf), fx.work_folder(s)), HIGH_CENTS)
+    return _flat(out)
 
 
 # --- suggestions -----------------------------------------------------------------------------
@@ -631,7 +631,7 @@ def q_check_changes_complete(s, sf):
 
 
 def q_check_reviewer_changes(s, sf):
-    log = fx.decision_log(s, sf).filter(~F.col("row_id").startswith("9:"))
+    log = fx.decision_log(s, sf)
     return ck.check_reviewer_changes(review.reviewer_changes(records(s, sf), log), log)
 
 

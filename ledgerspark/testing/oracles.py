@@ -342,7 +342,15 @@ _RV_SECTIONS = (
     _SUMMARY_CONTROL.format(table="rv")
     + " UNION ALL SELECT 2, 0, category, cents, rows, NULL FROM ("
     + _CATEGORY_LINES.format(table="rv", extra="AND rv.status = 'clean'")
-    + ")"
+    + f""")
+UNION ALL SELECT 1, 0, substr(bill_date, 1, 7), {_MONEY}, count(*), NULL FROM rv
+  WHERE status = 'clean' GROUP BY 3
+UNION ALL SELECT 3, -cents, merchant, cents, rows,
+  CASE WHEN row_number() OVER (ORDER BY cents DESC, merchant) = 1 THEN 'Largest merchant' END
+  FROM (SELECT merchant, {_MONEY} AS cents, count(*) AS rows FROM rv WHERE status = 'clean' GROUP BY merchant)
+UNION ALL SELECT 4, -abs(cents), invoice, cents, NULL, merchant FROM rv
+  WHERE status = 'clean' AND abs(cents) >= 40000000
+"""
 )
 
 _REPLY = """
@@ -755,9 +763,9 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
         "check_review_complete": ("", _CHECKS["review"]),
         "check_changes_complete": ("", _CHECKS["changes"]),
         "check_reviewer_changes": (
-            d,
-            "SELECT 'reviewer changes' AS \"check\", true AS ok, count(*) || ' review changes' "
-            "AS detail FROM active WHERE row_id NOT LIKE '9:%'",
+            rc,
+            "SELECT 'reviewer changes' AS \"check\", count(made.seq) = count(*) AS ok, "
+            "count(*) || ' review changes' AS detail FROM active LEFT JOIN made USING (seq)",
         ),
         "check_policy": (
             v,
