@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import hilbert_search, language, mixing, ngram_join, phrase_index, pii, suffix_dedup, token_files, toxicity, warc
+from ledgerspark.llm import (
+    hilbert_search, html_text, language, merkle, mixing, ngram_join, phrase_index, pii, ranked_search, suffix_dedup,
+    token_files, toxicity, warc,
+)
 from ledgerspark.llm.common import staged
 
 
@@ -62,6 +65,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -80,6 +96,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_string_kernel": op9_string_kernel,
         "op10_ngram_join": op10_ngram_join,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_block_labeller": op12_block_labeller,
+        "op13_pair_maxscore": op13_pair_maxscore,
     }
 
 
@@ -188,5 +207,101 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+# Folds level by level in one recursion over all trees; crc32 comes from its table, bit by bit.
+_MERKLE_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i AS byte, 0 AS step, i::BIGINT AS v FROM range(256) AS r(i)
+  UNION ALL
+  SELECT byte, step + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY byte) AS t FROM bits WHERE step = 8),
+d AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                            lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 5 = 0 AS picked
+  FROM documents, crc),
+head AS (
+  SELECT *, concat(
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+    coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS h
+  FROM d),
+leaf AS (
+  SELECT doc_id, source, sha256(h || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(h || coalesce(octet_length(encode(text)) || ':' || CASE WHEN coalesce(picked, false)
+           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS other
+  FROM head),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+node AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM node WHERE n > 1 GROUP BY source, level, pos // 16),
+sub AS (
+  SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM node WHERE n = 1),
+up AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY level, pos // 16),
+every AS (
+  SELECT n.source, n.level, n.pos, n.digest FROM node n WHERE n.n > 1
+  UNION ALL
+  SELECT s.source, s.height + u.level, u.pos, u.digest FROM sub s JOIN up u ON u.n > 1 AND u.pos // 16 = s.pos // power(16, u.level + 1)::BIGINT),
+step AS (
+  SELECT p.doc_id, p.source, p.pos AS place, e.level,
+         coalesce(string_agg(e.digest, '' ORDER BY e.pos) FILTER (e.pos < w.own), '') AS before,
+         coalesce(string_agg(e.digest, '' ORDER BY e.pos) FILTER (e.pos > w.own), '') AS after
+  FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+  JOIN every e ON e.source IS NOT DISTINCT FROM p.source,
+  LATERAL (SELECT CASE WHEN e.level < s.height THEN p.pos // power(16, e.level)::BIGINT
+                       ELSE s.pos // power(16, e.level - s.height)::BIGINT END AS own) AS w
+  WHERE e.pos // 16 = w.own // 16
+  GROUP BY p.doc_id, p.source, p.pos, e.level),
+proof AS (
+  SELECT source, place, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256, count(*) AS height FROM step GROUP BY source, place),
+fold AS (
+  SELECT source, pos AS place, 0 AS level, other AS h FROM placed
+  UNION ALL
+  SELECT f.source, f.place, f.level + 1, sha256(s.before || f.h || s.after)
+  FROM fold f JOIN step s ON s.source IS NOT DISTINCT FROM f.source AND s.place = f.place AND s.level = f.level)
+SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.digest AS verified
+FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+JOIN (SELECT digest FROM up WHERE n = 1) r ON true
+LEFT JOIN proof q ON q.source IS NOT DISTINCT FROM p.source AND q.place = p.pos
+JOIN fold f ON f.source IS NOT DISTINCT FROM p.source AND f.place = p.pos AND f.level = coalesce(q.height, 0)
+"""
+
+# Scores every document that holds a term of an item.
+_RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+       FROM (SELECT r, doc_id, unnest(w) AS term, len(w) AS n FROM d) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+weighed AS (
+  SELECT item_id, term, times * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM asked JOIN df USING (term), total),
+scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM weighed JOIN tf USING (term), total GROUP BY item_id, r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op2_mix_sources": _MIX_SQL, "op4_warc_zstd": _WARC_SQL, "op7_phrase_index": _PHRASE_SQL}
+    return {
+        "op2_mix_sources": _MIX_SQL, "op4_warc_zstd": _WARC_SQL, "op7_phrase_index": _PHRASE_SQL,
+        "op11_merkle_manifest": _MERKLE_SQL, "op13_pair_maxscore": _RANKED_SQL,
+    }
