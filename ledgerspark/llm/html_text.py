@@ -6,8 +6,8 @@ tag path (tags, words of class, id and role, hashed), the mean of the vectors of
 a block is judged by what stands before and after it, however far; blocks whose probability
 reaches ``KEEP`` are the main text.
 
-Training needs no labelled table.  ``sample`` pages are taken (those with the smallest hash of
-their id, the bound of the sample); those that mark their article give labels directly, and
+Training needs no labelled table.  ``sample`` different pages are taken (those with the smallest
+hash, the bound of the sample); those that mark their article give labels directly, and
 their paragraphs fill ``MADE`` pages of made layouts: menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments around an article, with semantic elements, with telling class
 names, or with neither.  The network learns these labels by gradient descent in the driver.
@@ -380,8 +380,10 @@ class PageMaker:
 
 def train(pages: DataFrame, sample: int = SAMPLE, made: int = MADE, seed: int = SEED) -> Labeller | None:
     """Fit the labeller on at most ``sample`` pages and ``made`` made ones."""
-    key = F.xxhash64(F.lit(seed), "page_id")
-    rows = pages.select("page_id", "html").where("html is not null").orderBy(key, "page_id", F.xxhash64("html")).limit(sample).collect()
+    keyed = pages.where("html is not null").select(F.xxhash64(F.lit(seed), "page_id", "html").alias("key"), "html")
+    # keys first: no task sends pages that are not chosen, and equal rows count once
+    keys = [r["key"] for r in keyed.groupBy("key").agg(F.lit(1)).orderBy("key").limit(sample).collect()]
+    rows = keyed.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect() if keys else []
     read = [found for r in rows if (found := list(blocks(r["html"])))]
     if not read:
         return None
