@@ -13,8 +13,9 @@ output decides; the score is its share in a softmax whose scale is fitted on the
 
 The training texts are the ``per_class`` texts of each language with the smallest hash of their
 id; nothing else is sampled.  Defined cases: a text that is null or has no letter is ``und`` with
-score 0; a null language is not learned; without anything to learn from, every text is ``und``;
-other columns are ignored; very long texts are read whole, in pieces of bounded size.
+score 0; a null language is not learned; without anything to learn from, every text is ``und``; an
+empty table gives no rows; other columns are ignored, whatever their names; very long texts are read
+whole, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -43,20 +44,23 @@ UNKNOWN = "und"
 
 def ngrams(text: str) -> np.ndarray:
     """The distinct 1- to 3-grams of a text, as sorted numbers; a code point takes 21 bits."""
-    found = np.zeros(0, np.int64)
+    found, tail, after_letter = np.zeros(0, np.int64), np.zeros(0, np.int64), True
     for at in range(0, len(text), PIECE):
-        # a piece starts two characters early, for the n-grams across its start
-        low = text[max(0, at - MAX_N + 1) : at + PIECE].lower()
+        # lower case of a capital sigma would depend on what follows
+        low = text[at : at + PIECE].replace("Σ", "σ").lower()
         points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         letters = np.frombuffer(bytes(map(str.isalpha, low)), bool)
         # all that is not a letter is one blank between words
-        keep = letters | np.concatenate([[True], letters[:-1]])
-        points = np.where(letters, points, 32)[keep]
+        keep = letters | np.concatenate([[after_letter], letters[:-1]])
+        after_letter = letters[-1]
+        # the last points kept of the piece before come first, for the n-grams across its end
+        points = np.concatenate([tail, np.where(letters, points, 32)[keep]])
+        tail = points[-(MAX_N - 1) :]
         parts = [found, points]
         for n in range(2, MAX_N + 1):
-            grams = points[: len(points) - n + 1]
+            grams = points[: max(0, len(points) - n + 1)]
             for i in range(1, n):
-                grams = (grams << 21) | points[i : len(points) - n + 1 + i]
+                grams = (grams << 21) | points[i : i + len(grams)]
             parts.append(grams)
         found = np.unique(np.concatenate(parts))
     return found[found != 32]
@@ -92,15 +96,39 @@ class Model:
         return names, scores
 
 
+def sample_ids(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """``(group, doc_id)``: the ``most`` different ids of each group with the smallest hashes.
+
+    Hashes above a share of their range, set by the group's size, are left out before ranking, so
+    a ranking meets a few times ``most`` ids however large the group is; the share is widened
+    where too few different ids are below it.
+    """
+    keyed = rows.select(group, "doc_id", F.xxhash64("doc_id").alias("_h"))
+    sizes = {r[0]: r[1] for r in keyed.groupBy(group).count().collect()}
+    share = {g: 8.0 * most / n for g, n in sizes.items()}
+    while True:
+        # a hash is a number from -2^63 up
+        below = F.lit(False)
+        for g, part in share.items():
+            below = below | ((F.col(group) == F.lit(g)) & (F.col("_h") <= F.lit(min(int(part * 2**64), 2**64 - 1) - 2**63)))
+        found = keyed.where(below).distinct()
+        counts = dict(found.groupBy(group).count().collect())
+        few = [g for g, part in share.items() if part < 1 and counts.get(g, 0) < most]
+        if not few:
+            break
+        share |= {g: share[g] * 8 for g in few}
+    first = Window.partitionBy(group).orderBy("_h", "doc_id")
+    return found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select(group, "doc_id")
+
+
 def training_sets(docs: DataFrame, per_class: int) -> list[tuple[str, np.ndarray]]:
-    """Language and n-grams of the bounded sample; ids are chosen before texts are read."""
+    """Language and n-grams of the bounded sample; ids are chosen before texts are read.
+
+    An id that stands on several rows of a language gives its first text.
+    """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = (
-        rows.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
-        .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_class)
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    )
+    learned = rows.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD)
+    chosen = sample_ids(learned, "lang", per_class).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +137,9 @@ def training_sets(docs: DataFrame, per_class: int) -> list[tuple[str, np.ndarray
 
     # at most per_class ids per language
     texts = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "lang", "text").mapInArrow(grams, f"doc_id {kind}, lang string, grams binary").collect()
+    found = texts.mapInArrow(grams, f"doc_id {kind}, lang string, grams binary").collect()
     found = sorted((r["lang"], r["doc_id"], bytes(r["grams"])) for r in found if r["grams"])
     return [(lang, np.frombuffer(g, np.int64)) for lang, _, g in found]
 
