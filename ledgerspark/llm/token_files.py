@@ -8,19 +8,26 @@ All batches of a file have the same size in bytes, so sequence ``i`` lies at a c
 ``SequenceFile`` returns it from the memory map without copying or reading anything else.
 A second stream beside it lists the shard's documents.
 
-Texts are split at spaces, pieces not seen lately are encoded, and the ids are put together by
-array gathers; the tokenizer drops white space and never joins text across it or across the end of
-a word, so the ids are those of the whole text (tests compare them).
+``encode`` gives the ids of whole texts.  With a tokenizer of the one normalizer and pre-tokenizer
+named in ``WORD_RULES`` it works by words, each encoded once: these rules never join or compose
+anything across a space, nor across the place between a letter and closing punctuation at a word's
+end (only letters of ``LETTER`` count here, which keep being one letter in lower case), and a word
+of such letters needs no more than lower case before the model.  Every other word is encoded by the
+tokenizer as it stands, and with any other tokenizer whole texts are.
 
 Defined cases: a null text is empty and has only the end id; a null document id comes first; rows
-that repeat an id are in the order of their texts; an empty table gives no files and no rows.
+that repeat an id are in the order of the first ``TIE_CHARS`` characters of their texts, then in that
+of the table; texts are encoded whole, a very long one in a batch of its own; an empty table gives no
+files and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -37,35 +44,89 @@ from ledgerspark.llm.common import file_system, shared_dir, slices, staged
 END_ID = 1
 LENGTH = 2048
 ROWS = 32  # sequences in a record batch
+# documents and bytes of text of a shard, as means
 DOCS_PER_SHARD = 4096
+SHARD_BYTES = 1 << 24
 KNOWN_PIECES = 3 << 18  # encoded pieces that a worker keeps
+TIE_CHARS = 64
+BATCH_BYTES = 1 << 21  # bytes of text encoded at once
 MANIFEST = "path string, first_doc long, n_docs long, n_ids long"
 
 
+# fixed values: the rules under which words can be encoded one by one
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+# letters that have one code point in either case and compose with nothing after them but marks
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+# ASCII without letters, digits, the apostrophe of contractions and what special tokens hold
+CLOSING = r"!-&(-/:;?@\[-`{}~"
+_CLOSED = rf"([{LETTER}])([{CLOSING}]+)([ \n]|$)"
+_PLAIN = re.compile(rf"(?:[{LETTER}]+|[{CLOSING}]+)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 @functools.cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    model = Tokenizer.from_file(path)
+    spec = json.loads(model.to_str())
+    by_word = all(spec.get(k) == v for k, v in WORD_RULES.items()) and not any(
+        " " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]
+    )
+    return model, {} if by_word else None
+
+
+def _encode_pieces(model, pieces: list[str]) -> dict[str, bytes]:
+    """Ids of pieces, as bytes of unsigned 32-bit numbers."""
+    one, found, others = model.model.tokenize, {}, []
+    for x in pieces:
+        if _PLAIN.match(x):
+            low = x.lower()
+            low = low if low.isascii() else low.encode().decode("latin-1").translate(_LETTERS)
+            found[x] = array("I", [t.id for t in one(low)]).tobytes()
+        else:
+            others.append(x)
+    for x, e in zip(others, model.encode_batch_fast(others, add_special_tokens=False), strict=True):
+        found[x] = array("I", e.ids).tobytes()
+    return found
 
 
 def encode(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, one after the other, and the number of ids of each text."""
     model, known = _tokenizer(tokenizer)
-    # fewer distinct pieces: the model lower-cases anyway (special tokens, which it looks for
-    # before that, are left alone), and closing punctuation after a letter is a piece of its own
-    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-    texts = pc.replace_substring_regex(texts, r"([\pL])([.,;:!?]+)(\s|$)", r"\1 \2\3")
-    pieces = pc.split_pattern(texts, " ")
+    if known is None:
+        coded = [e.ids for e in model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+    # a line feed is white space to the tokenizer too
+    apart = pc.replace_substring(pc.replace_substring_regex(texts, _CLOSED, r"\1 \2\3"), "\n", " ")
+    pieces = pc.split_pattern(apart, " ")
     coded = pieces.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    new = [x for x in names if x not in known]
-    codes = (array("I", e.ids).tobytes() for e in model.encode_batch_fast(new, add_special_tokens=False))
-    fresh = dict(zip(new, codes, strict=True))
-    parts = [known[x] if x in known else fresh[x] for x in names]
-    if len(known) < KNOWN_PIECES:
-        known.update(itertools.islice(fresh.items(), KNOWN_PIECES - len(known)))
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    fresh = _encode_pieces(model, [x for x in names if x not in known])
+    room = KNOWN_PIECES - len(known)
+    known.update(fresh)
+    parts = list(map(known.__getitem__, names))
+    for x in itertools.islice(fresh, room, None):
+        del known[x]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     flat = np.frombuffer(b"".join(parts), np.uint32)
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -188,7 +249,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_i
         fs.create_dir(root, recursive=True)
         name, out = f"{uuid.uuid4().hex}.arrows", None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 if out is None:
                     size = max(_tokenizer(tokenizer)[0].get_vocab_size(), end_id + 1)
                     out = _ShardWriter(fs, f"{root}/{name}", pa.uint16() if size <= 1 << 16 else pa.uint32(), length)
@@ -202,8 +263,12 @@ def write_sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_i
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = max(spark.sparkContext.defaultParallelism, -(-docs.select("doc_id").count() // DOCS_PER_SHARD))
-    ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    shards = max(spark.sparkContext.defaultParallelism, -(-n // DOCS_PER_SHARD), -(-size // SHARD_BYTES))
+    # rows that repeat an id, equal ones too, are spread over shards
+    keys = ["doc_id", "_start", "_tie"]
+    texts = texts.withColumns({"_start": F.substring("text", 1, TIE_CHARS), "_tie": F.monotonically_increasing_id()})
+    ordered = texts.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     before = Window.partitionBy(F.lit(0)).orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     # one row per shard
     return staged(ordered.mapInArrow(write, MANIFEST)).withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
