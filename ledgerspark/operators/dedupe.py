@@ -98,6 +98,11 @@ def assign_status(rows: DataFrame) -> DataFrame:
     )
 
 
+def high_reason(high_cents: int) -> str:
+    """The reason of a row that reaches the limit."""
+    return S.R_HIGH_PREFIX + threshold_label(high_cents)
+
+
 def build_reasons(rows: DataFrame, high_cents: int) -> DataFrame:
     """Add the ordered list of review reasons."""
     limit = F.lit(high_cents).cast("decimal(38,0)")
@@ -108,7 +113,7 @@ def build_reasons(rows: DataFrame, high_cents: int) -> DataFrame:
             date_error("date_raw", F.col("bill_date")),
             F.concat(F.lit(S.R_EXACT_PREFIX), "duplicate_of"),
             F.concat(F.lit(S.R_POSSIBLE_PREFIX), "possible_of", F.lit(S.R_POSSIBLE_SUFFIX)),
-            F.when(F.abs("cents") >= limit, S.R_HIGH_PREFIX + threshold_label(high_cents)),
+            F.when(F.abs("cents") >= limit, high_reason(high_cents)),
         )
     )
     return rows.withColumn("reasons", reasons)

@@ -6,6 +6,7 @@ aggregates.
 """
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 from ledgerspark import schema as S
 from ledgerspark.functions.text import norm_key
 from ledgerspark.operators.changes import CHANGE_COLUMNS, REVIEW_SLOT, change_count
+from ledgerspark.operators.dedupe import (
+    NEAR, assign_status, build_reasons, high_reason, hot_groups, is_parsed, mark_duplicates,
+)
 from ledgerspark.operators.numbering import number_rows
 from ledgerspark.operators.rules import Rules, categorise
-from ledgerspark.operators.skew import salted_join
+from ledgerspark.operators.skew import BROADCAST_ROWS, HOT_ROWS, fits_broadcast, lookup_join, salted_join
+from ledgerspark.sinks.staging import stage
 
 ACTIONS = ["category", "duplicate", "exclude", "confirm"]
 CARRY_BLOCK = 1_000_000
@@ -314,39 +319,111 @@ def review_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def record_totals(records: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """One row ``(flagged, changes)``: what a preview starts from; worth storing with a ledger."""
+    done = records if decisions is None else apply_decisions(records, decisions)
+    flagged = done.agg(F.count_if(F.size("reasons") > 0).alias("flagged"))
+    log = records.agg(F.coalesce(F.sum(change_count()), F.lit(0)).alias("n"))
+    return flagged.select("flagged", log.scalar().alias("changes"))
+
+
+def changed_keys(old: Rules, new: Rules) -> DataFrame:
+    """Norm keys whose name, category or origin differs between two policies."""
+    fields = ["alias", "category", "origin"]
+    then = new.df.select("norm_key", *[F.col(f).alias(f"_{f}") for f in fields])
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    return old.df.select("norm_key", *fields).join(then, "norm_key", "full_outer").filter(~same).select("norm_key")
+
+
+def affected_rows(now: DataFrame, old: Rules, new: Rules) -> DataFrame:
+    """``now`` with ``_moved``, set where a new policy can change a row's category or duplicates.
+
+    These are the rows of changed norm keys and all rows of the ``(merchant, date, cents)`` groups
+    that such rows leave or enter; every group of theirs is then complete, under both policies.
+    """
+    old, new = old.with_size(), new.with_size()
+    known = None not in (old.rows, new.rows)
+    keys = changed_keys(old, new).withColumn("_named", F.lit(True))
+    named = lookup_join(
+        now.withColumn("norm_key", norm_key("merchant_raw")), keys, ["norm_key"], "id",
+        old.rows + new.rows if known else None,
+    ).drop("norm_key")
+    parsed = named.filter(F.col("_named") & is_parsed())
+    entered = categorise(parsed.drop("merchant", "category", "category_rule"), new)
+    groups = parsed.select(NEAR).union(entered.select(NEAR)).distinct().withColumn("_near", F.lit(True))
+    rows = BROADCAST_ROWS if fits_broadcast(groups) else None
+    return (
+        lookup_join(named, groups, NEAR, "id", rows)
+        .withColumn("_moved", F.coalesce("_named", "_near", F.lit(False))).drop("_named", "_near")
+    )
+
+
+def _high(rules: Rules) -> Column:
+    limit = F.lit(rules.high_cents).cast("decimal(38,0)")
+    return F.coalesce(F.abs("cents") >= limit, F.lit(False))
+
+
 def preview_rules(
-    now: DataFrame, then: DataFrame, rows: DataFrame, old: Rules, new: Rules,
-    decisions: DataFrame | None = None,
+    now: DataFrame, old: Rules, new: Rules, decisions: DataFrame | None = None,
+    totals: DataFrame | None = None, hot: list[int] | None = None, folder: str | None = None,
 ) -> DataFrame:
     """One row: what a change of rules from ``old`` to ``new`` would do.
 
-    ``now`` and ``then`` are the records cleaned under both policies.  Categories depend on a
-    row's merchant alone, so re-categorised rows are counted by categorising each row twice;
-    the two record sets are never joined.  Rows whose category a reviewer decided keep it.
+    ``now`` are the records cleaned under ``old``.  Only affected rows are cleaned again: those of
+    ``affected_rows``, without parsing them a second time, and of the others those that a new limit
+    flags or clears.  Their differences are added to ``totals`` (``record_totals(now, decisions)``,
+    computed when not given).  Rows whose category a reviewer decided keep it.  ``hot`` as in
+    ``clean``.  Rows that may change are written to ``folder``, a new path, when it is given;
+    otherwise they are looked for again for each part of the answer.
     """
-    both = categorise(rows, old).withColumnRenamed("category", "_now").drop(
-        "merchant", "category_rule"
+    old, new = old.with_size(), new.with_size()
+    crossing = F.array_contains("reasons", high_reason(old.high_cents)) != _high(new)
+    marked = affected_rows(now, old, new).filter(F.col("_moved") | crossing)
+    if folder is not None:
+        marked = stage(marked, folder)
+    moved = marked.filter("_moved").drop("_moved")
+    renamed = categorise(
+        moved.withColumnRenamed("category", "_was").drop(
+            "merchant", "category_rule", "status", "duplicate_of", "possible_of", "reasons"
+        ),
+        new,
+    )
+    if hot is None:
+        # a frequent group needs that many rows
+        hot = hot_groups(renamed) if moved.limit(HOT_ROWS).count() == HOT_ROWS else []
+    again = build_reasons(assign_status(mark_duplicates(renamed, hot)), new.high_cents)
+    crossed = marked.filter(~F.col("_moved")).drop("_moved")
+    others = F.filter("reasons", lambda r: r != high_reason(old.high_cents))
+    raised = crossed.withColumn(
+        "reasons",
+        F.when(_high(new), F.array_append(others, F.lit(high_reason(new.high_cents)))).otherwise(others),
     )
-    both = categorise(both, new).select("id", "_now", "category")
+    sides = [(moved, -1), (again, 1), (crossed, -1), (raised, 1)]
+    both = reduce(DataFrame.unionByName, [
+        df.withColumn("_n", change_count()).select(*now.columns, "_n", F.lit(side).alias("_side"))
+        for df, side in sides
+    ])
+    done = both if decisions is None else apply_decisions(both, decisions)
+    change = done.agg(
+        F.struct(
+            F.coalesce(F.sum(F.when(F.size("reasons") > 0, F.col("_side"))), F.lit(0)).alias("flagged"),
+            F.coalesce(F.sum(F.col("_n") * F.col("_side")), F.lit(0)).alias("changes"),
+        ).alias("by")
+    ).scalar()
+    recategorised = renamed.filter(F.col("_was") != F.col("category"))
     if decisions is not None:
         decided = (
             active_decisions(decisions).filter(_is("category"))
             .select(F.col("row_id").alias("id")).distinct()
         )
-        both = both.join(decided, "id", "left_anti")
-    recategorised = both.agg(F.count_if(F.col("_now") != F.col("category")).alias("n"))
-
-    def side(records: DataFrame, name: str) -> DataFrame:
-        done = records if decisions is None else apply_decisions(records, decisions)
-        return done.agg(F.count_if(F.size("reasons") > 0).alias(f"flagged_{name}"))
-
-    def log(records: DataFrame) -> DataFrame:
-        return records.agg(F.coalesce(F.sum(change_count()), F.lit(0)).alias("n"))
-
-    return side(now, "now").select(
-        recategorised.scalar().alias("recategorised"),
-        "flagged_now",
-        side(then, "then").scalar().alias("flagged_then"),
-        log(now).scalar().alias("changes_now"),
-        log(then).scalar().alias("changes_then"),
+        recategorised = recategorised.join(decided, "id", "left_anti")
+    start = record_totals(now, decisions) if totals is None else totals
+    return start.select(
+        recategorised.agg(F.count("*").alias("n")).scalar().alias("recategorised"),
+        F.col("flagged").alias("flagged_now"),
+        (F.col("flagged") + change["flagged"]).alias("flagged_then"),
+        F.col("changes").alias("changes_now"),
+        (F.col("changes") + change["changes"]).alias("changes_then"),
     )

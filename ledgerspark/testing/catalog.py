@@ -185,11 +185,8 @@ def q_check_rule_snapshot(s, sf):
 
 
 def _preview(s, sf, decisions=None):
-    rows = dirty_bills(s, sf)
-    old, new = dirty_rules(s), new_rules(s)
-    now = stage(clean(rows, old), fx.work_folder(s))
-    then = stage(clean(rows, new), fx.work_folder(s))
-    return review.preview_rules(now, then, rows, old, new, decisions)
+    now = staged(s, sf)
+    return review.preview_rules(now, dirty_rules(s), new_rules(s), decisions, folder=fx.work_folder(s))
 
 
 def q_preview_rules(s, sf):

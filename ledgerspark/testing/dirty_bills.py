@@ -25,8 +25,12 @@ HEADERS = ["Invoice", "Vendor", "Date", "Amount"]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread the rows over the configured number of shuffle partitions."""
-    return df.repartition(key)
+    """Spread the rows over the configured number of shuffle partitions.
+
+    The number is stated: the rows are small but costly to parse, and Spark would merge partitions
+    by their bytes alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def dirty_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def test_preview(spark, base):
     reviewer = rules.rules_from_pairs(spark, [("DEMO OTHER 06", "Rent")], "reviewer", 100_000)
     new = rules.effective_rules(old, reviewer)
     then = clean(rows, new, hot=[])
-    p = review.preview_rules(base, then, rows, old, new).first()
+    p = review.preview_rules(base, old, new).first()
     expected = base.alias("a").join(then.alias("b"), "id").filter("a.category <> b.category").count()
     assert p["recategorised"] == expected > 0
     assert (p["flagged_now"], p["changes_now"]) == (39, 1004)
@@ -182,6 +182,45 @@ def test_preview(spark, base):
     assert p["changes_then"] == ch.build_changes(then).count()
 
 
+def _by_cleaning_twice(now, then, decisions):
+    """The preview's figures from two whole sets of records."""
+    done = [r if decisions is None else review.apply_decisions(r, decisions) for r in (now, then)]
+    flagged = [r.filter("size(reasons) > 0").count() for r in done]
+    both = now.alias("a").join(then.alias("b"), "id").filter("a.category <> b.category").select("id")
+    if decisions is not None:
+        kept = review.active_decisions(decisions).filter("action = 'category'").select(F.col("row_id").alias("id"))
+        both = both.join(kept, "id", "left_anti")
+    log = [ch.build_changes(r).count() for r in (now, then)]
+    return (both.count(), *flagged, *log)
+
+
+@pytest.mark.parametrize(("decided", "hot"), [(False, 2), (True, None)])
+def test_preview_equals_cleaning_twice(spark, sf_dir, decided, hot, monkeypatch):
+    from ledgerspark.operators import dedupe, skew
+    from ledgerspark.testing import fixtures as fx
+    from ledgerspark.testing.dirty_bills import SEGMENT_CATEGORY, dirty_bills, dirty_rules
+
+    if hot:  # no lookup is broadcast, and every group of two rows counts as frequent
+        monkeypatch.setattr(review, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        monkeypatch.setattr(dedupe, "HOT_ROWS", hot)
+    rows, old = dirty_bills(spark, sf_dir).cache(), dirty_rules(spark)
+    seg = [s for s, _ in SEGMENT_CATEGORY]
+    # two vendors become one, one gets another category only, one loses its rule, limit as given
+    pairs = [(f"{seg[0]} vendor 31", "Rent", "r1"), (f"{seg[0]} vendor 5", "Travel", "r2"), (f"{seg[1]} VENDOR 7", "Rent", "r3")]
+    merged = rules.rules_from_pairs(spark, pairs, "reviewer").df
+    # the key of vendor 6 gets the name of vendor 5
+    alias = F.when(F.col("alias") == f"{seg[0]} vendor 6", f"{seg[0]} vendor 5").otherwise(F.col("alias"))
+    kept = old.df.join(merged.select("norm_key"), "norm_key", "left_anti").filter(F.col("alias") != f"{seg[2]} vendor 2")
+    df = merged.unionByName(kept.withColumn("alias", alias)).cache()
+    decisions = fx.decision_log(spark, sf_dir).cache() if decided else None
+    now = clean(rows, old, hot=[]).cache()
+    for limit in (old.high_cents // 2, old.high_cents * 2)[: 1 if hot else 2]:
+        new = rules.Rules(df, limit, None if hot else 1000)
+        got = review.preview_rules(now, old, new, decisions).first()
+        assert tuple(got) == _by_cleaning_twice(now, clean(rows, new, hot=[]).cache(), decisions)
+
+
 @pytest.mark.parametrize("name", ["report_summary_reviewed", "check_reviewer_changes"])
 def test_reviewed_queries_cover_all_rows(spark, sf_dir, name):
     import duckdb
