@@ -1,12 +1,15 @@
 """CSV and workbook exports as one table of cells.
 
-Files are listed and read by Spark.  A workbook is decoded in the task that holds it.  CSV files of
-any size are read as lines, in splits, and cut into records in three steps:
+Files are listed and read by Spark.  A workbook is taken apart into its sheets and its shared strings,
+which are decoded in tasks of their own and joined by string number.  CSV files of any size are read
+as lines, in splits, and cut into records in three steps:
 
 1. every split tells, for each delimiter and for both states in which it may be entered (between
    records or inside quotes), how it is left and how many records start in it;
-2. these few numbers are chained along each file, which fixes the delimiter, the state and the
-   first record number of every split, or the reason why the file cannot be read;
+2. these few numbers are chained along each file, which fixes, for each delimiter, the state and
+   the first record number of every split, or the reason why the file cannot be read; the delimiter
+   is the one whose first records name all fields, and where these records are not all in what the
+   first split kept of its start, the splits that hold them pass them on;
 3. every split decodes the records that lie within it; the two ends that belong to a record across
    splits are put together by record number.
 
@@ -17,7 +20,9 @@ import csv
 import io
 import posixpath
 import re
+import struct
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -27,14 +32,17 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
-from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast
+from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
+from ledgerspark.sinks.staging import stage
 
 CHUNK_ROWS = 10_000
 DELIMITERS = [",", ";", "\t"]
+SHEET = ["file_ix", "sheet_ix"]
+MISSING_STRING = "shared string missing from the workbook"
 _CELL_SCHEMA = (
     "source_file string, file_ix int, sheet_ix int, source_sheet string, source_row bigint, "
     "vals array<string>, kinds array<string>, problem string"
@@ -70,54 +78,92 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-class _Workbook:
-    """Streams the sheets of an XLSX workbook; of a sheet, one row is in memory."""
+_STORED, _DEFLATED, _ENCRYPTED = 0, 8, 1
+_XML_PIECE = 1 << 16
+# what a damaged workbook makes the readers raise; it becomes a reject row, nothing is dropped silently
+_DAMAGE = (ValueError, KeyError, AttributeError, TypeError, IndexError, ET.ParseError, zipfile.BadZipFile, zlib.error, EOFError)
+STRINGS = "xl/sharedStrings.xml"
 
-    def __init__(self, book: zipfile.ZipFile):
-        self.book = book
+
+def _member(content: bytes, info: zipfile.ZipInfo) -> bytes:
+    """The stored bytes of a member, as they are; they are taken apart where they are decoded."""
+    if info.flag_bits & _ENCRYPTED or info.compress_type not in (_STORED, _DEFLATED):
+        raise ValueError("unsupported workbook member " + info.filename)
+    name, extra = struct.unpack("<HH", content[info.header_offset + 26 : info.header_offset + 30])
+    start = info.header_offset + 30 + name + extra
+    return content[start : start + info.compress_size]
+
+
+def workbook_members(content: bytes) -> Iterator[tuple[int, str, zipfile.ZipInfo, bytes]]:
+    """``(sheet_ix, sheet, member, bytes)`` of the sheets, and of the shared strings as sheet 0."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         members = Counter(book.namelist())
         if max(members.values(), default=0) > 1:
             raise ValueError("duplicate workbook member name")
-        self.strings = array_of_texts(self._ended("xl/sharedStrings.xml", "si")) if "xl/sharedStrings.xml" in members else []
-        links = {x.get("Id"): x.get("Target") for x in self._ended("xl/_rels/workbook.xml.rels", None)}
-        self.sheets = [
+        links = {x.get("Id"): x.get("Target") for x in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [
             (x.get("name"), posixpath.normpath(posixpath.join("/xl", links[x.get(f"{_DOC_REL}id")])).lstrip("/"))
-            for x in self._ended("xl/workbook.xml", "sheet")
+            for x in ET.fromstring(book.read("xl/workbook.xml")).iter(_MAIN + "sheet")
         ]
-
-    def _ended(self, member: str, tag: str | None) -> Iterator[ET.Element]:
-        """Elements of one tag (or all) as they end; each is emptied after its use."""
-        with self.book.open(member) as file:
-            for _, node in ET.iterparse(file):
-                if tag is None or node.tag == _MAIN + tag:
-                    yield node
-                    node.clear()
-
-    def rows(self, member: str) -> Iterator[tuple[int, list, list]]:
-        for row in self._ended(member, "row"):
-            found = dict(map(self._placed, row))
-            width = max(found, default=-1) + 1
-            cells = [found.get(i, (None, None)) for i in range(width)]
-            yield int(row.get("r")), [v for v, _ in cells], [k for _, k in cells]
-
-    def _placed(self, node: ET.Element) -> tuple[int, tuple[str | None, str | None]]:
-        letters = node.get("r").rstrip("0123456789")
-        column = reduce(lambda n, c: 26 * n + int(c, 36) - 9, letters, 0) - 1
-        parts = {child.tag.removeprefix(_MAIN): child for child in node}
-        if "f" in parts:
-            return column, (parts["f"].text or "", "f")
-        kind = node.get("t", "n")
-        if kind == "inlineStr":
-            return column, ("".join(parts["is"].itertext()) if "is" in parts else "", "s")
-        text = parts["v"].text if "v" in parts else None
-        if text is None:
-            return column, (None, None)
-        read = {"s": lambda: self.strings[int(text)], "n": lambda: _number_text(text), "b": lambda: _number_text(text)}
-        return column, (read.get(kind, lambda: text)(), "n" if kind in "nb" else "s")
-
-
-def array_of_texts(nodes: Iterator[ET.Element]) -> list[str]:
-    return ["".join(n.itertext()) for n in nodes]
+        named = [(i, name, book.getinfo(member)) for i, (name, member) in enumerate(sheets, 1)]
+        if STRINGS in members:
+            named.append((0, "", book.getinfo(STRINGS)))
+        for sheet_ix, name, info in named:
+            yield sheet_ix, name, info, _member(content, info)
+
+
+def _ended(stored: bytes, method: int, crc: int, tag: str) -> Iterator[ET.Element]:
+    """Elements of one tag of a member as they end; each is emptied after its use."""
+    unpack = zlib.decompressobj(-15) if method == _DEFLATED else None
+    parser, check = ET.XMLPullParser(["start", "end"]), 0
+    above: list[ET.Element] = []
+    for at in range(0, len(stored) + _XML_PIECE, _XML_PIECE):
+        piece = stored[at : at + _XML_PIECE]
+        text = piece if unpack is None else unpack.decompress(piece) if piece else unpack.flush()
+        check = zlib.crc32(text, check)
+        parser.feed(text)
+        for event, node in parser.read_events():
+            if event == "start":
+                above.append(node)
+                continue
+            above.pop()
+            if node.tag == _MAIN + tag:
+                yield node
+                # its parent would else keep every element that was read
+                above[-1].remove(node)
+    parser.close()
+    if check != crc:
+        raise ValueError("damaged workbook member")
+
+
+def sheet_rows(stored: bytes, method: int, crc: int) -> Iterator[tuple[int, list, list]]:
+    """``(row, values, kinds)`` of a sheet; the value of kind ``#`` is the number of a shared string."""
+    last = 0
+    for row in _ended(stored, method, crc, "row"):
+        if int(row.get("r")) <= last:
+            raise ValueError("rows out of order")
+        last = int(row.get("r"))
+        found = dict(map(_placed, row))
+        width = max(found, default=-1) + 1
+        cells = [found.get(i, (None, None)) for i in range(width)]
+        yield last, [v for v, _ in cells], [k for _, k in cells]
+
+
+def _placed(node: ET.Element) -> tuple[int, tuple[str | None, str | None]]:
+    letters = node.get("r").rstrip("0123456789")
+    column = reduce(lambda n, c: 26 * n + int(c, 36) - 9, letters, 0) - 1
+    parts = {child.tag.removeprefix(_MAIN): child for child in node}
+    if "f" in parts:
+        return column, (parts["f"].text or "", "f")
+    kind = node.get("t", "n")
+    if kind == "inlineStr":
+        return column, ("".join(parts["is"].itertext()) if "is" in parts else "", "s")
+    text = parts["v"].text if "v" in parts else None
+    if text is None:
+        return column, (None, None)
+    if kind == "s":
+        return column, (str(int(text)), "#")
+    return column, (_number_text(text), "n") if kind in "nb" else (text, "s")
 
 
 def _number_text(text: str) -> str:
@@ -125,21 +171,6 @@ def _number_text(text: str) -> str:
     return str(int(number)) if number.is_integer() else str(number)
 
 
-def workbook_rows(content: bytes) -> Iterator[Row]:
-    """Stored rows of every sheet of an XLSX workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        read = _Workbook(book)
-        for sheet_ix, (name, member) in enumerate(read.sheets, 1):
-            for number, values, kinds in read.rows(member):
-                yield sheet_ix, name, number, values, kinds
-
-
-def _decode(path: str, content: bytes) -> Iterator[Row]:
-    if posixpath.splitext(path)[1].lower() == ".xlsx":
-        return workbook_rows(content)
-    raise ValueError("supported input files are .csv and .xlsx")
-
-
 _ARROW = pa.schema(
     [
         ("source_file", pa.string()), ("file_ix", pa.int32()), ("sheet_ix", pa.int32()),
@@ -164,27 +195,109 @@ def _batch(path: str, file_ix: int, rows: list[Row], problem: str | None = None)
     )
 
 
-def _chunks(path: str, file_ix: int, content: bytes) -> Iterator[pa.RecordBatch]:
-    rows: list[Row] = []
-    try:
-        for row in _decode(path, content):
-            rows.append(row)
-            if len(rows) == CHUNK_ROWS:
-                yield _batch(path, file_ix, rows)
-                rows = []
-    except (ValueError, KeyError, AttributeError, TypeError, IndexError,
-            ET.ParseError, zipfile.BadZipFile) as e:
-        # a file that cannot be decoded becomes a reject row; nothing is dropped silently
-        reason = str(e) or type(e).__name__
-        yield _batch(path, file_ix, [(None, None, None, None, None)], reason)
-    if rows:
-        yield _batch(path, file_ix, rows)
-
-
-def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PART_SCHEMA = (
+    "source_file string, file_ix int, sheet_ix int, source_sheet string, method int, crc bigint, "
+    "stored binary, problem string"
+)
+_PART_NAMES = ["source_file", "file_ix", "sheet_ix", "source_sheet", "method", "crc", "stored", "problem"]
+_PART_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+
+
+def _part(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _PART_KINDS, strict=True)], _PART_NAMES)
+
+
+def _parts_of_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each workbook as rows of their own, still compressed."""
+    for batch in batches:
+        for path, file_ix, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+            path, file_ix = path.as_py(), file_ix.as_py()
+            try:
+                if posixpath.splitext(path)[1].lower() != ".xlsx":
+                    raise ValueError("supported input files are .csv and .xlsx")
+                for sheet_ix, name, info, stored in workbook_members(content.as_py()):
+                    yield _part(path, file_ix, sheet_ix, name, info.compress_type, info.CRC, stored, None)
+            except _DAMAGE as e:
+                yield _part(path, file_ix, None, None, None, None, None, str(e) or type(e).__name__)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for path, file_ix, content in zip(*(batch.column(i) for i in range(3))):
-            yield from _chunks(path.as_py(), file_ix.as_py(), content.as_py())
+        yield from batch.to_pylist()
+
+
+def _decode_sheets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sheets, a bounded number at a time."""
+    for part in _parts(batches):
+        rows: list[Row] = []
+        try:
+            for row in sheet_rows(part["stored"], part["method"], part["crc"]):
+                rows.append((part["sheet_ix"], part["source_sheet"], *row))
+                if len(rows) == CHUNK_ROWS:
+                    yield _batch(part["source_file"], part["file_ix"], rows)
+                    rows = []
+        except _DAMAGE as e:
+            yield _batch(part["source_file"], part["file_ix"], [(None, None, None, None, None)], str(e) or type(e).__name__)
+        if rows:
+            yield _batch(part["source_file"], part["file_ix"], rows)
+
+
+def _decode_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared strings of workbooks, numbered; a damaged list ends early with a problem."""
+    for part in _parts(batches):
+        found, number, problem = [], 0, None
+
+        def numbered(upto: int) -> pa.RecordBatch:
+            n = len(found)  # noqa: B023
+            return pa.RecordBatch.from_pydict({
+                "source_file": [part["source_file"]] * n, "file_ix": pa.array([part["file_ix"]] * n, pa.int32()),  # noqa: B023
+                "no": pa.array(range(upto - n, upto), pa.int64()), "shared": pa.array(found, pa.string()),  # noqa: B023
+            })
+
+        try:
+            for node in _ended(part["stored"], part["method"], part["crc"], "si"):
+                found.append("".join(node.itertext()))
+                number += 1
+                if len(found) == CHUNK_ROWS:
+                    yield numbered(number)
+                    found = []
+        except _DAMAGE as e:
+            problem = str(e) or type(e).__name__
+        yield numbered(number)
+        if problem:
+            yield pa.RecordBatch.from_pydict({
+                "source_file": [part["source_file"]], "file_ix": pa.array([part["file_ix"]], pa.int32()),
+                "no": pa.array([-1], pa.int64()), "shared": pa.array([problem], pa.string()),
+            })
+
+
+def _with_strings(rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """Rows of sheets with the texts behind the numbers of shared strings.
+
+    Numbers meet the strings of their file one by one, so no task holds all strings of a workbook;
+    a string that very many cells share is spread over tasks.
+    """
+    place = [*SHEET, "source_row"]
+    cells = rows.select(*place, F.posexplode(F.arrays_zip("vals", "kinds")).alias("_pos", "_cell"))
+    asked = cells.filter(F.col("_cell.kinds") == "#").select(
+        *place, "_pos", F.col("_cell.vals").cast("bigint").alias("no"), F.xxhash64(*place, "_pos").alias("_lane")
+    )
+    known = strings.filter("no >= 0").select("file_ix", "no", "shared")
+    size = BROADCAST_ROWS if fits_broadcast(known) else None
+    found = lookup_join(asked, known, ["file_ix", "no"], "_lane", size)
+    # one sheet row's cells
+    texts = found.groupBy(place).agg(
+        F.map_from_entries(F.collect_list(F.struct("_pos", F.coalesce("shared", F.lit(""))))).alias("_texts"),
+        F.count_if(F.col("shared").isNull()).alias("_lost"),
+    )
+    here = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    joined = rows.join(texts.withColumnsRenamed({c: f"_{c}" for c in place}), reduce(Column.__and__, here), "left")
+    vals = F.transform("vals", lambda v, i: F.when(F.get("kinds", i) == "#", F.try_element_at("_texts", i)).otherwise(v))
+    whole = joined.withColumn("vals", F.when(F.col("_texts").isNull(), F.col("vals")).otherwise(vals)).withColumn(
+        "kinds", F.transform("kinds", lambda k: F.when(k == "#", "s").otherwise(k))
+    ).withColumn("problem", F.when(F.col("_lost") > 0, MISSING_STRING).otherwise(F.col("problem")))
+    broken = strings.filter("no < 0").select("source_file", "file_ix", F.col("shared").alias("problem"))
+    return whole.select(rows.columns).unionByName(broken, allowMissingColumns=True)
 
 
 # --- CSV files in splits --------------------------------------------------------------------
@@ -192,7 +305,8 @@ def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 BETWEEN, INSIDE = 0, 1  # states at a line start: a record starts, or a quoted field goes on
 _QUOTE, _RETURN = ord('"'), ord("\r")
 BOM = b"\xef\xbb\xbf"
-# what a header row may take from the start of a file
+# what a first split keeps of its start, so that most files need no second look at it; where the
+# first records take more, they are read from their splits
 HEAD_BYTES = 1 << 20
 SPLIT = ["key", "start"]
 BAD_QUOTES = "not readable as delimited text: bad quoting"
@@ -256,17 +370,24 @@ def _splits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator
 def _summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (key, start), lines in _splits(batches):
         states = [[d, s, 0, True] for d in map(ord, DELIMITERS) for s in (BETWEEN, INSIDE)]
-        head, utf8 = bytearray(), True
+        # the lines in which the first records start, if one more record starts after them
+        head, held, full, utf8 = bytearray(), start == 0, False, True
         for line in lines:
-            if start == 0 and len(head) < HEAD_BYTES:
-                head += line + b"\n"
+            if held and not full:
+                if len(head) + len(line) > HEAD_BYTES:
+                    head, held = bytearray(), False
+                else:
+                    head += line + b"\n"
             utf8 = utf8 and (line.isascii() or _is_utf8(line))
             for way in states:
                 way[1], starts, _, sound = after_line(line, way[0], way[1])
                 way[2] += starts
                 way[3] = way[3] and sound
+            # a first split is entered between records
+            full = full or min(way[2] for way in states[::2]) > S.HEADER_SCAN_ROWS
         yield pa.RecordBatch.from_pydict({
             "key": [key], "start": [start], "utf8": [utf8], "head": pa.array([bytes(head)], pa.binary()),
+            "held": [held], "full": [full],
             "ends": pa.array([[w[1] for w in states]], pa.list_(pa.int32())),
             "starts": pa.array([[w[2] for w in states]], pa.list_(pa.int64())),
             "sound": [[w[3] for w in states]],
@@ -281,10 +402,17 @@ def _is_utf8(line: bytes) -> bool:
         return False
 
 
+UNDECIDED = "undecided"
+_WAYS = "key string, start bigint, delimiter string, entry int, first bigint, problem string"
+
+
 def _chain(splits: pd.DataFrame) -> pd.DataFrame:
-    """The entry state and first record of each split of one file, or why it cannot be read."""
+    """The entry state and first record of each split of one file, or why it cannot be read.
+
+    Where the first records are not at hand, these are given for every delimiter (undecided).
+    """
     splits = splits.sort_values("start", kind="stable")
-    head = bytes(splits["head"].iloc[0])
+    top = splits.iloc[0]
     readable = {}
     for i, delimiter in enumerate(DELIMITERS):
         state, record, rows, sound = BETWEEN, 1, [], True
@@ -294,17 +422,60 @@ def _chain(splits: pd.DataFrame) -> pd.DataFrame:
             state, record, sound = ends[way], record + starts[way], sound and fine[way]
         if sound and state == BETWEEN:
             readable[delimiter] = rows
-    named = [d for d in readable if _has_header(head, d)]
-    # without a header row the file is still read, so that its rows can be reported
-    delimiter = named[0] if named else DELIMITERS[0]
-    problem = BAD_UTF8 if not splits["utf8"].all() else None if delimiter in readable else BAD_QUOTES
+    problem = BAD_UTF8 if not splits["utf8"].all() else None if readable else BAD_QUOTES
     if problem:
-        return pd.DataFrame({"key": splits["key"].iloc[:1], "start": -1, "delimiter": "", "entry": 0, "first": 0, "problem": problem})
-    entry, first = zip(*readable[delimiter], strict=True)
-    return pd.DataFrame({
-        "key": splits["key"].to_numpy(), "start": splits["start"].to_numpy(), "delimiter": delimiter,
-        "entry": entry, "first": first, "problem": None,
-    })
+        return _unreadable(top["key"], problem)
+    if not (top["held"] and (top["full"] or len(splits) == 1)):
+        ways, problem = list(readable), UNDECIDED
+    else:
+        ways = [_choice({d: bytes(top["head"]) for d in readable})]
+        if ways[0] not in readable:
+            return _unreadable(top["key"], BAD_QUOTES)
+    parts = []
+    for delimiter in ways:
+        entry, first = zip(*readable[delimiter], strict=True)
+        parts.append(pd.DataFrame({
+            "key": splits["key"].to_numpy(), "start": splits["start"].to_numpy(), "delimiter": delimiter,
+            "entry": entry, "first": first, "problem": problem,
+        }))
+    return pd.concat(parts)
+
+
+def _unreadable(key: str, problem: str) -> pd.DataFrame:
+    return pd.DataFrame({"key": [key], "start": -1, "delimiter": "", "entry": 0, "first": 0, "problem": problem})
+
+
+def _choice(heads: dict[str, bytes]) -> str:
+    """The delimiter whose first records name all fields.
+
+    Without a header row the file is still read, so that its rows can be reported.
+    """
+    named = [d for d in DELIMITERS if d in heads and _has_header(heads[d], d)]
+    return named[0] if named else DELIMITERS[0]
+
+
+def _first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split and delimiter, the lines that belong to the first records of the file."""
+    for (key, start, ways), lines in _splits(batches):
+        found = [[w["delimiter"], w["entry"], w["first"] - 1, []] for w in ways]
+        for line in lines:
+            for way in found:
+                # numbered up to here; the line after the last needed start closes the record
+                if way[2] <= S.HEADER_SCAN_ROWS:
+                    way[3].append(line + b"\n")
+                    way[1], starts, _, _ = after_line(line, ord(way[0]), way[1])
+                    way[2] += starts
+        yield pa.RecordBatch.from_pydict({
+            "key": [key] * len(found), "start": pa.array([start] * len(found), pa.int64()),
+            "delimiter": [w[0] for w in found], "lines": pa.array([b"".join(w[3]) for w in found], pa.binary()),
+        })
+
+
+def _choose(lines: pd.DataFrame) -> pd.DataFrame:
+    """The delimiter of one file from the first records that its splits passed on."""
+    lines = lines.sort_values("start", kind="stable")
+    heads = {d: b"".join(map(bytes, own["lines"])) for d, own in lines.groupby("delimiter")}
+    return pd.DataFrame({"key": lines["key"].iloc[:1], "chosen": _choice(heads), "ok": _choice(heads) in heads})
 
 
 def _cells(path: str, file_ix: int, first: int, records: list[list[str]]) -> pa.RecordBatch:
@@ -372,6 +543,35 @@ def _join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
     return _cells(top["source_file"], int(top["file_ix"]), int(top["source_row"]), records).to_pandas()
 
 
+def _in_order(lines: DataFrame, splits: DataFrame, columns: list[str]) -> DataFrame:
+    """The lines of the given splits, in order, with what ``splits`` says about them."""
+    if fits_broadcast(splits):
+        return lines.join(F.broadcast(splits), SPLIT).select(columns)
+    numbered = lines.withColumn("place", F.monotonically_increasing_id())
+    return numbered.join(splits, SPLIT).sortWithinPartitions(*SPLIT, "place").select(columns)
+
+
+def _decided(lines: DataFrame, ways: DataFrame) -> DataFrame:
+    """``ways`` with one delimiter per file, chosen by the first records wherever these lie."""
+    last = F.lit(S.HEADER_SCAN_ROWS) + (F.col("entry") == INSIDE).cast("int")
+    open_ = ways.filter(F.col("problem") == UNDECIDED)
+    wanted = open_.filter(F.col("first") <= last).groupBy(SPLIT).agg(
+        F.sort_array(F.collect_list(F.struct("delimiter", "entry", "first"))).alias("ways")  # one per delimiter
+    )
+    heads = _in_order(lines, wanted, [*SPLIT, "ways", "line"]).mapInArrow(
+        _first_lines, "key string, start bigint, delimiter string, lines binary"
+    )
+    chosen = heads.groupBy("key").applyInPandas(_choose, "key string, chosen string, ok boolean")
+    settled = open_.join(chosen, "key")
+    good = settled.filter(F.col("ok") & (F.col("delimiter") == F.col("chosen"))).withColumn("problem", F.lit(None).cast("string"))
+    bad = settled.filter(~F.col("ok")).groupBy("key", "path", "file_ix").agg(F.lit(1)).select(
+        "path", "file_ix", "key", F.lit(-1).cast("bigint").alias("start"), F.lit("").alias("delimiter"), F.lit(0).alias("entry"),
+        F.lit(0).cast("bigint").alias("first"), F.lit(BAD_QUOTES).alias("problem"),
+    )
+    done = ways.filter(F.col("problem").isNull() | (F.col("problem") != UNDECIDED))
+    return done.unionByName(good.select(done.columns)).unionByName(bad).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
     places = spark.createDataFrame(files, "path string, key string, file_ix int")
     lines = spark.read.option("lineSep", "\n").text([path for path, _, _ in files]).select(
@@ -379,26 +579,23 @@ def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFra
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value").cast("binary").alias("line"),
     )
-    summary = "key string, start bigint, utf8 boolean, head binary, ends array<int>, starts array<bigint>, sound array<boolean>"
-    plan = (
-        lines.mapInArrow(_summarise, summary).groupBy("key")
-        .applyInPandas(_chain, "key string, start bigint, delimiter string, entry int, first bigint, problem string")
-        .join(places, "key")
-        # a few numbers per split, used for the problems, the size and the lines
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    summary = (
+        "key string, start bigint, utf8 boolean, head binary, held boolean, full boolean, ends array<int>, "
+        "starts array<bigint>, sound array<boolean>"
     )
-    readable = plan.filter("problem is null").drop("problem")
-    columns = [*SPLIT, "path", "file_ix", "delimiter", "entry", "first", "line"]
-    if fits_broadcast(readable):
-        ordered = lines.join(F.broadcast(readable), SPLIT).select(columns)
-    else:
-        numbered = lines.withColumn("place", F.monotonically_increasing_id())
-        ordered = numbered.join(readable, SPLIT).sortWithinPartitions(*SPLIT, "place").select(columns)
+    # a few numbers per split, used for the problems, the size and the lines
+    ways = lines.mapInArrow(_summarise, summary).groupBy("key").applyInPandas(_chain, _WAYS)
+    # joined to the listing first: an equal plan over other splits must not find these rows
+    ways = ways.join(places, "key").persist(StorageLevel.MEMORY_AND_DISK)
+    if ways.filter(F.col("problem") == UNDECIDED).limit(1).count():
+        ways = _decided(lines, ways)
+    readable = ways.filter("problem is null").drop("problem")
+    ordered = _in_order(lines, readable, [*SPLIT, "path", "file_ix", "delimiter", "entry", "first", "line"])
     decoded = ordered.mapInArrow(_decode_splits, _PIECES)
     whole = decoded.filter("piece is null").drop("piece", "delimiter")
     across = decoded.filter("piece is not null").groupBy("file_ix", "source_row").applyInPandas(_join_pieces, _CELL_SCHEMA)
     null = F.lit(None)
-    bad = plan.filter("problem is not null").select(
+    bad = ways.filter("problem is not null").select(
         F.col("path").alias("source_file"), "file_ix", null.cast("int").alias("sheet_ix"),
         null.cast("string").alias("source_sheet"), null.cast("bigint").alias("source_row"),
         null.cast("array<string>").alias("vals"), null.cast("array<string>").alias("kinds"), "problem",
@@ -423,9 +620,12 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, s
     return found
 
 
-def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_exports(spark: SparkSession, paths: str | list[str], folder: str | None = None) -> DataFrame:
     """Cells of many CSV and XLSX exports.
 
+    Sheets of workbooks are decoded once and kept in ``folder``, a new path, when it is given;
+    otherwise they are decoded again for each table derived from them.
+
     Columns ``(source_file, file_ix, sheet_ix, source_sheet, source_row, vals, kinds,
     problem)``; a kind is ``s`` text, ``n`` number, ``f`` formula or null.  ``file_ix`` counts
     the files in order.  The same file given twice is an error.
@@ -436,20 +636,30 @@ def read_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     text, other = [], []
     for ix, (path, key, _) in enumerate(files, 1):
         (text if path.lower().endswith(".csv") else other).append((path, key, ix))
-    parts = [_read_whole(spark, other)] if other else []
+    parts = [_read_workbooks(spark, other, folder)] if other else []
     parts += [_read_csv(spark, text)] if text else []
     return reduce(DataFrame.unionByName, parts)
 
 
-def _read_whole(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+def _read_workbooks(spark: SparkSession, files: list[tuple[str, str, int]], folder: str | None) -> DataFrame:
+    """Cells of workbooks; the unit of work is a sheet, and the shared strings are a table."""
     places = spark.createDataFrame([(p, i) for p, _, i in files], "path string, file_ix int")
     if len(files) <= BROADCAST_ROWS:
         places = F.broadcast(places)
     loaded = spark.read.format("binaryFile").load([p for p, _, _ in files])
-    return (
+    parts = (
         loaded.select("path", "content").join(places, "path")
-        .select("path", "file_ix", "content").mapInArrow(_decode_files, _CELL_SCHEMA)
+        .select("path", "file_ix", "content").mapInArrow(_parts_of_files, _PART_SCHEMA)
     )
+    if folder is not None:
+        parts = stage(parts, f"{folder}/members")
+    spread = parts.filter("problem is null").repartition("file_ix", "sheet_ix")
+    rows = spread.filter("sheet_ix > 0").mapInArrow(_decode_sheets, _CELL_SCHEMA)
+    strings = spread.filter("sheet_ix = 0").mapInArrow(_decode_strings, "source_file string, file_ix int, no bigint, shared string")
+    if folder is not None:
+        rows, strings = stage(rows, f"{folder}/rows"), stage(strings, f"{folder}/strings")
+    bad = parts.filter("problem is not null").select("source_file", "file_ix", "problem")
+    return _with_strings(rows, strings).unionByName(bad, allowMissingColumns=True)
 
 
 def read_csv_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -457,6 +667,6 @@ def read_csv_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_exports(spark, paths)
 
 
-def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_workbooks(spark: SparkSession, paths: str | list[str], folder: str | None = None) -> DataFrame:
     """Cells of XLSX workbooks."""
-    return read_exports(spark, paths)
+    return read_exports(spark, paths, folder)

@@ -699,6 +699,48 @@ def q_csv_intake(s, sf):
     return _flat(totals.reconcile(clean(rows, dirty_rules(s))))
 
 
+def _with_split_size(s, size, read):
+    """What ``read`` returns, with files cut into splits of ``size`` bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = s.conf.get(name)
+    try:
+        s.conf.set(name, str(size))
+        return stage(read(), fx.work_folder(s))
+    finally:
+        s.conf.set(name, before)
+
+
+def q_csv_intake_split(s, sf):
+    """Exports whose header comes late, read in splits that end before it and in large ones."""
+    paths = fx.preamble_exports(s, sf)
+    parts = []
+    for size in (32 << 10, 128 << 20):
+        cells = _with_split_size(s, size, lambda: exports.read_csv_exports(s, paths))
+        rows = _imported(headers.map_headers(cells).or_fail())
+        parts.append(rows.withColumn("split", F.lit(size)))
+    return parts[0].unionByName(parts[1])
+
+
+def q_workbook_intake(s, sf):
+    """Bills written as workbooks with shared strings and number cells, read again."""
+    cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf), fx.work_folder(s)), fx.work_folder(s))
+    return _imported(headers.map_headers(cells).or_fail())
+
+
+def q_workbook_amounts(s, sf):
+    """Texts of the amount cells of workbooks: numbers exact to the cent get two decimals."""
+    cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf), fx.work_folder(s)), fx.work_folder(s))
+    rows = headers.map_headers(cells).or_fail()
+    return rows.select(ft.strip_ws("invoice_raw").alias("invoice"), F.col("amount_raw").alias("amount"))
+
+
+def q_fixed_intake(s, sf):
+    """Bills in workbooks of the fixed layout, with the cells that each bill came from."""
+    cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf, fixed=True), fx.work_folder(s)), fx.work_folder(s))
+    rows = headers.map_headers(cells, mode="fixed").or_fail()
+    return _imported(rows)
+
+
 def q_csv_intake_words(s, sf):
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
     # one of the layouts names no invoice column by these words; its rows get made-up numbers

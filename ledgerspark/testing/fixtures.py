@@ -2,12 +2,16 @@
 
 import tempfile
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
-from ledgerspark.functions.text import norm_key
+from ledgerspark.functions.text import amount_cents, norm_key
 from ledgerspark.testing.dirty_bills import NAMED_VENDORS, VENDORS, dirty_table
 
 # (place, divisor, action, after, rule_added, undo_of place) of the decisions on order k
@@ -149,3 +153,102 @@ def csv_exports(spark: SparkSession, sf_dir: str) -> list[str]:
             .csv(f"{folder}/{name}")
         )
     return [f"{folder}/plain/*.csv", f"{folder}/other/*.csv"]
+
+
+# characters of a note before the header, and files, of exports with a preamble
+NOTE_CHARS = 100_000
+PREAMBLE_FILES = 4
+
+
+def preamble_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Write the messy bills as CSV files whose header comes after a long note; returns their glob."""
+    folder = work_folder(spark)
+    columns = {"date_raw": "Invoice date", "amount_raw": "Total CAD", "invoice_raw": "Bill ID", "merchant_raw": "Merchant name"}
+
+    def quoted(values) -> Column:
+        return F.concat_ws(";", *[F.concat(F.lit('"'), F.regexp_replace(v, '"', '""'), F.lit('"')) for v in values])
+
+    note = ["one, two; three\tand"] * (NOTE_CHARS // 20)
+    lines = ["Bills, all of them", '"a note', *note, 'to its end"', ";".join(columns.values())]
+    file = F.col("file")
+    top = spark.range(PREAMBLE_FILES).select(F.col("id").alias("file"), F.posexplode(F.array(*map(F.lit, lines))).alias("place", "value"))
+    rows = dirty_table(spark, sf_dir).select(
+        (F.col("ord") % PREAMBLE_FILES).alias("file"), (F.col("ord") + len(lines)).alias("place"), quoted(map(F.col, columns)).alias("value")
+    )
+    both = top.unionByName(rows).repartitionByRange(PREAMBLE_FILES, file).sortWithinPartitions("file", "place").select("file", "value")
+    # a row is a line already: neither the delimiter nor the quote of this writer occurs in one
+    writer = both.write.partitionBy("file").option("sep", "\x02").option("quote", "\x01").option("escape", "\x01")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return f"{folder}/file=*/*.csv"
+
+
+# bills in one workbook
+BOOK_BILLS = 20_000
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _write_workbook(file, sheets: dict[str, list[list]], first_row: int) -> None:
+    """A workbook whose texts are shared strings; numbers are number cells."""
+    numbers: dict[str, int] = {}
+
+    def cell(column: int, row: int, value) -> str:
+        ref = f"{chr(65 + column)}{row}"
+        if isinstance(value, str):
+            return f'<c r="{ref}" t="s"><v>{numbers.setdefault(value, len(numbers))}</v></c>'
+        return f'<c r="{ref}"><v>{value}</v></c>'
+
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as book:
+        listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(
+                f'<row r="{n}">' + "".join(cell(c, n, v) for c, v in enumerate(values)) + "</row>"
+                for n, values in enumerate(rows, first_row)
+            )
+            book.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+        texts = "".join(f'<si><t xml:space="preserve">{escape(t)}</t></si>' for t in numbers)
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{texts}</sst>')
+
+
+def workbook_exports(spark: SparkSession, sf_dir: str, fixed: bool = False) -> str:
+    """Write the messy bills as workbooks; returns their glob.
+
+    A free layout has a title, two sheets per workbook and accepted amounts as numbers; the fixed
+    layout has the named sheets with their header rows and all cells as texts.
+    """
+    folder = work_folder(spark)
+    sheets = S.FIXED_LAYOUT if fixed else [("Bills", None), ("More bills", None)]
+    cents = amount_cents("amount_raw")
+    rows = dirty_table(spark, sf_dir).select(
+        F.floor(F.col("ord") / (10 * BOOK_BILLS)).alias("book"), (F.col("ord") % len(sheets)).alias("sheet"),
+        "ord", "invoice_raw", "merchant_raw", "date_raw", "amount_raw", (cents / 100).alias("number"),
+    )
+
+    def write(bills: pd.DataFrame) -> pd.DataFrame:
+        content = {}
+        for i, (name, wanted) in enumerate(sheets):
+            own = bills[bills["sheet"] == i].sort_values("ord")
+            head = list(wanted) if fixed else ["Vendor", "Amount", "Invoice", "Date"]
+            body = []
+            for r in own.itertuples():
+                if fixed:
+                    body.append([r.invoice_raw, r.merchant_raw, r.date_raw, r.amount_raw])
+                else:
+                    amount = r.amount_raw if pd.isna(r.number) else r.number
+                    body.append([r.merchant_raw, amount, r.invoice_raw, r.date_raw])
+            content[name] = [head, *body] if fixed else [["Bills of the month"], head, *body]
+        where, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        where.create_dir(path, recursive=True)
+        name = f"{path}/{int(bills['book'].iloc[0]):09d}.xlsx"
+        # a repeated attempt writes the same workbook; no reader sees half of one
+        part = f"{name}.{uuid.uuid4().hex}"
+        with where.open_output_stream(part) as file:
+            _write_workbook(file, content, S.FIXED_HEADER_ROW if fixed else 1)
+        where.move(part, name)
+        return pd.DataFrame({"path": [name]})
+
+    rows.groupBy("book").applyInPandas(write, "path string").collect()
+    return f"{folder}/*.xlsx"

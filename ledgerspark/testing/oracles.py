@@ -803,6 +803,18 @@ FROM rec WHERE v >= 30 AND v % 2 = 1
         "check_all": ("", " UNION ALL ".join(_CHECKS.values())),
         # files
         "csv_intake": ("", _reconcile("rec", _THREE)),
+        "csv_intake_split": (
+            "",
+            "SELECT invoice, written AS merchant, cents, bill_date, CAST(split AS INTEGER) AS split "
+            "FROM rec, (VALUES (32768), (134217728)) AS s(split)"),
+        "workbook_intake": (
+            "", "SELECT invoice, written AS merchant, cents, bill_date FROM rec"),
+        "workbook_amounts": (
+            "",
+            "SELECT invoice, CASE WHEN cents IS NULL THEN amount_raw "
+            "ELSE CAST(CAST(cents / 100.0 AS DECIMAL(18, 2)) AS VARCHAR) END AS amount FROM rec"),
+        "fixed_intake": (
+            "", "SELECT invoice, written AS merchant, cents, bill_date FROM rec"),
         "csv_intake_words": (
             "", "SELECT written AS merchant, cents, bill_date FROM rec"),
         "csv_intake_rows": (

@@ -80,6 +80,27 @@ def test_unreadable_files_are_refused_at_every_split_size(spark, tmp_path, conte
             assert intake.rows.count() == 0 and intake.rejects.count() == 1
 
 
+@pytest.mark.parametrize("delimiter", [";"])
+@pytest.mark.parametrize("note", ["monthly export", '"a, b; c\td\n' + "more of it\n" * 40 + '"'])
+def test_the_delimiter_does_not_depend_on_splits(spark, tmp_path, monkeypatch, delimiter, note):
+    path = tmp_path / "late.csv"
+    lines = [note, "", "x" * 90, delimiter.join(HEAD), delimiter.join(["Q1", "Pine", "2026-02-03", "12.50"]), delimiter.join(["Q2", "Oak", "2026-02-04", "3.25"])]
+    path.write_text("\n".join(lines) + "\n")
+    other = tmp_path / "none.csv"
+    other.write_text("a;b\n" * 30)
+    found = []
+    for size, head in ((64, 1 << 20), (128 << 20, 1 << 20), (128 << 20, 10)):
+        monkeypatch.setattr(exports, "HEAD_BYTES", head)
+        with split_size(spark, size):
+            cells = exports.read_exports(spark, [str(path), str(other)])
+            intake = headers.map_headers(cells)
+            rows = sorted((r.source_row, r.invoice_raw, r.amount_raw) for r in intake.rows.collect())
+            found.append((rows, sorted((r.source_file[-8:], r.reason) for r in intake.rejects.collect())))
+    assert [r[1:] for r in found[0][0]] == [("Q1", "12.50"), ("Q2", "3.25")]
+    assert found[0][1] == [("none.csv", headers.UNMAPPED)]
+    assert all(f == found[0] for f in found)
+
+
 def test_a_bill_over_several_lines_stays_one_bill(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('Invoice,Vendor,Date,Amount\nQ1,"Pine\nand\nOak",2026-02-03,12.50\nQ2,Elm,2026-02-04,3.25\n')

@@ -230,3 +230,46 @@ def test_fixed_layout(spark, tmp_path):
         exports.read_workbooks(spark, write_workbook(tmp_path / "bad.xlsx", wrong)), mode="fixed"
     )
     assert {r["reason"] for r in bad.rejects.collect()} == {headers.LAYOUT, headers.MISSING_SHEET}
+
+
+def test_shared_strings_are_joined_by_number(spark, tmp_path, monkeypatch):
+    from ledgerspark.testing import fixtures as fx
+
+    monkeypatch.setattr(exports, "CHUNK_ROWS", 7)
+    body = [[f"vendor & <{i % 5}>", 1.5 + i, f"I{i}", "2026-01-02"] for i in range(60)]
+    names = {"Bills": [["Vendor", "Amount", "Invoice", "Date"], *body], "Rest": [["Vendor", "Amount", "Invoice", "Date"], ["", 2, "J", "x"]]}
+    for name in ("a", "b"):
+        with (tmp_path / f"{name}.xlsx").open("wb") as f:
+            fx._write_workbook(f, names, 1)
+    for limit in (None, 0):
+        if limit == 0:  # the strings are joined by shuffle
+            monkeypatch.setattr(exports, "fits_broadcast", lambda df: False)
+        rows = imported(spark, f"{tmp_path}/*.xlsx").orderBy("ord").collect()
+        got = [(r.merchant_raw, r.amount_raw, r.invoice_raw) for r in rows if r.source_file.endswith("b.xlsx")]
+        assert got[:60] == [(f"vendor & <{i % 5}>", f"{1.5 + i:.2f}", f"I{i}") for i in range(60)]
+        assert got[60:] == [("", "2.00", "J")] and len(rows) == 122
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [
+        (lambda z: z.update({"xl/worksheets/s1.xml": z["xl/worksheets/s1.xml"][:-20]}), "no element found"),
+        (lambda z: z.update({"xl/sharedStrings.xml": b"<sst xmlns='http://schemas.openxmlformats.org/spreadsheetml/2006/main'/>"}), "shared string missing"),
+        (lambda z: z.pop("xl/worksheets/s1.xml"), "There is no item named"),
+    ],
+)
+def test_damaged_workbooks_are_refused(spark, tmp_path, change, reason):
+    from ledgerspark.testing import fixtures as fx
+
+    good = tmp_path / "good.xlsx"
+    with good.open("wb") as f:
+        fx._write_workbook(f, {"Bills": [["Vendor", "Amount", "Invoice", "Date"], ["v", 1, "i", "2026-01-02"]]}, 1)
+    with zipfile.ZipFile(good) as z:
+        members = {n: z.read(n) for n in z.namelist()}
+    change(members)
+    with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    intake = headers.map_headers(exports.read_exports(spark, f"{tmp_path}/*.xlsx"))
+    assert any(reason in r.reason and r.source_file.endswith("bad.xlsx") for r in intake.rejects.collect())
+    assert [r.invoice_raw for r in intake.rows.collect()] == ["i"]
