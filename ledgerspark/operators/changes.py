@@ -1,6 +1,7 @@
 """The per-field change log."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
@@ -11,6 +12,8 @@ CHANGE_COLUMNS = [
     "source_file", "source_sheet", "source_row",
 ]
 REVIEW_SLOT = 10
+# source rows of a sheet that are numbered in one task
+BLOCK_ROWS = 65_536
 
 
 def _entries() -> Column:
@@ -37,6 +40,10 @@ def _entries() -> Column:
     )
 
 
+def _who() -> Column:
+    return F.when(F.col("rule") == S.RULE_CATEGORY_REVIEWER, "you").otherwise("build")
+
+
 def build_changes(records: DataFrame) -> DataFrame:
     """Entries of the automatic cleanup: only where the value really changed.  No shuffle.
 
@@ -49,7 +56,7 @@ def build_changes(records: DataFrame) -> DataFrame:
         .filter(F.col("before") != F.col("after"))
         .withColumn("seq", F.lit(None).cast("bigint"))
         .withColumn("at", F.lit(None).cast("timestamp"))
-        .withColumn("who", F.when(F.col("rule") == S.RULE_CATEGORY_REVIEWER, "you").otherwise("build"))
+        .withColumn("who", _who())
         .select(CHANGE_COLUMNS)
     )
 
@@ -59,6 +66,43 @@ def change_count() -> Column:
     return F.size(F.filter(_entries(), lambda e: e["before"] != e["after"]))
 
 
+def numbered_build_changes(records: DataFrame) -> DataFrame:
+    """``build_changes`` with a running number ``n`` in source order; the log is never sorted.
+
+    The entries of a record are known before they are spread out.  Their counts are summed per
+    block of ``BLOCK_ROWS`` source rows, and an exclusive scan over blocks, within a file and then
+    over files, tells with which number a block starts.  Inside a block the scan goes on over
+    its records, inside a record over its entries.  One exchange moves records, not entries, and
+    no task gets more than a block.  ``records`` are read twice: write them first.
+    """
+    block = F.floor(F.col("ord.source_row") / BLOCK_ROWS).alias("_block")
+    sheet = [F.col("ord.file_ix").alias("_file"), F.col("ord.sheet_ix").alias("_sheet"), block]
+    sizes = records.select(*sheet, change_count().alias("_n")).groupBy("_file", "_sheet", "_block").agg(F.sum("_n").alias("_n"))
+    earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    files = sizes.groupBy("_file").agg(F.sum("_n").alias("_all")).select(
+        "_file", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before")
+    )
+    in_file = W.partitionBy("_file").orderBy("_sheet", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "_file").select(
+        "_file", "_sheet", "_block", (F.col("_from") + F.col("_before")).alias("_start")
+    )
+    in_block = W.partitionBy("_file", "_sheet", "_block").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)
+    kept = F.filter(_entries(), lambda e: e["before"] != e["after"])
+    listed = records.select(
+        "id", "ord", "source_file", "source_sheet", "source_row", *sheet, kept.alias("_entries")
+    ).withColumn("_ahead", F.coalesce(F.sum(F.size("_entries")).over(in_block), F.lit(0)))
+    return (
+        listed.join(starts, ["_file", "_sheet", "_block"])
+        .select("id", "ord", "source_file", "source_sheet", "source_row", "_start", "_ahead", F.posexplode("_entries").alias("_at", "_e"))
+        .select("*", "_e.*")
+        .withColumn("n", F.col("_start") + F.col("_ahead") + F.col("_at") + 1)
+        .withColumn("seq", F.lit(None).cast("bigint"))
+        .withColumn("at", F.lit(None).cast("timestamp"))
+        .withColumn("who", _who())
+        .select("n", *CHANGE_COLUMNS)
+    )
+
+
 def change_log(build: DataFrame, reviewer: DataFrame) -> DataFrame:
     """Automatic and reviewer entries in one table; read it in ``(slot < 10, ord, slot, seq)``."""
     return build.select(CHANGE_COLUMNS).unionByName(reviewer.select(CHANGE_COLUMNS))

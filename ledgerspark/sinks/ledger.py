@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerspark import schema as S
 from ledgerspark.functions.text import cents_as_amount
 from ledgerspark.operators import checks
-from ledgerspark.operators.changes import REVIEW_SLOT, build_changes
+from ledgerspark.operators.changes import CHANGE_COLUMNS, build_changes, change_count, numbered_build_changes
 from ledgerspark.operators.numbering import number_rows
 from ledgerspark.operators.review import apply_decisions
 from ledgerspark.operators.rules import Rules
@@ -116,22 +116,23 @@ def write_reports(path: str, reports: dict[str, DataFrame]) -> None:
             df.write.mode(NEW).parquet(target)
 
 
-def numbered_changes(changes: DataFrame) -> DataFrame:
-    """Change log with its running number ``n``: automatic entries in source order, then
+def numbered_changes(records: DataFrame, reviewer: DataFrame | None = None) -> DataFrame:
+    """Change log of records with its running number ``n``: automatic entries in source order, then
     reviewer entries in the order they were made."""
-    review = F.struct(
-        F.lit(2**31 - 1).alias("file_ix"), F.lit(0).alias("sheet_ix"),
-        F.col("seq").alias("source_row"),
+    build = numbered_build_changes(records)
+    if reviewer is None:
+        return build
+    before = records.agg(F.coalesce(F.sum(change_count()), F.lit(0)).alias("n")).scalar()
+    made = F.struct(F.lit(0).alias("file_ix"), F.lit(0).alias("sheet_ix"), F.col("seq").alias("source_row"))
+    later = number_rows(reviewer.withColumn("_ord", F.col("ord")).withColumn("ord", made), ["id"])
+    return build.unionByName(
+        later.withColumn("ord", F.col("_ord")).withColumn("n", F.col("n") + before).select("n", *CHANGE_COLUMNS)
     )
-    placed = changes.withColumn(
-        "ord", F.when(F.col("slot") == REVIEW_SLOT, review).otherwise(F.col("ord"))
-    )
-    return number_rows(placed, ["slot"])
 
 
-def write_change_log_csv(path: str, changes: DataFrame) -> None:
+def write_change_log_csv(path: str, records: DataFrame, reviewer: DataFrame | None = None) -> None:
     """Change log as CSV ``n,src,field,before,after,rule,who,when``, every field quoted."""
-    lines = numbered_changes(changes).select(
+    lines = numbered_changes(records, reviewer).select(
         "n",
         F.col("id").alias("src"),
         "field",
@@ -146,6 +147,8 @@ def write_change_log_csv(path: str, changes: DataFrame) -> None:
         .write.mode(NEW)
         .option("header", True).option("quoteAll", True).option("escape", '"')
         .option("emptyValue", "")
+        # blanks at the ends of a source cell are what the log is about
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

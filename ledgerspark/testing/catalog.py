@@ -298,17 +298,18 @@ def q_row_history(s, sf):
 
 
 def q_numbered_changes(s, sf):
-    n = sinks.numbered_changes(_log(s, sf))
-    return n.select("n", "id", "field")
+    base = staged(s, sf)
+    made = review.reviewer_changes(base, fx.decision_log(s, sf))
+    return sinks.numbered_changes(base, made).select("n", "id", "field")
 
 
 def q_change_log_csv(s, sf):
     path = fx.work_folder(s)
-    sinks.write_change_log_csv(path, ch.build_changes(records(s, sf)))
+    sinks.write_change_log_csv(path, staged(s, sf))
     back = s.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
-    return back.groupBy("field", "who").agg(
-        F.count("*").alias("rows"), F.max(F.col("n").cast("bigint")).alias("last_n")
-    )
+    # Spark reads an empty field as null
+    before = F.coalesce("before", F.lit("")).alias("before")
+    return back.select(F.col("n").cast("bigint").alias("n"), "src", "field", before, "after", "rule", "who")
 
 
 # --- totals ----------------------------------------------------------------------------------

@@ -526,8 +526,8 @@ SELECT row_number() OVER (ORDER BY part, a, b) AS n, id, field FROM (
         ),
         "change_log_csv": (
             c,
-            "SELECT field, who, count(*) AS rows, max(n) AS last_n FROM (SELECT *, row_number() "
-            "OVER (ORDER BY ord, slot) AS n FROM changes) GROUP BY 1, 2",
+            "SELECT row_number() OVER (ORDER BY ord, slot) AS n, id AS src, field, before, after, rule, who "
+            "FROM changes",
         ),
         # totals
         "monthly_totals": (

@@ -153,7 +153,7 @@ def test_reports_and_change_log_csv(spark, tmp_path):
     ).first()["rows"]
 
     path = str(tmp_path / "log")
-    sinks.write_change_log_csv(path, ch.change_log(changes, made))
+    sinks.write_change_log_csv(path, records, made)
     text = "".join(open(f).read() for f in sorted(map(str, (tmp_path / "log").glob("part-*"))))
     body = [line for line in text.splitlines() if not line.startswith('"n"')]
     assert len(body) == 1007
@@ -176,3 +176,15 @@ def test_salted_join_equals_plain_join(spark):
     assert ck.check_repeatable(plain, salted).first()["ok"]
     assert skew.heavy_keys(left.limit(0), F.xxhash64("k"), 1) == []
     assert len(skew.heavy_keys(spark.range(50_000), F.xxhash64("id"), 1)) <= skew.TOP_KEYS
+
+
+@pytest.mark.parametrize("block", [7, 65_536])
+def test_numbers_of_the_change_log_follow_source_order(spark, monkeypatch, block):
+    monkeypatch.setattr(ch, "BLOCK_ROWS", block)
+    records = clean(sample.source_rows(spark), rules.builtin_rules(spark)).cache()
+    got = [r[1:] for r in sorted(ch.numbered_build_changes(records).select("n", "id", "field", "before", "after", "rule", "who").collect())]
+    log = ch.build_changes(records).orderBy("ord", "slot").select("id", "field", "before", "after", "rule", "who").collect()
+    assert got == [tuple(r) for r in log] and len(got) == 1004
+    numbers = [r.n for r in ch.numbered_build_changes(records).collect()]
+    assert sorted(numbers) == list(range(1, 1005))
+    assert ch.numbered_build_changes(records.limit(0)).count() == 0
