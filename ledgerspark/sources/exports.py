@@ -250,7 +250,7 @@ def _decode_strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         def numbered(upto: int) -> pa.RecordBatch:
             n = len(found)  # noqa: B023
             return pa.RecordBatch.from_pydict({
-                "source_file": [part["source_file"]] * n, "file_ix": pa.array([part["file_ix"]] * n, pa.int32()),  # noqa: B023
+                "source_file": pa.array([part["source_file"]] * n, pa.string()), "file_ix": pa.array([part["file_ix"]] * n, pa.int32()),  # noqa: B023
                 "no": pa.array(range(upto - n, upto), pa.int64()), "shared": pa.array(found, pa.string()),  # noqa: B023
             })
 

@@ -271,5 +271,11 @@ def test_damaged_workbooks_are_refused(spark, tmp_path, change, reason):
         for name, content in members.items():
             z.writestr(name, content)
     intake = headers.map_headers(exports.read_exports(spark, f"{tmp_path}/*.xlsx"))
-    assert any(reason in r.reason and r.source_file.endswith("bad.xlsx") for r in intake.rejects.collect())
-    assert [r.invoice_raw for r in intake.rows.collect()] == ["i"]
+    refused = [(r.source_file[-8:], r.reason) for r in intake.rejects.collect()]
+    assert refused and all(f == "bad.xlsx" for f, _ in refused)
+    assert any(reason in r for _, r in refused), refused
+    # rows that stand before the damage are read; ``or_fail`` refuses them with their file
+    rows = [(r.source_file[-8:], r.invoice_raw) for r in intake.rows.collect()]
+    assert ("ood.xlsx", "i") in rows and {i for _, i in rows} == {"i"}
+    with pytest.raises(ValueError, match="bad.xlsx"):
+        intake.or_fail()
