@@ -156,19 +156,25 @@ def check_advisory(report: DataFrame, cache: DataFrame, records: DataFrame) -> D
     )
 
 
+def cache_problem() -> Column:
+    """Why a cache entry is not well formed, or null."""
+
+    def unless(ok: Column, problem: str) -> Column:
+        return F.when(~F.coalesce(ok, F.lit(False)), problem)
+
+    return F.coalesce(
+        unless(F.col("norm_key") == norm_key("merchant"), "key of another merchant"),
+        unless(F.col("category").isNull() | F.col("category").isin(S.CATEGORIES), "unknown category"),
+        unless(F.col("confidence").isNull() | F.col("confidence").between(0.0, 1.0), "confidence out of range"),
+        unless(F.col("provider").isin(S.PROVIDERS), "unknown provider"),
+        unless(F.col("model") != "", "no model"),
+        unless(F.col("generated").isNotNull(), "no date"),
+    )
+
+
 def check_cache(cache: DataFrame) -> DataFrame:
     """Cache entries are well formed."""
-    ok = (
-        (F.col("norm_key") == norm_key("merchant"))
-        & (F.col("category").isNull() | F.col("category").isin(S.CATEGORIES))
-        & (F.col("confidence").isNull() | F.col("confidence").between(0.0, 1.0))
-        & F.col("provider").isin(S.PROVIDERS)
-        & F.col("model").isNotNull() & (F.col("model") != "")
-        & F.col("generated").isNotNull()
-    )
-    totals = cache.agg(
-        F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad"), F.count("*").alias("n")
-    )
+    totals = cache.agg(F.count(cache_problem()).alias("bad"), F.count("*").alias("n"))
     return _verdict(totals, "cache", F.col("bad") == 0, _text(F.col("n"), " cache entries"))
 
 

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 ORDER = ["ord.file_ix", "ord.sheet_ix", "ord.source_row"]
 
 
-def number_rows(df: DataFrame, tie: list[str], name: str = "n") -> DataFrame:
-    """Add ``name``: 1, 2, … by ``ord`` and then the ``tie`` columns, which must tell rows apart.
+def number_rows(df: DataFrame, tie: list[str], name: str = "n", order: list[str] = ORDER) -> DataFrame:
+    """Add ``name``: 1, 2, … by ``order`` and then the ``tie`` columns, which must tell rows apart.
 
     The sorted rows are kept, because their counts and their numbers must come from the same cut
     into partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in [*ORDER, *tie]]
+    keys = [F.col(c) for c in [*order, *tie]]
     placed = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

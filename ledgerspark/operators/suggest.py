@@ -6,11 +6,14 @@ that only finds the JSON in the text.
 """
 
 import datetime as dt
+import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +21,9 @@ from pyspark.sql import types as T
 from ledgerspark import schema as S
 from ledgerspark.functions.reasons import keyword_guess, keyword_reason
 from ledgerspark.functions.text import norm_key
+from ledgerspark.operators.numbering import number_rows
 from ledgerspark.operators.skew import fits_broadcast, lookup_join
+from ledgerspark.sinks.staging import file_system
 
 NO_CACHE = "no cached model output for this merchant"
 NO_ANSWER = "no answer from the model"
@@ -214,30 +219,75 @@ def latest_answers(entries: DataFrame) -> DataFrame:
     )
 
 
+def suggestion_batches(merchants: DataFrame, batch: int = S.SUGGESTION_BATCH) -> DataFrame:
+    """Calls ``(batch_id, merchants)``: the names in order, ``batch`` per call.
+
+    The calls depend on the names alone, not on how they are spread over tasks.
+    """
+    names = merchants.select("merchant").filter("merchant is not null").distinct()
+    numbered = number_rows(names, [], order=["merchant"])
+    calls = numbered.withColumn("batch_id", F.floor((F.col("n") - 1) / batch))
+    # a list holds at most one batch
+    return calls.groupBy("batch_id").agg(F.sort_array(F.collect_list("merchant")).alias("merchants"))
+
+
+def _reply_file(log: str, names: list[str]) -> tuple[pafs.FileSystem, str, str]:
+    where, folder = file_system(log.rstrip("/"))
+    return where, folder, hashlib.sha256(json.dumps(names).encode()).hexdigest() + ".txt"
+
+
+def _logged_reply(log: str, names: list[str]) -> str | None:
+    """The reply that an earlier run or attempt got to exactly these names."""
+    where, folder, name = _reply_file(log, names)
+    path = f"{folder}/{name}"
+    if where.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with where.open_input_stream(path) as file:
+        return file.read().decode("utf-8", "surrogatepass")
+
+
+def _log_reply(log: str, names: list[str], reply: str) -> None:
+    where, folder, name = _reply_file(log, names)
+    where.create_dir(folder, recursive=True)
+    part = f"{folder}/_{uuid.uuid4().hex}"
+    with where.open_output_stream(part) as file:
+        file.write(reply.encode("utf-8", "surrogatepass"))
+    # no reader sees half of a reply
+    where.move(part, f"{folder}/{name}")
+
+
 def suggest(
     merchants: DataFrame,
     suggest_fn: Callable[[list[str]], str],
     batch: int = S.SUGGESTION_BATCH,
+    log: str | None = None,
 ) -> DataFrame:
     """Ask ``suggest_fn`` about every merchant, ``batch`` names per call, on the executors.
 
     The function gets a list of names and returns the reply text.  A failing call leaves its
     names without an answer and records the error; it never stops the job.  One row per
-    merchant: ``(norm_key, merchant, category, confidence, reason, error)``.
+    distinct merchant: ``(norm_key, merchant, category, confidence, reason, error)``.
+
+    ``log`` is a folder that all machines share.  Replies are kept there per call, so a retried
+    task, a second action on the result or a later run only asks what has no reply yet; failed
+    calls are not kept.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            names = frame["merchant"].tolist()
-            for i in range(0, len(names), batch):
-                part, reply, error = names[i : i + batch], None, None
-                try:
-                    reply = suggest_fn(part)
-                except Exception as failure:  # the user's function may raise anything
-                    error = f"{type(failure).__name__}: {failure}"
-                yield pd.DataFrame({"merchants": [part], "reply": [reply], "failed": [error]})
-
-    calls = merchants.select("merchant").mapInPandas(
+            for names in map(list, frame["merchants"]):
+                reply, error = _logged_reply(log, names) if log else None, None
+                if reply is None:
+                    try:
+                        reply = suggest_fn(names)
+                    except Exception as failure:  # the user's function may raise anything
+                        error = f"{type(failure).__name__}: {failure}"
+                    else:
+                        if log:
+                            _log_reply(log, names, reply)
+                yield pd.DataFrame({"merchants": [names], "reply": [reply], "failed": [error]})
+
+    calls = suggestion_batches(merchants, batch).select("merchants").mapInPandas(
         ask, "merchants array<string>, reply string, failed string"
     )
     read = calls.withColumn("r", read_reply("reply"))

@@ -49,6 +49,10 @@ def report_change_log(changes: DataFrame) -> DataFrame:
     )
 
 
+# the reading order of a summary
+SUMMARY_ORDER = ["section", "place", "ord", "label"]
+
+
 def _control_lines(records: DataFrame) -> DataFrame:
     def of(status: str) -> tuple[Column, Column]:
         here = F.col("status") == status
@@ -106,22 +110,24 @@ def report_summary(
 ) -> DataFrame:
     """Control lines, then month, category, merchant and high-bill sections.
 
-    Columns ``(section, place, label, cents, rows, note)``; read it in ``(section, place,
-    label)`` order: ``place`` is the line number in section 0 and minus the sorted-by amount
-    where a section is sorted by amount.  ``top_n`` shortens the merchant and high-bill
-    sections.
+    Columns ``(section, place, ord, label, cents, rows, note)``; read it in ``SUMMARY_ORDER``:
+    ``place`` is the line number in section 0 and minus the sorted-by amount where a section is
+    sorted by amount; ``ord`` is the place of a high bill in the source, so that equal amounts
+    keep the order of the source.  ``top_n`` shortens the merchant and high-bill sections.
     """
     kept = totals.bills(records)
     money = "decimal(38,0)"
     no_note = F.lit(None).cast("string")
+    no_ord = F.lit(None).cast(records.schema["ord"].dataType).alias("ord")
     control = _control_lines(records).select(
-        F.lit(0).alias("section"), F.col("place").cast(money).alias("place"),
+        F.lit(0).alias("section"), F.col("place").cast(money).alias("place"), no_ord,
         "label", "cents", "rows", "note",
     )
 
     def section(no: int, df: DataFrame, label: str, place, note: Column) -> DataFrame:
         return df.select(
             F.lit(no).alias("section"), place.cast(money).alias("place"),
+            F.col("ord") if "ord" in df.columns else no_ord,
             F.col(label).alias("label"), F.col("cents").cast(money).alias("cents"),
             F.col("rows").cast("bigint").alias("rows"), note.alias("note"),
         )
@@ -129,7 +135,7 @@ def report_summary(
     zero = F.lit(0)
     merchants = totals.merchant_totals(kept, top_n)
     high = totals.high_bills(kept, high_cents, top_n).select(
-        "invoice", "cents", F.lit(None).alias("rows"), "merchant"
+        "ord", "invoice", "cents", F.lit(None).alias("rows"), "merchant"
     )
     parts = [
         section(1, totals.monthly_totals(kept, months), "month", zero, no_note),

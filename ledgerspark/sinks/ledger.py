@@ -18,6 +18,7 @@ from ledgerspark.operators.review import apply_decisions
 from ledgerspark.operators.rules import Rules
 from ledgerspark.operators.totals import reconcile
 from ledgerspark.plans.clean import clean
+from ledgerspark.plans.reports import SUMMARY_ORDER
 
 NEW = "errorifexists"
 
@@ -103,10 +104,16 @@ def verify_ledger(path: str, rows: DataFrame, decisions: DataFrame | None = None
 
 
 def write_reports(path: str, reports: dict[str, DataFrame]) -> None:
-    """Write each report table under its name; tables with a month are partitioned by it."""
+    """Write each report table under its name; tables with a month are partitioned by it.
+
+    A summary is written in its reading order.
+    """
     for name, df in reports.items():
         target = f"{path}/{name}"
-        if "month" in df.columns and "ord" in df.columns:
+        if set(SUMMARY_ORDER) <= set(df.columns):
+            laid_out = df.repartitionByRange(*SUMMARY_ORDER).sortWithinPartitions(*SUMMARY_ORDER)
+            laid_out.write.mode(NEW).parquet(target)
+        elif "month" in df.columns and "ord" in df.columns:
             laid_out = df.repartitionByRange("month", "ord").sortWithinPartitions("month", "ord")
             laid_out.write.mode(NEW).partitionBy("month").parquet(target)
         elif "ord" in df.columns:

@@ -1,5 +1,6 @@
 """Writing an intermediate table that several results are derived from."""
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 
 
@@ -12,3 +13,10 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or of a plain path, for tasks that write files themselves."""
+    if "://" in uri or uri.startswith("file:"):
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri

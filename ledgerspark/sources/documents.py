@@ -1,14 +1,18 @@
 """Small documents and logs: rules, suggestion cache and decisions."""
 
 import json
+from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
 from ledgerspark.functions.text import WHITESPACE
-from ledgerspark.operators.checks import check_cache
+from ledgerspark.operators.checks import cache_problem, check_cache
+from ledgerspark.operators.review import ACTIONS
 from ledgerspark.operators.rules import Rules, rules_from_pairs
 
 
@@ -112,3 +116,78 @@ def load_suggestion_cache(spark: SparkSession, path: str) -> DataFrame:
 def load_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Append-only decision log, one JSON object per line."""
     return spark.read.schema(S.DECISIONS).json(path)
+
+
+@dataclass(frozen=True)
+class Read:
+    """What was read: usable rows, and everything refused with its ``reason``."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def read_cache(spark: SparkSession, path: str) -> Read:
+    """Suggestion cache from a table that ``write_cache`` wrote; damaged entries are rejects."""
+    entries = spark.read.schema(S.SUGGESTION_CACHE).parquet(path).withColumn("reason_", cache_problem())
+    bad = entries.filter(F.col("reason_").isNotNull())
+    return Read(
+        entries.filter(F.col("reason_").isNull()).drop("reason_"),
+        bad.select("norm_key", "merchant", F.col("reason_").alias("reason")),
+    )
+
+
+BROKEN_LINE = "not a decision"
+INCOMPLETE = "decision without a number, id, row or action"
+UNKNOWN_ACTION = "unknown action"
+REPEATED_LINE = "line given again"
+REUSED_NUMBER = "one number for different decisions"
+
+
+def read_decisions(spark: SparkSession, path: str) -> Read:
+    """Decision log, one JSON object per line; damaged lines are rejects ``(line, copies, reason)``.
+
+    A line given several times counts once, its further copies are rejects.  Different lines with
+    one number are all refused, because their order is unknown.  Blank lines are skipped.
+    """
+    parsed = f"{S.DECISIONS.simpleString()[7:-1]},_broken:string"
+    lines = spark.read.text(path).filter(F.trim("value") != "").groupBy("value").agg(F.count("*").alias("n"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    read = lines.withColumn("d", F.from_json("value", f"struct<{parsed}>", options))
+    set_ = F.col("d.seq").isNotNull() & F.col("d.id").isNotNull() & F.col("d.action").isNotNull()
+    judged = read.withColumn(
+        "reason",
+        F.when(F.col("d").isNull() | F.col("d._broken").isNotNull(), BROKEN_LINE)
+        .when(~set_ | F.col("d.row_id").isNull() & (F.col("d.action") != "undo"), INCOMPLETE)
+        .when(~F.col("d.action").isin([*ACTIONS, "undo"]), UNKNOWN_ACTION),
+    )
+    good = judged.filter("reason is null")
+    numbers = good.groupBy(F.col("d.seq").alias("seq")).agg(F.count("*").alias("k")).filter("k > 1")
+    told = good.join(numbers, good["d.seq"] == numbers["seq"], "left")
+    one = told.filter("k is null")
+    rejects = [
+        (judged.filter("reason is not null"), F.col("n"), F.col("reason")),
+        (told.filter("k is not null"), F.col("n"), F.lit(REUSED_NUMBER)),
+        (one.filter("n > 1"), F.col("n") - 1, F.lit(REPEATED_LINE)),
+    ]
+    parts = [df.select(F.col("value").alias("line"), n.alias("copies"), r.alias("reason")) for df, n, r in rejects]
+    refused = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return Read(one.select(*[f"d.{c}" for c in S.DECISIONS.fieldNames()]), refused)
+
+
+def decision_gaps(decisions: DataFrame) -> DataFrame:
+    """Numbers that a log leaves out: ``(first, last)`` of every run between two of its numbers.
+
+    One range sort; the edges of the parts are compared in one small table.
+    """
+    parts = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = decisions.select("seq").filter("seq is not null").repartitionByRange(parts, "seq")
+    # steps inside the parts and their edges must come from the same cut
+    placed = placed.withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    here = placed.withColumn("_before", F.lag("seq").over(W.partitionBy("_part").orderBy("seq")))
+    # one row per part; the first number of a part follows the last one of the part before
+    edges = here.groupBy("_part").agg(F.min("seq").alias("seq"), F.max("seq").alias("_last"))
+    edges = edges.withColumn("_before", F.lag("_last").over(W.orderBy("_part")))
+    steps = here.select("seq", "_before").unionByName(edges.select("seq", "_before"))
+    return steps.filter(F.col("seq") > F.col("_before") + 1).select(
+        (F.col("_before") + 1).alias("first"), (F.col("seq") - 1).alias("last")
+    )

@@ -513,17 +513,20 @@ def q_report_duplicates(s, sf):
 
 
 def q_report_change_log(s, sf):
-    out = reports.report_change_log(_log(s, sf))
-    return out.groupBy("field", "rule").agg(F.count("*").alias("rows"))
+    return reports.report_change_log(_log(s, sf)).select("seq", "id", "field", "before", "after", "rule")
 
 
 def q_report_summary(s, sf):
-    return _flat(reports.report_summary(staged(s, sf), HIGH_CENTS))
+    return _summary(reports.report_summary(staged(s, sf), HIGH_CENTS))
+
+
+def _summary(df):
+    """A summary with the source row of high bills, which orders equal amounts."""
+    return _flat(df.withColumn("source_row", F.col("ord.source_row")))
 
 
 def q_report_summary_reviewed(s, sf):
-    out = reports.report_summary(stage(reviewed(s, sf), fx.work_folder(s)), HIGH_CENTS)
-    return _flat(out)
+    return _summary(reports.report_summary(stage(reviewed(s, sf), fx.work_folder(s)), HIGH_CENTS))
 
 
 # --- suggestions -----------------------------------------------------------------------------
@@ -559,17 +562,17 @@ def q_ingest_replies(s, sf):
 
 
 def _canned(names: list[str]) -> str:
-    """A deterministic stand-in for a model: answers by vendor number, fails on some batches."""
+    """A deterministic stand-in for a model: one answer for all, fails on some batches."""
     import json
 
-    if any(n.lower().endswith("39") for n in names):
+    if any(n.endswith("-39") for n in names):
         raise RuntimeError("busy")
     return json.dumps([{"merchant": n, "category": "Rent", "confidence": 0.5, "reason": "r"} for n in names])
 
 
 def q_suggest(s, sf):
     names = suggest.uncategorised_merchants(records(s, sf))
-    return suggest.suggest(names, _canned, batch=1).select(
+    return suggest.suggest(names, _canned, batch=12, log=fx.work_folder(s)).select(
         "merchant", "category", "confidence", "reason", "error"
     )
 
@@ -578,7 +581,7 @@ def q_upsert_cache(s, sf):
     cache = fx.suggestion_cache(s, sf)
     names = suggest.uncategorised_merchants(staged(s, sf))
     answers = suggest.latest_answers(
-        suggest.suggest(names, _canned, batch=1)
+        suggest.suggest(names, _canned, batch=12)
         .filter("error is null")
         .select("norm_key", "merchant", "category", "confidence", "reason",
                 F.lit(1).alias("batch_id"), F.lit(0).alias("pos"))
@@ -677,7 +680,9 @@ def q_check_cache(s, sf):
 
 
 def q_check_all(s, sf):
-    r = staged(s, sf)
+    """Every check; the one of reviewer entries fails, as the log has decisions on unknown rows."""
+    r, log, cache = staged(s, sf), fx.decision_log(s, sf), fx.suggestion_cache(s, sf)
+    again = clean(dirty_bills(s, sf).repartition(13, "source_row"), dirty_rules(s), hot_rows=50)
     return ck.check_all(
         [
             ck.check_identity(dirty_bills(s, sf), r),
@@ -685,6 +690,11 @@ def q_check_all(s, sf):
             ck.check_amounts(dirty_bills(s, sf), r),
             ck.check_review_complete(reports.report_needs_review(r), r),
             ck.check_changes_complete(ch.build_changes(r), r),
+            ck.check_reviewer_changes(review.reviewer_changes(r, log), log),
+            q_check_policy(s, sf),
+            ck.check_repeatable(r, again),
+            ck.check_advisory(suggest.suggestions_report(r, cache), cache, r),
+            ck.check_cache(cache),
         ]
     )
 
@@ -743,9 +753,21 @@ def q_fixed_intake(s, sf):
 
 
 def q_csv_intake_words(s, sf):
+    """By words, the first column of the second layout, ``Note``, is taken for its invoice."""
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
-    # one of the layouts names no invoice column by these words; its rows get made-up numbers
-    return _imported(headers.map_headers(cells, mode="words").or_fail()).drop("invoice")
+    return _imported(headers.map_headers(cells, mode="words").or_fail())
+
+
+def q_csv_intake_rejects(s, sf):
+    """Exports of which some sheets and rows are refused: what is kept, and each reject."""
+    cells = stage(exports.read_csv_exports(s, fx.faulty_exports(s, sf)), fx.work_folder(s))
+    intake = headers.map_headers(cells)
+    file = F.regexp_extract("source_file", "file=([0-9]+)", 1).alias("file")
+    kept_rows = intake.rows.select(
+        file, "source_row", ft.strip_ws("invoice_raw").alias("invoice"), ft.amount_cents("amount_raw").alias("cents"),
+    )
+    refused = intake.rejects.select(file, "source_row", "reason")
+    return kept_rows.unionByName(refused, allowMissingColumns=True)
 
 
 def q_csv_intake_rows(s, sf):
@@ -789,17 +811,57 @@ def q_verify_ledger_damaged(s, sf):
 
 
 def q_write_reports(s, sf):
+    """The five report tables, written and read again: each of their rows."""
     path = fx.work_folder(s)
     r = staged(s, sf)
+    log = ch.change_log(ch.build_changes(r), review.reviewer_changes(r, fx.decision_log(s, sf)))
     sinks.write_reports(
-        path, {"bills": reports.report_bills(r), "duplicates": reports.report_duplicates(r)}
+        path,
+        {
+            "bills": reports.report_bills(r), "needs_review": reports.report_needs_review(r),
+            "duplicates": reports.report_duplicates(r), "change_log": reports.report_change_log(log),
+            "summary": reports.report_summary(r, HIGH_CENTS),
+        },
     )
-    month = s.read.parquet(f"{path}/bills").withColumn("month", F.col("month").cast("string"))
-    return month.groupBy("month").agg(
-        F.count("*").alias("rows"), (F.sum("amount") * 100).cast("bigint").alias("cents")
+
+    def rows(name, cents, *label):
+        label = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in label])
+        return s.read.parquet(f"{path}/{name}").select(
+            F.lit(name).alias("report"), label.alias("label"), cents.cast("bigint").alias("cents")
+        )
+
+    amount = F.col("amount") * 100
+    return (
+        rows("bills", amount, "month", "id", "reasons")
+        .unionByName(rows("needs_review", amount, "id", "status", "date_raw", "amount_raw"))
+        .unionByName(rows("duplicates", amount, "id", "duplicate_of"))
+        .unionByName(rows("change_log", F.col("seq"), "id", "field", "before", "after", "rule"))
+        .unionByName(rows("summary", F.col("cents"), "section", "place", "label", "rows", "note"))
     )
 
 
+def q_decisions_round_trip(s, sf):
+    """A decision log with damaged lines: the usable decisions and each refused line."""
+    log = documents.read_decisions(s, fx.damaged_decisions(s, sf))
+    good = log.rows.select("seq", "id", "row_id", "action", "after", "undo_of", F.col("at").cast("string").alias("made_at"))
+    line = F.regexp_extract("line", '"seq":([0-9]+)', 1).cast("bigint").alias("seq")
+    name = F.regexp_extract("line", '"id":"([^"]*)"', 1).alias("id")
+    return good.unionByName(log.rejects.select(line, name, "copies", "reason"), allowMissingColumns=True)
+
+
+def q_decision_gaps(s, sf):
+    return documents.decision_gaps(fx.decision_log(s, sf))
+
+
+def q_cache_round_trip(s, sf):
+    """A cache written and read again, with damaged entries apart."""
+    path = fx.work_folder(s)
+    sinks.write_cache(path, fx.damaged_cache(s, sf))
+    cache = documents.read_cache(s, path)
+    bad = cache.rejects.withColumnRenamed("reason", "reject")
+    return _flat(cache.rows.unionByName(bad, allowMissingColumns=True))
+
+
 def q_write_suggestions(s, sf):
     path = fx.work_folder(s)
     report = suggest.suggestions_report(records(s, sf), fx.suggestion_cache(s, sf))

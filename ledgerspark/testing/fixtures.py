@@ -175,13 +175,69 @@ def preamble_exports(spark: SparkSession, sf_dir: str) -> str:
     rows = dirty_table(spark, sf_dir).select(
         (F.col("ord") % PREAMBLE_FILES).alias("file"), (F.col("ord") + len(lines)).alias("place"), quoted(map(F.col, columns)).alias("value")
     )
-    both = top.unionByName(rows).repartitionByRange(PREAMBLE_FILES, file).sortWithinPartitions("file", "place").select("file", "value")
+    return _text_files(top.unionByName(rows), PREAMBLE_FILES, folder)
+
+
+def _text_files(lines: DataFrame, files: int, folder: str) -> str:
+    """Write ``(file, place, value)`` as one CSV file per ``file``, lines by place; their glob."""
+    sorted_ = lines.repartitionByRange(files, "file").sortWithinPartitions("file", "place").select("file", "value")
     # a row is a line already: neither the delimiter nor the quote of this writer occurs in one
-    writer = both.write.partitionBy("file").option("sep", "\x02").option("quote", "\x01").option("escape", "\x01")
+    writer = sorted_.write.partitionBy("file").option("sep", "\x02").option("quote", "\x01").option("escape", "\x01")
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return f"{folder}/file=*/*.csv"
 
 
+# headers of exports with faults: a sound one, none for the amount, two for it, and a sound one
+# whose rows partly have a cell more
+FAULTY_HEADERS = ["Invoice,Vendor,Date,Amount", "Invoice,Vendor,Date,Price", "Invoice,Vendor,Date,Amount,Total", "Invoice,Vendor,Date,Amount"]
+
+
+def faulty_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Write the messy bills as CSV files, some of which cannot be imported; returns their glob."""
+    k = F.floor(F.col("ord") / 10)
+    file = (k % len(FAULTY_HEADERS)).alias("file")
+    cells = [F.concat(F.lit('"'), c, F.lit('"')) for c in ("invoice_raw", "merchant_raw", "date_raw", "amount_raw")]
+    cells += [F.when(k % 28 == 3, F.lit("paid"))]
+    rows = dirty_table(spark, sf_dir).select(file, F.col("ord").alias("place"), F.concat_ws(",", *cells).alias("value"))
+    top = spark.createDataFrame([(i, -1, h) for i, h in enumerate(FAULTY_HEADERS)], "file bigint, place bigint, value string")
+    return _text_files(top.unionByName(rows), len(FAULTY_HEADERS), work_folder(spark))
+
+
+def damaged_decisions(spark: SparkSession, sf_dir: str) -> str:
+    """Write the decision log as JSON lines, some of them damaged; returns the folder."""
+    folder = work_folder(spark)
+    seq, undo = F.col("seq"), F.col("action") == "undo"
+    broken, unknown, again, reused = (seq % n == 0 for n in (53, 59, 67, 71))
+    incomplete = (seq % 61 == 0) & ~undo
+    log = decision_log(spark, sf_dir)
+
+    def line(**changed: Column) -> Column:
+        return F.to_json(F.struct(*[changed.get(c, F.col(c)).alias(c) for c in log.columns]))
+
+    whole = line()
+    lines = (
+        F.when(broken, F.array(F.expr("substring(line, 1, length(line) - 4)")))
+        .when(unknown, F.array(line(action=F.lit("approve"))))
+        .when(incomplete, F.array(line(row_id=F.lit(None).cast("string"))))
+        .when(again, F.array(whole, whole))
+        .when(reused, F.array(whole, line(id=F.concat("id", F.lit("-x")))))
+        .otherwise(F.array(whole))
+    )
+    log.withColumn("line", whole).select(F.explode(lines).alias("value")).write.text(folder)
+    return folder
+
+
+def damaged_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggestion cache with entries that no program should have written."""
+    v = F.regexp_extract("merchant", r"\d+$", 0).cast("int")
+    return suggestion_cache(spark, sf_dir).withColumns({
+        "category": F.when(v == 34, "Pets").otherwise(F.col("category")),
+        "confidence": F.when(v == 38, 1.5).otherwise(F.col("confidence")),
+        "model": F.when(v == 36, "").otherwise(F.col("model")),
+        "norm_key": F.when(v == 30, F.concat("norm_key", F.lit("x"))).otherwise(F.col("norm_key")),
+    })
+
+
 # bills in one workbook
 BOOK_BILLS = 20_000
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"

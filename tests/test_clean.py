@@ -220,3 +220,13 @@ def test_generated_code_stays_small_enough_to_be_compiled(spark, sf_dir, capfd):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capfd.readouterr().out)]
     assert sizes and max(sizes) < 8000
+
+
+def test_equal_high_bills_keep_their_source_order(spark):
+    rows = sample.source_rows(spark)
+    records = clean(rows, rules.builtin_rules(spark))
+    same = records.withColumn("cents", F.lit(900_000).cast(records.schema["cents"].dataType))
+    out = reports.report_summary(same, S.DEFAULT_HIGH_CENTS)
+    lines = out.filter("section = 4").orderBy(*reports.SUMMARY_ORDER).collect()
+    kept = totals.bills(same).orderBy("ord").collect()
+    assert [r["label"] for r in lines] == [r["invoice"] for r in kept]

@@ -9,6 +9,7 @@ from ledgerspark.operators import checks as ck
 from ledgerspark.operators import review, rules, totals, views
 from ledgerspark.plans import reports
 from ledgerspark.plans.clean import clean
+from ledgerspark.sources import documents
 from ledgerspark.testing.catalog import all_queries
 from ledgerspark.testing.oracles import all_oracles
 from tests import sample
@@ -237,3 +238,31 @@ def test_reviewed_queries_cover_all_rows(spark, sf_dir, name):
     else:
         # decisions on rows that the input does not have are part of the check
         assert want[0][1] is False
+
+
+def test_damaged_decision_log(spark, tmp_path):
+    whole = '{"seq":%d,"id":"%s","row_id":"1:1:2","action":"confirm"}'
+    lines = [
+        whole % (1, "a"), whole % (2, "b"), whole % (2, "b"), whole % (2, "b"), "", "  ", "null", "[1", "7",
+        whole % (5, "e"), whole % (5, "f"), '{"seq":6,"id":"g","action":"confirm"}',
+        '{"seq":8,"id":"h","row_id":"1:1:2","action":"approve"}', '{"seq":9,"id":"i","action":"undo","undo_of":"a"}',
+        '{"seq":"x","id":"j","row_id":"1:1:2","action":"confirm"}', whole % (12, "k"),
+    ]
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(lines) + "\n" + whole % (13, "l"))
+    log = documents.read_decisions(spark, str(path))
+    assert sorted(r["seq"] for r in log.rows.collect()) == [1, 2, 9, 12, 13]
+    got = {(r["line"], r["copies"], r["reason"]) for r in log.rejects.collect()}
+    assert got == {
+        (whole % (2, "b"), 2, documents.REPEATED_LINE),
+        ("null", 1, documents.BROKEN_LINE), ("[1", 1, documents.BROKEN_LINE), ("7", 1, documents.BROKEN_LINE),
+        (whole % (5, "e"), 1, documents.REUSED_NUMBER), (whole % (5, "f"), 1, documents.REUSED_NUMBER),
+        (lines[11], 1, documents.INCOMPLETE), (lines[12], 1, documents.UNKNOWN_ACTION),
+        (lines[14], 1, documents.BROKEN_LINE),
+    }
+    gaps = documents.decision_gaps(log.rows).collect()
+    assert sorted(map(tuple, gaps)) == [(3, 8), (10, 11)]
+    assert documents.decision_gaps(log.rows.limit(0)).count() == 0
+    path.write_text("")
+    empty = documents.read_decisions(spark, str(path))
+    assert empty.rows.count() == 0 and empty.rejects.count() == 0

@@ -184,3 +184,42 @@ def test_cache_grows_and_ledger_stays(spark, tmp_path):
     assert rows.count() == 20
     assert rows.filter(F.col("reason") == suggest.NO_CACHE).count() == 1
     assert suggest.keyword_suggestions(records).count() == 20
+
+
+def test_failed_call_is_asked_again_alone(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def model(names):
+        calls = len(list(asked.iterdir()))
+        (asked / str(calls)).write_text("\n".join(names))
+        if "n13" in names and calls < 3:
+            raise TimeoutError("slow")
+        return json.dumps([{"merchant": n, "category": "Rent", "confidence": 1, "reason": ""} for n in names])
+
+    # 30 names in order are three calls, whatever their partitions
+    names = spark.createDataFrame([(f"n{i:02}",) for i in range(30)], "merchant string").repartition(5)
+    log = str(tmp_path / "log")
+    first = suggest.suggest(names.coalesce(1), model, log=log).collect()
+    assert sorted(r["merchant"] for r in first if r["error"]) == [f"n{i:02}" for i in range(12, 24)]
+    n_first = len(list(asked.iterdir()))
+    second = suggest.suggest(names, model, log=log).collect()
+    assert [r for r in second if r["error"]] == [] and len(second) == 30
+    later = [f.read_text().split("\n")[0] for f in asked.iterdir() if int(f.name) >= n_first]
+    assert set(later) == {"n12"}
+    assert suggest.suggest(names.limit(0), model, log=log).count() == 0
+
+
+def test_calls_depend_on_names_alone(spark):
+    names = spark.createDataFrame([(f"n{i % 20:02}",) for i in range(60)] + [(None,)], "merchant string")
+    calls = {r["batch_id"]: r["merchants"] for r in suggest.suggestion_batches(names.repartition(7), 12).collect()}
+    assert calls == {0: [f"n{i:02}" for i in range(12)], 1: [f"n{i:02}" for i in range(12, 20)]}
+
+
+def test_damaged_cache_entries(spark, tmp_path):
+    cache = documents.load_suggestion_cache(spark, cache_document(tmp_path))
+    bad = cache.limit(1).withColumn("provider", F.lit(None).cast("string"))
+    cache.unionByName(bad).write.parquet(str(tmp_path / "table"))
+    read = documents.read_cache(spark, str(tmp_path / "table"))
+    assert read.rows.count() == cache.count()
+    assert [r["reason"] for r in read.rejects.collect()] == ["unknown provider"]
