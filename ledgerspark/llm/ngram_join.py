@@ -22,7 +22,8 @@ on a heap for what they must contribute and probes the longest lists by binary s
 
 Defined cases: a null or empty text, or one of separators only, has the empty set, links with
 nothing and is its own component; equal sets of repeated rows or ids are one unit; a null id has
-its component, named by the smallest id in it if there is one.
+its component, named by the smallest id in it if there is one; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,12 +44,14 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import BATCH_BYTES, slices, small, staged
 from ledgerspark.llm.components import components
+from ledgerspark.operators.skew import salted_join
 
 WORDS = 5
 PERCENT = 80
 SIEVE = 8  # a prefix must share one in so many of all shingles
 CHUNK = 64  # candidates that one search holds
 PAIRS_PER_TASK_GROUP = 512
+HOT_COPIES = 1000  # rows of one text that are spread over tasks when they get their names
 MU = 0.0085  # cost ratio of DivideSkip's choice of long lists
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -304,6 +307,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = named.groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("name"))
     by_unit = named.join(names, F.col("component") == F.col("_c")).select("_unit", "component", "name")
     copied = narrow.where("unit is not null").groupBy(F.col("unit").alias("_copy")).agg(F.min("doc_id").alias("copy_first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    out = narrow.join(by_unit, F.col("unit") == F.col("_unit"), "left").join(copied, F.col("unit") == F.col("_copy"), "left")
+    # what is known of a unit, once per unit; rows of one text are spread, and so are those without words
+    known = by_unit.join(copied, F.col("_unit") == F.col("_copy"), "full_outer").select(
+        F.coalesce("_unit", "_copy").alias("unit"), "component", "name", "copy_first"
+    )
+    lanes = narrow.withColumn("_lane", F.monotonically_increasing_id())
+    out = salted_join(lanes, staged(known), ["unit"], "_lane", hot_rows=HOT_COPIES)
     name = F.coalesce("name", "copy_first", "doc_id").alias("component_id")
     return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), name, F.coalesce("component", "unit").alias("group"))
