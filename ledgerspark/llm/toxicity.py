@@ -12,11 +12,12 @@ A text is cut into windows of ``WINDOW`` words.  Its largest savings, the number
 save at least so many bytes and its number of windows enter a logistic regression, fitted on labelled texts that no dictionary has seen and
 weighted to the shares of the labels; a text is predicted toxic from ``THRESHOLD`` on.
 
-Learning uses the ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` labelled rows with the smallest hash of
-their id, outside the held-out fold, and of each at most ``LEARN_CHARS`` characters; scoring reads
-whole texts.  Defined cases: a null or empty text has no windows and gets the score of that; rows
+Learning uses the ``TOXIC_TEXTS`` and ``ORDINARY_TEXTS`` labelled ids with the smallest hash
+outside the held-out fold, and the first text of each; both learning and scoring read whole texts
+of any length.  Defined cases: a null or empty text has no windows and gets the score of that; rows
 that repeat an id are scored each by its text; contradicting labels count as toxic; null labels
-are ignored; with one class only, or none, every score is that class's share (0 without labels).
+are ignored; with one class only, or none, every score is that class's share (0 without labels);
+an empty table gives no rows; columns other than ``doc_id``, ``text`` and ``toxic`` are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import crc_mod, slices
+from ledgerspark.llm.common import crc_mod, slices, staged
+from ledgerspark.llm.language import sample_ids
 
 FOLDS = 3
 HELD_FOLD = 1
 TOXIC_TEXTS = 1400
 ORDINARY_TEXTS = 3600
-LEARN_CHARS = 20_000
 WINDOW = 6
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 2048
@@ -134,43 +135,69 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """The bounded sample as ``(label, text)`` in hash order, and the numbers of the labels."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The bounded sample ``(label, place, n, text)``, whole texts, and the numbers of the labels.
+
+    ``place`` counts a label's texts by the hash of their ids, ``n`` is their number.  An id that
+    stands on several rows gives its first text.
+    """
     known = (
-        labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD))
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     )
+    known = staged(known)
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    first = Window.partitionBy("label").orderBy("h", "doc_id")
-    limit = F.when(F.col("label") == 1, TOXIC_TEXTS).otherwise(ORDINARY_TEXTS)
-    chosen = (
-        known.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= max(TOXIC_TEXTS, ORDINARY_TEXTS)).where(F.col("n") <= limit)
-        .select(F.col("doc_id").alias("_id"), "label", "h")
+    chosen = sample_ids(known.where("label = 1"), "label", TOXIC_TEXTS).union(
+        sample_ids(known.where("label = 0"), "label", ORDINARY_TEXTS)
     )
     # at most the two documented numbers of rows
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = rows.select("h", "_id", "label", F.substring("text", 1, LEARN_CHARS).alias("text")).collect()
-    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["h"], r["_id"], r["text"]))], totals
+    ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "label"))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("_id"))
+    texts = rows.groupBy("label", "_id").agg(F.min("text").alias("text"))
+    of_label = Window.partitionBy("label")
+    return texts.select(
+        "label", F.row_number().over(of_label.orderBy(F.xxhash64("_id"), "_id")).alias("place"),
+        F.count(F.lit(1)).over(of_label).alias("n"), "text",
+    ), totals
+
+
+def _measured(held: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of texts, computed in tasks."""
+    packed = held.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = pickle.loads(packed.value)
+        pair = loaded.compressors()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [loaded.features(t, pair) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("label"), part.column("place"), pa.array(found, pa.list_(pa.float64()))], ["label", "place", "x"]
+                )
+
+    spread = held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "place")
+    rows = spread.select("label", "place", "text").mapInArrow(measure, "label int, place int, x array<double>")
+    found = sorted((r["label"], r["place"], r["x"]) for r in rows.collect())
+    return np.array([x for _, _, x in found]), np.array([float(c) for c, _, _ in found])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    sample, totals = training_texts(docs, labels)
-    by = {c: [t for label, t in sample if label == c] for c in (0, 1)}
-    if not by[0] or not by[1]:
-        share = 1.0 if by[1] else 0.0
+    sample, totals = training_sample(docs, labels)
+    sample = staged(sample)
+    classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(classes) < 2:
+        share = 1.0 if 1 in classes else 0.0
         return Model(b"", b"", np.array([30.0 * (2 * share - 1)] + [0.0] * (FEATURES - 1)))
     # the first part of each class is for the dictionaries, the rest for the regression
-    cut = {c: max(1, int(0.55 * len(by[c]))) for c in by}
-    seen = {c: [windows(t) for t in by[c][: cut[c]]] for c in by}
+    cut = F.greatest(F.lit(1), F.floor(F.col("n") * 0.55))
+    learned = sorted((r["label"], r["place"], r["text"]) for r in sample.where(F.col("place") <= cut).collect())
+    seen = {c: [windows(t) for label, _, t in learned if label == c] for c in (0, 1)}
     parts = distinctive(seen[1], seen[0])
     toxic = dictionary(parts, TOXIC_BYTES, 24) if parts else b""
     model = Model(dictionary([w for t in seen[0] for w in t], ORDINARY_BYTES, 48), toxic, np.zeros(FEATURES))
-    pair = model.compressors()
-    held = [(c, t) for c in by for t in (by[c][cut[c] :] or by[c])]
-    x, y = np.array([model.features(t, pair) for _, t in held]), np.array([float(c) for c, _ in held])
+    x, y = _measured(sample.where((F.col("place") > cut) | (F.col("n") == 1)), model)
     all_labels = sum(totals.values())
-    weight = np.array([totals[c] / all_labels / sum(k == c for k, _ in held) * len(held) for c, _ in held])
+    weight = np.array([totals[int(c)] / all_labels / (y == c).sum() * len(y) for c in y])
     model.weights = _logistic(x, y, weight)
     return model
 
