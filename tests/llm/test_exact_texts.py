@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import language, queries, token_files
+from ledgerspark.llm import ngram_join, language, queries, token_files
 
 # combining marks, letters that change or grow in lower case, white space of all kinds, special tokens
 ODD = [
@@ -109,3 +109,13 @@ def test_sample_has_the_smallest_hashes_of_every_group(spark):
         ids = rows.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(50).collect()
         want += [(lang, r.doc_id) for r in ids]
     assert got == sorted(want)
+
+
+def test_spread_copies_keep_their_component(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    near = [*words[:-1], "other"]
+    rows = [(i, " ".join(words)) for i in range(5, 25)] + [(3, " ".join(near)), (2, "alone in this table"), (1, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 3)
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted([(i, 3) for i in range(5, 25)] + [(3, 3), (2, 2), (1, 1), (1, 1)])
