@@ -50,7 +50,12 @@ def ledger_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def check_same(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """Two tables have the same rows, as often."""
-    differing = ledger_diff(a, b).agg(_sum("copies").alias("n"))
+    return count_verdict(ledger_diff(a, b), name)
+
+
+def count_verdict(diff: DataFrame, name: str) -> DataFrame:
+    """The verdict on the rows that two tables do not share."""
+    differing = diff.agg(_sum("copies").alias("n"))
     return _verdict(differing, name, F.col("n") == 0, _text(F.col("n"), " differing rows"))
 
 

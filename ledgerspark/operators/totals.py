@@ -2,8 +2,13 @@
 
 Zero lines come from a union with a fixed list of zero rows, so filling costs no join.
 Aggregates are map-side combined; sums are exact decimals.
+
+``partial_totals`` makes all lines of a summary in one pass over the records.  Its lines can be
+stored, merged with those of later records by ``merge_totals``, and read by ``lines_of``.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,7 @@ from ledgerspark.functions.reasons import reason_keys
 from ledgerspark.functions.text import cents_sum, month_key
 
 CONTROL = "input"
+WIDE = "decimal(38,0)"
 
 
 def bills(records: DataFrame) -> DataFrame:
@@ -25,9 +31,20 @@ def _spine(like: DataFrame, column: str, values: list[str]) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.explode(items).alias(column))
 
 
+def _weight(df: DataFrame) -> Column:
+    """Records that a row stands for: one, or those of a line of partial totals."""
+    return F.col("rows") if "rows" in df.columns else F.lit(1)
+
+
+def _cents(df: DataFrame) -> Column:
+    """Sum of cents, of records or of lines of partial totals, whose sums are wide already."""
+    wide = df.schema["cents"].dataType.simpleString() == WIDE
+    return F.sum("cents") if wide else cents_sum("cents")
+
+
 def _filled(df: DataFrame, column: str, spine: DataFrame | None) -> DataFrame:
     """``(column, cents, known)`` rows plus one empty row per spine value."""
-    rows = df.select(column, "cents", F.lit(1).alias("one"))
+    rows = df.select(column, "cents", _weight(df).alias("one"))
     if spine is None:
         return rows
     empty = spine.select(
@@ -72,9 +89,9 @@ def monthly_totals(kept: DataFrame, spine: tuple[str, str] | None = None) -> Dat
             F.explode(F.transform(days, month_key)).alias("month")
         )
     return (
-        _filled(kept.withColumn("month", month_key("bill_date")), "month", months)
+        _filled(kept if "month" in kept.columns else kept.withColumn("month", month_key("bill_date")), "month", months)
         .groupBy("month")
-        .agg(_zero(cents_sum("cents")).alias("cents"), F.sum("one").alias("rows"))
+        .agg(_zero(_cents(kept)).alias("cents"), F.sum("one").alias("rows"))
         .orderBy("month")
     )
 
@@ -84,7 +101,7 @@ def category_totals(kept: DataFrame) -> DataFrame:
     return (
         _filled(kept, "category", _spine(kept, "category", S.ALL_CATEGORIES))
         .groupBy("category")
-        .agg(_zero(cents_sum("cents")).alias("cents"), F.sum("one").alias("rows"))
+        .agg(_zero(_cents(kept)).alias("cents"), F.sum("one").alias("rows"))
         .orderBy("category")
     )
 
@@ -92,7 +109,7 @@ def category_totals(kept: DataFrame) -> DataFrame:
 def merchant_totals(kept: DataFrame, top_n: int | None = None) -> DataFrame:
     """Net cents, rows and share per merchant, largest first."""
     totals = kept.groupBy("merchant").agg(
-        cents_sum("cents").alias("cents"), F.count("*").alias("rows")
+        _cents(kept).alias("cents"), F.sum(_weight(kept)).alias("rows")
     )
     order = [F.desc("cents"), F.asc("merchant")]
     total = totals.agg(F.sum("cents")).scalar()
@@ -135,6 +152,68 @@ def totals_cube(kept: DataFrame) -> DataFrame:
     )
 
 
+_LINE = ["kind", "label", "ord", "note"]
+
+
+def partial_totals(records: DataFrame, high_cents: int) -> DataFrame:
+    """Sums that later records can be added to: ``(kind, label, ord, note, cents, rows, unknown_rows,
+    flagged_rows)``.
+
+    ``kind`` is ``status`` for all records by status, and for retained ones ``month``, ``category``,
+    ``merchant`` or ``high``: a line for each bill at or above the limit, with its place in the
+    source ``ord``, the invoice as label and the merchant as note.  One pass over the records; only
+    sums leave a task, and high bills.  Month and invoice may be null.
+    """
+    kept = F.col("status") == "clean"
+    s, m, c, v, h = (F.col(x) for x in ("status", "month", "category", "merchant", "high"))
+    bill = F.struct("ord", "invoice", "merchant")
+    sets = (
+        records.select(
+            "status", "category", "merchant", "cents", month_key("bill_date").alias("month"),
+            (F.size("reasons") > 0).alias("flagged"),
+            F.when(kept & (F.abs("cents") >= high_cents), bill).alias("high"),
+        )
+        .groupingSets([[s], [s, m], [s, c], [s, v], [s, h]], s, m, c, v, h)
+        .agg(
+            F.grouping_id().alias("gid"), cents_sum("cents").alias("cents"), F.count("*").alias("rows"),
+            F.count_if(F.col("cents").isNull()).alias("unknown_rows"), F.count_if("flagged").alias("flagged_rows"),
+        )
+    )
+    # grouping_id has one bit per column, set where the column is aggregated away
+    kind = (
+        F.when(F.col("gid") == 0b01111, "status").when(F.col("gid") == 0b00111, "month")
+        .when(F.col("gid") == 0b01011, "category").when(F.col("gid") == 0b01101, "merchant").otherwise("high")
+    )
+    label = (
+        F.when(F.col("kind") == "status", s).when(F.col("kind") == "month", m)
+        .when(F.col("kind") == "category", c).when(F.col("kind") == "merchant", v).otherwise(h["invoice"])
+    )
+    wanted = (F.col("kind") == "status") | (kept & ((F.col("kind") != "high") | h.isNotNull()))
+    return sets.withColumn("kind", kind).filter(wanted).select(
+        "kind", label.alias("label"), h["ord"].alias("ord"), h["merchant"].alias("note"),
+        F.col("cents").cast(WIDE).alias("cents"), "rows", "unknown_rows", "flagged_rows",
+    )
+
+
+def merge_totals(parts: list[DataFrame]) -> DataFrame:
+    """The partial totals of all records, from those of parts that share no record and one limit.
+
+    Duplicates are found within one cleaning, so parts are parts of cleaned records.
+    """
+    counts = ["rows", "unknown_rows", "flagged_rows"]
+    return reduce(DataFrame.unionByName, parts).groupBy(*_LINE).agg(
+        F.sum("cents").cast(WIDE).alias("cents"), *[F.sum(c).alias(c) for c in counts]
+    )
+
+
+def lines_of(partial: DataFrame, kind: str) -> DataFrame:
+    """Lines of one kind: input for the totals above, with the label under the name of the kind."""
+    lines = partial.filter(F.col("kind") == kind)
+    if kind == "high":
+        return lines.select("ord", F.col("label").alias("invoice"), F.col("note").alias("merchant"), "cents")
+    return lines.select(F.col("label").alias(kind), "cents", "rows", "unknown_rows", "flagged_rows")
+
+
 def review_workload(records: DataFrame) -> DataFrame:
     """Rows per reason key; a row counts once per key."""
     return (

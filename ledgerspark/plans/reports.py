@@ -67,6 +67,25 @@ def _control_lines(records: DataFrame) -> DataFrame:
         F.count_if(F.col("cents").isNull()).alias("unknown_rows"),
         F.count_if(F.size("reasons") > 0).alias("review_rows"),
     )
+    return _control_table(facts)
+
+
+def _control_lines_of(partial: DataFrame) -> DataFrame:
+    """The same lines from partial totals."""
+    here = {s: F.col("status") == s for s in S.STATUSES_WITH_REVIEW}
+    by_status = totals.lines_of(partial, "status")
+    return _control_table(by_status.agg(
+        *[F.coalesce(F.sum(F.when(c, F.col("cents"))), F.lit(0)).alias(f"{s}_cents") for s, c in here.items()],
+        *[F.coalesce(F.sum(F.when(c, F.col("rows"))), F.lit(0)).alias(f"{s}_rows") for s, c in here.items()],
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("all_cents"),
+        *[
+            F.coalesce(F.sum(c), F.lit(0)).alias(name)
+            for c, name in (("rows", "all_rows"), ("unknown_rows", "unknown_rows"), ("flagged_rows", "review_rows"))
+        ],
+    ))
+
+
+def _control_table(facts: DataFrame) -> DataFrame:
     money = "decimal(38,0)"
     parts = sum((F.col(f"{s}_cents").cast(money) for s in S.STATUSES_WITH_REVIEW), F.lit(0))
     nothing = F.lit(None)
@@ -116,10 +135,37 @@ def report_summary(
     keep the order of the source.  ``top_n`` shortens the merchant and high-bill sections.
     """
     kept = totals.bills(records)
+    return _sections(
+        _control_lines(records), totals.monthly_totals(kept, months), totals.category_totals(kept),
+        totals.merchant_totals(kept, top_n), totals.high_bills(kept, high_cents, top_n),
+    )
+
+
+def summary_of_totals(
+    partial: DataFrame, months: tuple[str, str] | None = None, top_n: int | None = None
+) -> DataFrame:
+    """``report_summary`` from ``totals.partial_totals``; the limit is the one of the totals.
+
+    Every section reads the totals, so write them with ``stage`` first: the records are then read
+    once, and totals of earlier records can be merged in instead of reading these again.
+    """
+    kinds = {k: totals.lines_of(partial, k) for k in ("month", "category", "merchant", "high")}
+    high = kinds["high"].orderBy(F.desc(F.abs("cents")), "ord")
+    return _sections(
+        _control_lines_of(partial), totals.monthly_totals(kinds["month"], months),
+        totals.category_totals(kinds["category"]), totals.merchant_totals(kinds["merchant"], top_n),
+        high if top_n is None else high.limit(top_n),
+    )
+
+
+def _sections(
+    control: DataFrame, by_month: DataFrame, by_category: DataFrame, merchants: DataFrame, high: DataFrame
+) -> DataFrame:
+    """The five sections under each other."""
     money = "decimal(38,0)"
     no_note = F.lit(None).cast("string")
-    no_ord = F.lit(None).cast(records.schema["ord"].dataType).alias("ord")
-    control = _control_lines(records).select(
+    no_ord = F.lit(None).cast(high.schema["ord"].dataType).alias("ord")
+    control = control.select(
         F.lit(0).alias("section"), F.col("place").cast(money).alias("place"), no_ord,
         "label", "cents", "rows", "note",
     )
@@ -133,13 +179,10 @@ def report_summary(
         )
 
     zero = F.lit(0)
-    merchants = totals.merchant_totals(kept, top_n)
-    high = totals.high_bills(kept, high_cents, top_n).select(
-        "ord", "invoice", "cents", F.lit(None).alias("rows"), "merchant"
-    )
+    high = high.select("ord", "invoice", "cents", F.lit(None).alias("rows"), "merchant")
     parts = [
-        section(1, totals.monthly_totals(kept, months), "month", zero, no_note),
-        section(2, totals.category_totals(kept), "category", zero, no_note),
+        section(1, by_month, "month", zero, no_note),
+        section(2, by_category, "category", zero, no_note),
         section(3, merchants, "merchant", -F.col("cents"),
                 F.when(F.col("is_largest"), "Largest merchant")),
         section(4, high, "invoice", -F.abs("cents"), F.col("merchant")),

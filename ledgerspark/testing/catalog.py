@@ -12,6 +12,7 @@ from ledgerspark.operators import checks as ck
 from ledgerspark.operators import dedupe, review, rules, suggest, totals, views
 from ledgerspark.plans import reports
 from ledgerspark.plans.clean import clean, parse_rows
+from ledgerspark.sinks import digests, pages
 from ledgerspark.sinks import ledger as sinks
 from ledgerspark.sinks.staging import stage
 from ledgerspark.sources import documents, exports, headers
@@ -409,6 +410,21 @@ def q_page(s, sf):
     return views.page(kept(s, sf), order, 3, 200).select("id")
 
 
+def q_stored_page(s, sf):
+    """The same page from bills that were sorted and stored once."""
+    path = fx.work_folder(s)
+    pages.write_pages(totals.bills(staged(s, sf)), [F.col("bill_date").asc(), F.col("ord").asc()], path, 4_000)
+    return pages.read_page(s, path, 3).select("id")
+
+
+def q_stored_page_last(s, sf):
+    """The last page of all orders, largest first."""
+    path = fx.work_folder(s)
+    orders = s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
+    pages.write_pages(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], path, 4_000)
+    return pages.read_page(s, path, pages.page_count(s, path) - 1)
+
+
 def q_duplicate_pairs(s, sf):
     return _flat(views.duplicate_pairs(staged(s, sf)))
 
@@ -421,13 +437,23 @@ def q_possible_duplicate_pairs(s, sf):
     return _flat(views.possible_duplicate_pairs(staged(s, sf)))
 
 
-def q_ledger_diff(s, sf):
-    """Records under two limits: only rows that cross a limit differ."""
+def _two_limits(s, sf):
     rows, r = dirty_bills(s, sf), dirty_rules(s)
     columns = ["id", "status", "reasons"]
     a = clean(rows, r).select(columns)
-    b = clean(rows, rules.Rules(r.df, NEW_HIGH_CENTS, r.rows)).select(columns)
-    out = ck.ledger_diff(a, b)
+    return a, clean(rows, rules.Rules(r.df, NEW_HIGH_CENTS, r.rows)).select(columns)
+
+
+def q_ledger_diff(s, sf):
+    """Records under two limits: only rows that cross a limit differ."""
+    out = ck.ledger_diff(*_two_limits(s, sf))
+    return out.groupBy("only_in", "status").agg(F.sum("copies").alias("rows"))
+
+
+def q_ledger_diff_stored(s, sf):
+    """The same from two stored ledgers, of which only buckets that differ are read."""
+    a, b = (digests.write_digested(fx.work_folder(s), df, ["id"], 64) for df in _two_limits(s, sf))
+    out = digests.digest_diff(a, b)
     return out.groupBy("only_in", "status").agg(F.sum("copies").alias("rows"))
 
 
@@ -517,7 +543,18 @@ def q_report_change_log(s, sf):
 
 
 def q_report_summary(s, sf):
-    return _summary(reports.report_summary(staged(s, sf), HIGH_CENTS))
+    """The records are read once, for their partial totals."""
+    partial = totals.partial_totals(records(s, sf), HIGH_CENTS)
+    return _summary(reports.summary_of_totals(stage(partial, fx.work_folder(s))))
+
+
+def q_report_summary_merged(s, sf):
+    """Totals of three parts of the records, merged."""
+    r = staged(s, sf)
+    place = F.col("ord.source_row") % 20
+    cut = [place == 0, place == 10, ~place.isin(0, 10)]
+    parts = [stage(totals.partial_totals(r.filter(c), HIGH_CENTS), fx.work_folder(s)) for c in cut]
+    return _summary(reports.summary_of_totals(stage(totals.merge_totals(parts), fx.work_folder(s))))
 
 
 def _summary(df):
@@ -650,6 +687,23 @@ def q_check_repeatable(s, sf):
     return ck.check_repeatable(records(s, sf), again)
 
 
+def q_check_repeatable_stored(s, sf):
+    """A stored ledger against one cleaned again from rows in another order, by digests."""
+    stored = digests.write_digested(fx.work_folder(s), records(s, sf), ["id"], 64)
+    shuffled = dirty_bills(s, sf).repartition(13, "source_row")
+    again = digests.digested(clean(shuffled, dirty_rules(s), hot_rows=50), ["id"], 64)
+    return digests.check_same_digested(stored, again, "repeatable")
+
+
+def q_check_repeatable_damaged(s, sf):
+    """A stored ledger against one with a cent too many in every thousandth row."""
+    r = staged(s, sf)
+    cent = F.when(F.col("ord.source_row") % 1000 == 0, 1).otherwise(0)
+    stored = digests.write_digested(fx.work_folder(s), r, ["id"], 64)
+    changed = r.withColumn("cents", F.col("cents") + cent)
+    return digests.check_same_digested(stored, digests.digested(changed, ["id"], 64), "repeatable")
+
+
 def q_check_advisory(s, sf):
     r, cache = staged(s, sf), fx.suggestion_cache(s, sf)
     return ck.check_advisory(suggest.suggestions_report(r, cache), cache, r)

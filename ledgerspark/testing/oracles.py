@@ -631,6 +631,15 @@ UNION ALL SELECT 'all', NULL, {_MONEY}, count(*) FROM kept
             "abs(coalesce(cents, -1)) DESC, ord",
         ),
         "page": ("", "SELECT id FROM kept ORDER BY bill_day, ord LIMIT 200 OFFSET 600"),
+        "stored_page": ("", "SELECT id FROM kept ORDER BY bill_day, ord LIMIT 200 OFFSET 600"),
+        "stored_page_last": (
+            "",
+            """
+SELECT o_orderkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+WHERE place // 200 = (n - 1) // 200
+""",
+        ),
         "duplicate_pairs": (
             "", _PAIR.format(link="duplicate_of", table="rec", where="a.status = 'duplicate'")),
         "duplicate_pairs_reviewed": (
@@ -642,6 +651,11 @@ UNION ALL SELECT 'all', NULL, {_MONEY}, count(*) FROM kept
             "SELECT side AS only_in, status, CAST(count(*) AS BIGINT) AS rows FROM rec CROSS JOIN "
             "(VALUES ('a'), ('b')) s(side) WHERE abs(cents) >= 40000000 GROUP BY 1, 2",
         ),
+        "ledger_diff_stored": (
+            "",
+            "SELECT side AS only_in, status, CAST(count(*) AS BIGINT) AS rows FROM rec CROSS JOIN "
+            "(VALUES ('a'), ('b')) s(side) WHERE abs(cents) >= 40000000 GROUP BY 1, 2",
+        ),
         # decisions
         "active_decisions": (d, "SELECT seq, row_id, action FROM active"),
         "latest_decision": (
@@ -716,6 +730,7 @@ UNION ALL SELECT seq, id, field, before, after,
 """,
         ),
         "report_summary": ("", _SUMMARY),
+        "report_summary_merged": ("", _SUMMARY),
         "report_summary_reviewed": (rv, _RV_SECTIONS),
         # suggestions
         "uncategorised_merchants": (
@@ -786,6 +801,12 @@ FROM asked WHERE v % 2 = 1 GROUP BY seg, v
         "check_reviewer_changes": (rc, _LATER_CHECKS["reviewer changes"]),
         "check_policy": (v, _LATER_CHECKS["policy"]),
         "check_repeatable": ("", _LATER_CHECKS["repeatable"]),
+        "check_repeatable_stored": ("", _LATER_CHECKS["repeatable"]),
+        "check_repeatable_damaged": (
+            "",
+            "SELECT 'repeatable' AS \"check\", false AS ok, CAST(2 * count(*) AS VARCHAR) || ' differing rows' AS detail "
+            "FROM rec WHERE ord % 1000 = 0 AND cents IS NOT NULL",
+        ),
         "check_advisory": ("", _LATER_CHECKS["advisory"]),
         "check_advisory_damaged": (
             "",
