@@ -7,11 +7,12 @@ in a single task.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
 from ledgerspark.functions.text import norm_key, strip_ws, text_or_empty
+from ledgerspark.sinks.staging import write_by
 
 BLOCK_ROWS = 65_536
 SHEET = ["file_ix", "sheet_ix"]
@@ -26,26 +27,62 @@ COLUMNS = "input formula or unsupported columns"
 NO_ROWS = "no bill rows found in the supplied files"
 
 
+_PLACE = ["source_file", "source_sheet", "source_row"]
+
+
+def _refuse(first) -> None:
+    """Raise the error that names the first problem, if there is one."""
+    if first:
+        place = " / ".join(str(x) for x in (first["source_file"], first["source_sheet"]) if x)
+        at = f" at row {first['source_row']}" if first["source_row"] is not None else ""
+        raise ValueError(f"{place}: {first['reason']}{at}")
+
+
 @dataclass(frozen=True)
 class Intake:
-    """Result of an import: usable source rows, everything refused, and one line per sheet."""
+    """Result of an import: usable source rows, everything refused, and one line per sheet.
+
+    ``judged``, if given, has rows and rejects in one table that reads the data once: the columns
+    of ``rows`` and the ``reason``, which is null for usable rows.
+    """
 
     rows: DataFrame
     rejects: DataFrame
     sheets: DataFrame
+    judged: DataFrame | None = None
 
     def or_fail(self) -> DataFrame:
         """The source rows, or an error naming the first problem; nothing is half imported."""
-        first = self.rejects.orderBy("source_file", "source_sheet", "source_row").limit(1).collect()
-        if first:
-            r = first[0]
-            place = " / ".join(str(x) for x in (r["source_file"], r["source_sheet"]) if x)
-            at = f" at row {r['source_row']}" if r["source_row"] is not None else ""
-            raise ValueError(f"{place}: {r['reason']}{at}")
+        first = self.rejects.orderBy(*_PLACE).limit(1).collect()
+        _refuse(first[0] if first else None)
         if not self.rows.limit(1).collect():
             raise ValueError(NO_ROWS)
         return self.rows
 
+    def settle(self, path: str, quarantine: bool = False) -> "Intake":
+        """Write rows and rejects apart under the new folder ``path``, and decide while writing.
+
+        What decides (the first problem, and whether there is any row) is observed as the lines
+        are written, so nothing is read for it; both facts stay the same when a task runs again.
+        Without ``quarantine`` a problem raises the error of ``or_fail``, and so do no rows.
+        """
+        none = F.lit(None).cast("string")
+        lines = self.judged
+        if lines is None:
+            lines = self.rows.withColumn("reason", none).unionByName(self.rejects, allowMissingColumns=True)
+        refused, problem = F.col("reason").isNotNull(), F.struct(*_PLACE, "reason")
+        seen = Observation()
+        watched = lines.observe(
+            seen, F.min(F.when(refused, problem)).alias("first"), F.max(F.when(~refused, 1)).alias("some")
+        )
+        stored = write_by(watched.withColumn("refused", refused), "refused", path)
+        if not quarantine:
+            _refuse(seen.get["first"])
+            if not seen.get["some"]:
+                raise ValueError(NO_ROWS)
+        rows = stored.filter("not refused").select(self.rows.columns)
+        return Intake(rows, stored.filter("refused").select(self.rejects.columns), self.sheets)
+
 
 def numeric_cell_text(value: Column, kind: Column) -> Column:
     """Text of an amount cell: a number exact to the cent gets two decimals, others stay."""
@@ -121,7 +158,7 @@ def _per_sheet(cells: DataFrame, columns: dict[str, Column], is_header: Column)
     return extent.join(header, SHEET, "left")
 
 
-def _with_sheet(cells: DataFrame, sheets: DataFrame, *columns: Column) -> DataFrame:
+def _with_sheet(cells: DataFrame, sheets: DataFrame, *columns: Column, how: str = "inner") -> DataFrame:
     """Rows with facts about their sheet."""
     block = F.floor(F.col("source_row") / BLOCK_ROWS)
     spread = sheets.select(
@@ -129,16 +166,17 @@ def _with_sheet(cells: DataFrame, sheets: DataFrame, *columns: Column) -> DataFr
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_row") / BLOCK_ROWS)))
         .alias("_block"),
     )
-    return cells.withColumn("_block", block).join(spread, [*SHEET, "_block"]).drop("_block")
+    return cells.withColumn("_block", block).join(spread, [*SHEET, "_block"], how).drop("_block")
 
 
-def _source_rows(df: DataFrame, ident: Column, headers: Column, raw: dict) -> DataFrame:
+def _source_rows(df: DataFrame, ident: Column, headers: Column, raw: dict, *more: Column) -> DataFrame:
     return df.select(
         ident.alias("id"),
         F.struct("file_ix", "sheet_ix", "source_row").alias("ord"),
         "source_file", "source_sheet", "source_row",
         headers.alias("headers"),
         *[c.alias(f"{f}_raw") for f, c in raw.items()],
+        *more,
     )
 
 
@@ -189,36 +227,36 @@ def _map_strict(cells: DataFrame) -> Intake:
     for f in S.FIELDS:
         unique = unique & (F.size(f"h._{f}") == 1)
     mapped = sheets.filter(F.col("h").isNotNull() & unique)
-    data = _with_sheet(good, mapped, F.col("h")).filter(
-        (F.col("source_row") > F.col("h.header_row")) & _any_filled(_cells())
+    unreadable = F.col("problem").isNotNull()
+    # unreadable cells belong to no sheet that was mapped by them
+    data = _with_sheet(cells, mapped, F.col("h"), how="left").filter(
+        unreadable | ((F.col("source_row") > F.col("h.header_row")) & _any_filled(_cells()))
     )
     # the header may be wider than the row; nothing lies outside then
     width = F.size("h.header_vals")
     beyond = _any_filled(
         F.slice(_cells(), width + 1, F.greatest(F.size("vals") - width, F.lit(0)))
     )
-    judged = data.withColumn(
-        "reason",
-        F.when(F.array_contains(F.array_compact("kinds"), "f"), FORMULA).when(beyond, OUTSIDE),
+    reason = (
+        F.when(unreadable, F.col("problem"))
+        .when(F.array_contains(F.array_compact("kinds"), "f"), FORMULA).when(beyond, OUTSIDE)
     )
-    at = {f: F.col(f"h._{f}")[0] for f in S.FIELDS}
+    at = {f: F.get(f"h._{f}", F.lit(0)) for f in S.FIELDS}
     raw = {f: text_or_empty(F.get("vals", at[f])) for f in S.FIELDS}
     raw["amount"] = numeric_cell_text(F.get("vals", at["amount"]), F.get("kinds", at["amount"]))
     headers = F.array(*[F.get("h.header_vals", at[f]) for f in S.FIELDS])
-    rows = _source_rows(judged.filter(F.col("reason").isNull()), _ident(), headers, raw)
+    judged = _source_rows(data.withColumn("reason", reason), _ident(), headers, raw, F.col("reason"))
     refused = sheets.withColumn(
         "reason", F.when(F.col("h").isNull(), UNMAPPED).when(~unique, AMBIGUOUS)
     )
-    rejects = (
-        _reject(cells.filter(F.col("problem").isNotNull()), F.col("problem"))
-        .unionByName(_reject(refused.filter("reason is not null"), F.col("reason"), None))
-        .unionByName(_reject(judged.filter("reason is not null"), F.col("reason")))
-    )
+    of_sheets = _reject(refused.filter("reason is not null"), F.col("reason"), None)
+    rows = judged.filter(F.col("reason").isNull()).drop("reason")
+    rejects = _reject(judged.filter("reason is not null"), F.col("reason")).unionByName(of_sheets)
     report = sheets.select(
         "source_file", "source_sheet", (F.col("h").isNotNull() & unique).alias("ok"),
         F.coalesce("h.header_vals", "first_vals").alias("headers"),
     )
-    return Intake(rows, rejects, report)
+    return Intake(rows, rejects, report, judged.unionByName(of_sheets, allowMissingColumns=True))
 
 
 def _map_words(cells: DataFrame) -> Intake:

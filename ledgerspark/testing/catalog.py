@@ -815,7 +815,16 @@ def q_csv_intake_words(s, sf):
 def q_csv_intake_rejects(s, sf):
     """Exports of which some sheets and rows are refused: what is kept, and each reject."""
     cells = stage(exports.read_csv_exports(s, fx.faulty_exports(s, sf)), fx.work_folder(s))
-    intake = headers.map_headers(cells)
+    return _kept_and_refused(headers.map_headers(cells))
+
+
+def q_csv_intake_settled(s, sf):
+    """The same, written in quarantine by one pass over the exports' data."""
+    cells = stage(exports.read_csv_exports(s, fx.faulty_exports(s, sf)), fx.work_folder(s))
+    return _kept_and_refused(headers.map_headers(cells).settle(fx.work_folder(s), quarantine=True))
+
+
+def _kept_and_refused(intake):
     file = F.regexp_extract("source_file", "file=([0-9]+)", 1).alias("file")
     kept_rows = intake.rows.select(
         file, "source_row", ft.strip_ws("invoice_raw").alias("invoice"), ft.amount_cents("amount_raw").alias("cents"),

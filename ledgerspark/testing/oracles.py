@@ -424,6 +424,18 @@ FROM n2
 """
 
 
+# rows and rejects of the faulty exports
+_FAULTY_INTAKE = """
+SELECT CAST(k % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY k % 4 ORDER BY ord) + 1 AS source_row,
+  invoice, cents, NULL AS reason FROM rec WHERE k % 4 = 0
+UNION ALL SELECT '3', source_row, CASE WHEN k % 28 <> 3 THEN invoice END,
+  CASE WHEN k % 28 <> 3 THEN cents END, CASE WHEN k % 28 = 3 THEN 'data outside header columns' END
+  FROM (SELECT *, row_number() OVER (ORDER BY ord) + 1 AS source_row FROM rec WHERE k % 4 = 3)
+UNION ALL SELECT '1', NULL, NULL, NULL, 'cannot map invoice, merchant, date and amount headers in first five rows'
+UNION ALL SELECT '2', NULL, NULL, NULL, 'ambiguous headers: more than one column matches a required field'
+"""
+
+
 def _oracles() -> dict[str, tuple[str, str]]:
     """name -> (extra common tables, final select)."""
     c, d = CHANGES, DECISIONS
@@ -843,17 +855,8 @@ FROM asked WHERE v % 2 = 1 GROUP BY seg, v
             "",
             "SELECT CASE WHEN ord % 2 = 0 THEN invoice ELSE 'seen' END AS invoice, "
             "written AS merchant, cents, bill_date FROM rec"),
-        "csv_intake_rejects": (
-            "",
-            """
-SELECT CAST(k % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY k % 4 ORDER BY ord) + 1 AS source_row,
-  invoice, cents, NULL AS reason FROM rec WHERE k % 4 = 0
-UNION ALL SELECT '3', source_row, CASE WHEN k % 28 <> 3 THEN invoice END,
-  CASE WHEN k % 28 <> 3 THEN cents END, CASE WHEN k % 28 = 3 THEN 'data outside header columns' END
-  FROM (SELECT *, row_number() OVER (ORDER BY ord) + 1 AS source_row FROM rec WHERE k % 4 = 3)
-UNION ALL SELECT '1', NULL, NULL, NULL, 'cannot map invoice, merchant, date and amount headers in first five rows'
-UNION ALL SELECT '2', NULL, NULL, NULL, 'ambiguous headers: more than one column matches a required field'
-"""),
+        "csv_intake_rejects": ("", _FAULTY_INTAKE),
+        "csv_intake_settled": ("", _FAULTY_INTAKE),
         "csv_intake_rows": (
             "", "SELECT invoice, written AS merchant, cents, bill_date FROM rec"),
         "write_ledger": ("", _reconcile("rec", _THREE)),

@@ -10,7 +10,9 @@ from ledgerspark.plans import reports
 from ledgerspark.plans.clean import clean
 from ledgerspark.sinks import digests, pages
 from ledgerspark.sinks.staging import stage
+from ledgerspark.sources import exports, headers
 from tests import sample
+from tests.test_intake import write_csv
 
 
 def plan(df):
@@ -123,3 +125,32 @@ def test_large_sums_stay_exact(spark, tmp_path):
 def test_records_are_scanned_once(spark, tmp_path):
     records = stage(clean(sample.source_rows(spark), rules.builtin_rules(spark)), str(tmp_path / "records"))
     assert plan(totals.partial_totals(records, 1)).count("FileScan") == 1
+
+
+BAD = [["Invoice", "Vendor", "Date", "Amount"], ["a", "Shop", "2026-05-04", "1.00", "outside"], ["b", "Shop", "2026-05-04", "2.00"]]
+
+
+@pytest.mark.parametrize("mode", ["strict", "words"])
+@pytest.mark.parametrize("files", [["good"], ["bad", "good"], ["none", "bad"], ["empty"]])
+def test_settled_imports_decide_as_read_ones(spark, tmp_path, mode, files):
+    made = {"good": [BAD[0], BAD[2]], "bad": BAD, "none": [["x", "y"], ["1", "2"]], "empty": [BAD[0]]}
+    paths = [write_csv(tmp_path / f"{name}.csv", made[name]) for name in files]
+    intake = headers.map_headers(exports.read_csv_exports(spark, paths), mode=mode)
+
+    def outcome(read):
+        try:
+            return sorted(map(str, read().collect()))
+        except ValueError as error:
+            return str(error)
+
+    assert outcome(lambda: intake.settle(str(tmp_path / "once")).rows) == outcome(intake.or_fail)
+    kept = intake.settle(str(tmp_path / "quarantine"), quarantine=True)
+    for a, b in ((kept.rows, intake.rows), (kept.rejects, intake.rejects), (kept.sheets, intake.sheets)):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_nothing_to_settle(spark, tmp_path):
+    cells = exports.read_csv_exports(spark, [write_csv(tmp_path / "a.csv", BAD)])
+    intake = headers.map_headers(cells.limit(0))
+    with pytest.raises(ValueError, match=headers.NO_ROWS):
+        intake.settle(str(tmp_path / "none"))
