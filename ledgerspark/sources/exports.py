@@ -25,10 +25,11 @@ import zipfile
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from itertools import groupby, islice
+from functools import partial, reduce
+from itertools import chain, groupby, islice
 from xml.etree import ElementTree as ET
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -308,6 +309,8 @@ BOM = b"\xef\xbb\xbf"
 # what a first split keeps of its start, so that most files need no second look at it; where the
 # first records take more, they are read from their splits
 HEAD_BYTES = 1 << 20
+# what a task reads at least, where splits are smaller
+TASK_BYTES = 32 << 20
 SPLIT = ["key", "start"]
 BAD_QUOTES = "not readable as delimited text: bad quoting"
 BAD_UTF8 = "not readable as delimited text: not UTF-8"
@@ -346,45 +349,84 @@ def after_line(line: bytes, delimiter: int, state: int) -> tuple[int, int, int,
         at += 1
 
 
-def _splits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
-    """The lines of each split, in order; the columns before ``line`` name the split."""
+def _plain_lines(delimiter: str) -> re.Pattern:
+    """Lines that are one record each, whatever their number: every quoted field ends on its line."""
+    field = rb'(?:"[^"\n]*+(?:""[^"\n]*+)*+"|[^"D\r\n][^D\r\n]*+)?+'
+    line = rb"F(?:DF)*+\r?+\n".replace(b"F", field)
+    return re.compile(rb"(?:L)*+".replace(b"L", line).replace(b"D", re.escape(delimiter.encode())))
 
-    def rows():
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            yield from zip(*columns, strict=True)
 
-    for name, group in groupby(rows(), key=lambda r: r[:-1]):
+_PLAIN = {ord(d): _plain_lines(d) for d in DELIMITERS}
+
+
+def _runs(lines: list[bytes], delimiter: int, state: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """The lines in runs, ``(lines, state after, starts, place of the last start, sound)``.
+
+    A run is one line, as ``after_line`` sees it, or many that are one record each.
+    """
+    text, at, i = b"\n".join(lines) + b"\n", 0, 0
+    while i < len(lines):
+        if state == BETWEEN:
+            end = _PLAIN[delimiter].match(text, at).end()
+            if end > at:
+                n = text.count(b"\n", at, end)
+                yield n, BETWEEN, n, 0, True
+                at, i = end, i + n
+                continue
+        state, starts, last, sound = after_line(lines[i], delimiter, state)
+        yield 1, state, starts, last, sound
+        at, i = at + len(lines[i]) + 1, i + 1
+
+
+def _splits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[list[bytes]]]]:
+    """The lines of each split, in order and in lists; the columns before ``line`` name the split."""
+
+    def runs():
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the key and the start tell splits apart
+            key = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            start = batch.column(1).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((np.diff(key) != 0) | (np.diff(start) != 0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                name = tuple(batch.column(i)[a].as_py() for i in range(batch.num_columns - 1))
+                yield name, batch.column(batch.num_columns - 1).slice(a, b - a).to_pylist()
+
+    for name, group in groupby(runs(), key=lambda r: r[0]):
         first = name[1] == 0
 
-        def lines(group=group, first=first):
-            for row in group:
-                line = row[-1]
+        def chunks(group=group, first=first):
+            for _, lines in group:
                 if first:
-                    line, first = line.removeprefix(BOM), False
-                yield line
+                    lines[0], first = lines[0].removeprefix(BOM), False
+                yield lines
 
-        yield name, lines()
+        yield name, chunks()
 
 
 def _summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (key, start), lines in _splits(batches):
+    for (key, start), chunks in _splits(batches):
         states = [[d, s, 0, True] for d in map(ord, DELIMITERS) for s in (BETWEEN, INSIDE)]
         # the lines in which the first records start, if one more record starts after them
         head, held, full, utf8 = bytearray(), start == 0, False, True
-        for line in lines:
-            if held and not full:
+        for lines in chunks:
+            utf8 = utf8 and all(line.isascii() or _is_utf8(line) for line in lines)
+            done = 0
+            while done < len(lines) and held and not full:
+                line = lines[done]
                 if len(head) + len(line) > HEAD_BYTES:
                     head, held = bytearray(), False
                 else:
                     head += line + b"\n"
-            utf8 = utf8 and (line.isascii() or _is_utf8(line))
-            for way in states:
-                way[1], starts, _, sound = after_line(line, way[0], way[1])
-                way[2] += starts
-                way[3] = way[3] and sound
-            # a first split is entered between records
-            full = full or min(way[2] for way in states[::2]) > S.HEADER_SCAN_ROWS
+                for way in states:
+                    way[1], starts, _, sound = after_line(line, way[0], way[1])
+                    way[2] += starts
+                    way[3] = way[3] and sound
+                # a first split is entered between records
+                full = full or min(way[2] for way in states[::2]) > S.HEADER_SCAN_ROWS
+                done += 1
+            _advance(states, lines[done:] if done else lines)
         yield pa.RecordBatch.from_pydict({
             "key": [key], "start": [start], "utf8": [utf8], "head": pa.array([bytes(head)], pa.binary()),
             "held": [held], "full": [full],
@@ -394,6 +436,25 @@ def _summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
+def _advance(states: list[list], lines: list[bytes]) -> None:
+    """Take the ways through the lines.  One with bad quoting is left where it is: a file in which it
+    is taken is not read by that delimiter, so neither its end nor its starts count."""
+    seen = {}
+    for way in states:
+        if not way[3]:
+            continue
+        # ways of one delimiter that are in the same state stay together
+        if (way[0], way[1]) not in seen:
+            state, starts, sound = way[1], 0, True
+            for _, state, more, _, fine in _runs(lines, way[0], way[1]):
+                starts, sound = starts + more, sound and fine
+                if not sound:
+                    break
+            seen[way[0], way[1]] = state, starts, sound
+        way[1], starts, way[3] = seen[way[0], way[1]]
+        way[2] += starts
+
+
 def _is_utf8(line: bytes) -> bool:
     try:
         line.decode()
@@ -456,9 +517,9 @@ def _choice(heads: dict[str, bytes]) -> str:
 
 def _first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per split and delimiter, the lines that belong to the first records of the file."""
-    for (key, start, ways), lines in _splits(batches):
+    for (key, start, ways), chunks in _splits(batches):
         found = [[w["delimiter"], w["entry"], w["first"] - 1, []] for w in ways]
-        for line in lines:
+        for line in chain.from_iterable(chunks):
             for way in found:
                 # numbered up to here; the line after the last needed start closes the record
                 if way[2] <= S.HEADER_SCAN_ROWS:
@@ -479,8 +540,12 @@ def _choose(lines: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cells(path: str, file_ix: int, first: int, records: list[list[str]]) -> pa.RecordBatch:
-    rows = [(1, "CSV", first + i, r, ["s"] * len(r)) for i, r in enumerate(records)]
-    return _batch(path, file_ix, rows)
+    n, ends = len(records), np.cumsum([0, *map(len, records)])
+    vals = pa.array(list(chain.from_iterable(records)), pa.string())
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (vals, pa.repeat(pa.scalar("s"), len(vals)))]
+    same = [pa.repeat(pa.scalar(v, kind), n) for v, kind in [(path, pa.string()), (file_ix, pa.int32()), (1, pa.int32()), ("CSV", pa.string())]]
+    rows = pa.array(np.arange(first, first + n), pa.int64())
+    return pa.RecordBatch.from_arrays([*same, rows, *lists, pa.nulls(n, pa.string())], schema=_ARROW)
 
 
 _PIECES = _CELL_SCHEMA + ", piece binary, delimiter string"
@@ -488,50 +553,54 @@ _PIECES = _CELL_SCHEMA + ", piece binary, delimiter string"
 
 def _with_piece(batch: pa.RecordBatch, piece: bytes | None, delimiter: str) -> pa.RecordBatch:
     n = len(batch)
-    more = [pa.array([piece] * n, pa.binary()), pa.array([delimiter] * n, pa.string())]
+    more = [pa.repeat(pa.scalar(piece, pa.binary()), n), pa.repeat(pa.scalar(delimiter, pa.string()), n)]
     return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "piece", "delimiter"])
 
 
-def _decode_splits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of the records within a split, and the pieces of records across splits.
+def _decode_splits(batches: Iterable[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+    """Cells of the records within a split, or the pieces of records across splits.
 
     A piece is a row with the number of its record in ``source_row`` and the place of its split,
     to put pieces in order, in ``source_sheet``.
     """
     csv.field_size_limit(2**31 - 1)
-    for (_, start, path, file_ix, delimiter, entry, first), lines in _splits(batches):
+    for (_, start, path, file_ix, delimiter, entry, first), chunks in _splits(batches):
         place = str(start).zfill(20)
 
-        def piece(number: int, content: list[bytes], last: bool) -> pa.RecordBatch:
-            row = _batch(path, file_ix, [(0, place, number, None, None)])  # noqa: B023
-            return _with_piece(row, b"\n".join(content) + b"\n" * (not last), delimiter)  # noqa: B023
+        def piece(number: int, content: list[bytes], last: bool) -> Iterator[pa.RecordBatch]:
+            if across:
+                row = _batch(path, file_ix, [(0, place, number, None, None)])  # noqa: B023
+                yield _with_piece(row, b"\n".join(content) + b"\n" * (not last), delimiter)  # noqa: B023
 
-        def cells(content: list[bytes], number: int) -> pa.RecordBatch:
-            records = list(_records(b"\n".join(content).decode() + "\n", delimiter))  # noqa: B023
-            return _with_piece(_cells(path, file_ix, number, records), None, delimiter)  # noqa: B023
+        def cells(content: list[bytes], number: int) -> Iterator[pa.RecordBatch]:
+            if not across:
+                records = list(_records(b"\n".join(content).decode() + "\n", delimiter))  # noqa: B023
+                yield _cells(path, file_ix, number, records)  # noqa: B023
 
         # held: lines of records numbered from ``number``; ``cut``: they end an earlier record
         state, record, held, cut = entry, first, [], entry == INSIDE
         number, begun = record - cut, (0, 0)
-        for line in lines:
-            state, starts, last, _ = after_line(line, ord(delimiter), state)
-            if starts:
-                begun = (len(held), last)
-            held.append(line)
-            record += starts
-            if state == BETWEEN and (cut or len(held) >= CHUNK_ROWS):
-                yield piece(number, held, last=True) if cut else cells(held, number)
-                held, cut, number = [], False, record
+        for lines in chunks:
+            done = 0
+            for n, state, starts, last, _ in _runs(lines, ord(delimiter), state):
+                if starts:
+                    begun = (len(held) + n - 1, last)
+                held += lines[done : done + n]
+                done += n
+                record += starts
+                if state == BETWEEN and (cut or len(held) >= CHUNK_ROWS):
+                    yield from piece(number, held, last=True) if cut else cells(held, number)
+                    held, cut, number = [], False, record
         if held and state == BETWEEN:
-            yield cells(held, number)
+            yield from cells(held, number)
         elif held and cut and begun == (0, 0):
-            yield piece(number, held, last=False)
+            yield from piece(number, held, last=False)
         elif held:
             index, offset = begun
             before = held[:index] + ([held[index][: offset - 1]] if offset else [])
             if before:
-                yield piece(number, before, last=True) if cut else cells(before, number)
-            yield piece(record - 1, [held[index][offset:], *held[index + 1 :]], last=False)
+                yield from piece(number, before, last=True) if cut else cells(before, number)
+            yield from piece(record - 1, [held[index][offset:], *held[index + 1 :]], last=False)
 
 
 def _join_pieces(pieces: pd.DataFrame) -> pd.DataFrame:
@@ -572,13 +641,15 @@ def _decided(lines: DataFrame, ways: DataFrame) -> DataFrame:
     return done.unionByName(good.select(done.columns)).unionByName(bad).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]], size: int) -> DataFrame:
     places = spark.createDataFrame(files, "path string, key string, file_ix int")
     lines = spark.read.option("lineSep", "\n").text([path for path, _, _ in files]).select(
         F.col("_metadata.file_path").alias("key"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value").cast("binary").alias("line"),
     )
+    # a task takes several splits where these are small; none is cut or put together
+    lines = lines.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
     summary = (
         "key string, start bigint, utf8 boolean, head binary, held boolean, full boolean, ends array<int>, "
         "starts array<bigint>, sound array<boolean>"
@@ -591,9 +662,9 @@ def _read_csv(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFra
         ways = _decided(lines, ways)
     readable = ways.filter("problem is null").drop("problem")
     ordered = _in_order(lines, readable, [*SPLIT, "path", "file_ix", "delimiter", "entry", "first", "line"])
-    decoded = ordered.mapInArrow(_decode_splits, _PIECES)
-    whole = decoded.filter("piece is null").drop("piece", "delimiter")
-    across = decoded.filter("piece is not null").groupBy("file_ix", "source_row").applyInPandas(_join_pieces, _CELL_SCHEMA)
+    # cells and pieces are read apart: cells are decoded once, and pieces need none
+    whole = ordered.mapInArrow(partial(_decode_splits, across=False), _CELL_SCHEMA)
+    across = ordered.mapInArrow(partial(_decode_splits, across=True), _PIECES).groupBy("file_ix", "source_row").applyInPandas(_join_pieces, _CELL_SCHEMA)
     null = F.lit(None)
     bad = ways.filter("problem is not null").select(
         F.col("path").alias("source_file"), "file_ix", null.cast("int").alias("sheet_ix"),
@@ -634,10 +705,11 @@ def read_exports(spark: SparkSession, paths: str | list[str], folder: str | None
     if len(files) != len({f[0] for f in files}):
         raise ValueError("the same input file was supplied more than once")
     text, other = [], []
+    size = sum(n for path, _, n in files if path.lower().endswith(".csv"))
     for ix, (path, key, _) in enumerate(files, 1):
         (text if path.lower().endswith(".csv") else other).append((path, key, ix))
     parts = [_read_workbooks(spark, other, folder)] if other else []
-    parts += [_read_csv(spark, text)] if text else []
+    parts += [_read_csv(spark, text, size)] if text else []
     return reduce(DataFrame.unionByName, parts)
 
 

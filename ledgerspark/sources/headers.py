@@ -51,8 +51,13 @@ class Intake:
     sheets: DataFrame
     judged: DataFrame | None = None
 
-    def or_fail(self) -> DataFrame:
-        """The source rows, or an error naming the first problem; nothing is half imported."""
+    def or_fail(self, path: str | None = None) -> DataFrame:
+        """The source rows, or an error naming the first problem; nothing is half imported.
+
+        With a new folder ``path`` the rows are written there and decided on in that one pass.
+        """
+        if path is not None:
+            return self.settle(path).rows
         first = self.rejects.orderBy(*_PLACE).limit(1).collect()
         _refuse(first[0] if first else None)
         if not self.rows.limit(1).collect():

@@ -834,8 +834,8 @@ def _kept_and_refused(intake):
 
 
 def q_csv_intake_rows(s, sf):
-    cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
-    return _imported(headers.map_headers(cells).or_fail())
+    cells = stage(exports.read_csv_exports(s, fx.csv_exports(s, sf)), fx.work_folder(s))
+    return _imported(headers.map_headers(cells).or_fail(fx.work_folder(s)))
 
 
 def _imported(rows):
