@@ -781,7 +781,7 @@ def q_csv_intake_split(s, sf):
     parts = []
     for size in (32 << 10, 128 << 20):
         cells = _with_split_size(s, size, lambda: exports.read_csv_exports(s, paths))
-        rows = _imported(headers.map_headers(cells).or_fail())
+        rows = _imported(headers.map_headers(cells).or_fail(fx.work_folder(s)))
         parts.append(rows.withColumn("split", F.lit(size)))
     return parts[0].unionByName(parts[1])
 
