@@ -808,8 +808,8 @@ def q_fixed_intake(s, sf):
 
 def q_csv_intake_words(s, sf):
     """By words, the first column of the second layout, ``Note``, is taken for its invoice."""
-    cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
-    return _imported(headers.map_headers(cells, mode="words").or_fail())
+    cells = stage(exports.read_csv_exports(s, fx.csv_exports(s, sf)), fx.work_folder(s))
+    return _imported(headers.map_headers(cells, mode="words").or_fail(fx.work_folder(s)))
 
 
 def q_csv_intake_rejects(s, sf):
