@@ -760,7 +760,7 @@ def q_csv_intake(s, sf):
     """Bills written as CSV exports in two layouts, read again and cleaned."""
     cells = exports.read_csv_exports(s, fx.csv_exports(s, sf))
     cells = stage(cells, fx.work_folder(s))
-    rows = headers.map_headers(cells).or_fail()
+    rows = headers.map_headers(cells).or_fail(fx.work_folder(s))
     return _flat(totals.reconcile(clean(rows, dirty_rules(s))))
 
 
