@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
 from ledgerspark.functions.text import date_text, money_text
+from ledgerspark.operators.skew import fits_broadcast
 
 CHANGE_COLUMNS = [
     "id", "ord", "slot", "seq", "field", "before", "after", "rule", "who", "at",
@@ -72,8 +73,9 @@ def numbered_build_changes(records: DataFrame) -> DataFrame:
     The entries of a record are known before they are spread out.  Their counts are summed per
     block of ``BLOCK_ROWS`` source rows, and an exclusive scan over blocks, within a file and then
     over files, tells with which number a block starts.  Inside a block the scan goes on over
-    its records, inside a record over its entries.  One exchange moves records, not entries, and
-    no task gets more than a block.  ``records`` are read twice: write them first.
+    its records, inside a record over its entries.  One exchange moves records, not entries; it
+    cuts them into ranges of whole blocks, so that partitions and the rows in them are in the order
+    of ``n``.  ``records`` are read more than once: write them first.
     """
     block = F.floor(F.col("ord.source_row") / BLOCK_ROWS).alias("_block")
     sheet = [F.col("ord.file_ix").alias("_file"), F.col("ord.sheet_ix").alias("_sheet"), block]
@@ -88,11 +90,16 @@ def numbered_build_changes(records: DataFrame) -> DataFrame:
     )
     in_block = W.partitionBy("_file", "_sheet", "_block").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)
     kept = F.filter(_entries(), lambda e: e["before"] != e["after"])
-    listed = records.select(
-        "id", "ord", "source_file", "source_sheet", "source_row", *sheet, kept.alias("_entries")
-    ).withColumn("_ahead", F.coalesce(F.sum(F.size("_entries")).over(in_block), F.lit(0)))
-    return (
-        listed.join(starts, ["_file", "_sheet", "_block"])
+    place = ["id", "ord", "source_file", "source_sheet", "source_row", "_file", "_sheet", "_block"]
+    # ranges are found from the places alone, and entries are made after the exchange
+    ranged = records.select(*records.columns, *sheet).repartitionByRange("_file", "_sheet", "_block")
+    listed = ranged.select(*place, kept.alias("_entries")).withColumn(
+        "_ahead", F.coalesce(F.sum(F.size("_entries")).over(in_block), F.lit(0))
+    )
+    # one row per block; a join of broadcast rows keeps the order
+    small = fits_broadcast(starts)
+    numbered = (
+        listed.join(F.broadcast(starts) if small else starts, ["_file", "_sheet", "_block"])
         .select("id", "ord", "source_file", "source_sheet", "source_row", "_start", "_ahead", F.posexplode("_entries").alias("_at", "_e"))
         .select("*", "_e.*")
         .withColumn("n", F.col("_start") + F.col("_ahead") + F.col("_at") + 1)
@@ -101,6 +108,7 @@ def numbered_build_changes(records: DataFrame) -> DataFrame:
         .withColumn("who", _who())
         .select("n", *CHANGE_COLUMNS)
     )
+    return numbered if small else numbered.repartitionByRange("n").sortWithinPartitions("n")
 
 
 def change_log(build: DataFrame, reviewer: DataFrame) -> DataFrame:

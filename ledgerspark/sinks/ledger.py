@@ -5,6 +5,7 @@ Nothing is overwritten: every target must be new, and must not overlap an input.
 
 import posixpath
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,20 +127,30 @@ def write_reports(path: str, reports: dict[str, DataFrame]) -> None:
 def numbered_changes(records: DataFrame, reviewer: DataFrame | None = None) -> DataFrame:
     """Change log of records with its running number ``n``: automatic entries in source order, then
     reviewer entries in the order they were made."""
+    return reduce(DataFrame.unionByName, _numbered_parts(records, reviewer))
+
+
+def _numbered_parts(records: DataFrame, reviewer: DataFrame | None) -> list[DataFrame]:
+    """The numbered log in parts: automatic entries, laid out by ``n``, and then those of reviewers."""
     build = numbered_build_changes(records)
     if reviewer is None:
-        return build
+        return [build]
     before = records.agg(F.coalesce(F.sum(change_count()), F.lit(0)).alias("n")).scalar()
     made = F.struct(F.lit(0).alias("file_ix"), F.lit(0).alias("sheet_ix"), F.col("seq").alias("source_row"))
     later = number_rows(reviewer.withColumn("_ord", F.col("ord")).withColumn("ord", made), ["id"])
-    return build.unionByName(
-        later.withColumn("ord", F.col("_ord")).withColumn("n", F.col("n") + before).select("n", *CHANGE_COLUMNS)
-    )
+    later = later.withColumn("ord", F.col("_ord")).withColumn("n", F.col("n") + before)
+    return [build, later.select("n", *CHANGE_COLUMNS)]
 
 
 def write_change_log_csv(path: str, records: DataFrame, reviewer: DataFrame | None = None) -> None:
-    """Change log as CSV ``n,src,field,before,after,rule,who,when``, every field quoted."""
-    lines = numbered_changes(records, reviewer).select(
+    """Change log as CSV ``n,src,field,before,after,rule,who,when``, every field quoted.
+
+    Files and their lines are in the order of ``n``.  Automatic entries are made in that order, so
+    only those of reviewers are sorted.
+    """
+    build, *made = _numbered_parts(records, reviewer)
+    made = [df.repartitionByRange("n").sortWithinPartitions("n") for df in made]
+    lines = reduce(DataFrame.unionByName, [build, *made]).select(
         "n",
         F.col("id").alias("src"),
         "field",
@@ -150,8 +161,7 @@ def write_change_log_csv(path: str, records: DataFrame, reviewer: DataFrame | No
         F.coalesce(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")).alias("when"),
     )
     (
-        lines.repartitionByRange("n").sortWithinPartitions("n")
-        .write.mode(NEW)
+        lines.write.mode(NEW)
         .option("header", True).option("quoteAll", True).option("escape", '"')
         .option("emptyValue", "")
         # blanks at the ends of a source cell are what the log is about
