@@ -789,20 +789,20 @@ def q_csv_intake_split(s, sf):
 def q_workbook_intake(s, sf):
     """Bills written as workbooks with shared strings and number cells, read again."""
     cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf), fx.work_folder(s)), fx.work_folder(s))
-    return _imported(headers.map_headers(cells).or_fail())
+    return _imported(headers.map_headers(cells).or_fail(fx.work_folder(s)))
 
 
 def q_workbook_amounts(s, sf):
     """Texts of the amount cells of workbooks: numbers exact to the cent get two decimals."""
     cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf), fx.work_folder(s)), fx.work_folder(s))
-    rows = headers.map_headers(cells).or_fail()
+    rows = headers.map_headers(cells).or_fail(fx.work_folder(s))
     return rows.select(ft.strip_ws("invoice_raw").alias("invoice"), F.col("amount_raw").alias("amount"))
 
 
 def q_fixed_intake(s, sf):
     """Bills in workbooks of the fixed layout, with the cells that each bill came from."""
     cells = stage(exports.read_workbooks(s, fx.workbook_exports(s, sf, fixed=True), fx.work_folder(s)), fx.work_folder(s))
-    rows = headers.map_headers(cells, mode="fixed").or_fail()
+    rows = headers.map_headers(cells, mode="fixed").or_fail(fx.work_folder(s))
     return _imported(rows)
 
 
