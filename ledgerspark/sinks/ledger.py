@@ -5,13 +5,14 @@ Nothing is overwritten: every target must be new, and must not overlap an input.
 
 import posixpath
 import re
+from collections.abc import Collection
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark import schema as S
-from ledgerspark.functions.text import cents_as_amount
+from ledgerspark.functions.text import cents_as_amount, month_key
 from ledgerspark.operators import checks
 from ledgerspark.operators.changes import CHANGE_COLUMNS, build_changes, change_count, numbered_build_changes
 from ledgerspark.operators.numbering import number_rows
@@ -36,8 +37,26 @@ def check_no_overlap(target: str, inputs: list[str]) -> None:
             raise ValueError("output would overlap an input; choose another directory")
 
 
+def _ranged(df: DataFrame, *keys: str | Column) -> DataFrame:
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def _by_ord(df: DataFrame, *more: str) -> DataFrame:
-    return df.repartitionByRange("ord", *more).sortWithinPartitions("ord", *more)
+    return _ranged(df, "ord", *more)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Stored records or log entries, laid out in source order for what is made from them row by row.
+
+    The ranges are found by computing ``rows`` once more, so lay out what is cheap to read and make
+    entries or report lines of it afterwards: they come in order, and are not computed twice.
+    """
+    return _by_ord(rows, *[c for c in ("slot", "seq") if c in rows.columns])
+
+
+def in_month_order(records: DataFrame) -> DataFrame:
+    """Stored records by month of the bill, then in source order; ``in_order`` tells what for."""
+    return _ranged(records, month_key("bill_date"), "ord")
 
 
 def write_ledger(
@@ -47,10 +66,12 @@ def write_ledger(
     rules: Rules,
     input_files: list[str],
     decisions: DataFrame | None = None,
+    laid_out: bool = False,
 ) -> None:
     """Write records, changes, reconciliation, rules and run facts under ``path``.
 
-    Records are written first; the reconciliation is computed from the written table.
+    Records are written first; the reconciliation is computed from the written table.  With
+    ``laid_out`` the changes were made from records ``in_order``, and are written as they come.
     """
     check_no_overlap(path, input_files)
     spark = records.sparkSession
@@ -61,7 +82,7 @@ def write_ledger(
     reconcile(written, with_excluded=True).filter(~unused).coalesce(1).write.mode(NEW).parquet(
         f"{path}/reconciliation"
     )
-    _by_ord(changes, "slot").write.mode(NEW).parquet(f"{path}/changes")
+    (changes if laid_out else _by_ord(changes, "slot")).write.mode(NEW).parquet(f"{path}/changes")
     rules.df.coalesce(1).write.mode(NEW).parquet(f"{path}/rules")
     if decisions is not None:
         decisions.write.mode(NEW).json(f"{path}/decisions")

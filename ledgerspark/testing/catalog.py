@@ -851,7 +851,7 @@ def q_write_ledger(s, sf):
     """Ledger tables written and read again."""
     path = fx.work_folder(s)
     r = staged(s, sf)
-    sinks.write_ledger(path, r, ch.build_changes(r), dirty_rules(s), [sf])
+    sinks.write_ledger(path, r, ch.build_changes(sinks.in_order(r)), dirty_rules(s), [sf], laid_out=True)
     return _flat(s.read.parquet(f"{path}/reconciliation"))
 
 
@@ -859,7 +859,7 @@ def q_verify_ledger(s, sf):
     """A written ledger, checked against the source rows."""
     path = fx.work_folder(s)
     r = staged(s, sf)
-    sinks.write_ledger(path, r, ch.build_changes(r), dirty_rules(s), [sf])
+    sinks.write_ledger(path, r, ch.build_changes(sinks.in_order(r)), dirty_rules(s), [sf], laid_out=True)
     return sinks.verify_ledger(path, dirty_bills(s, sf))
 
 
@@ -868,8 +868,10 @@ def q_verify_ledger_damaged(s, sf):
     path = fx.work_folder(s)
     cent = F.when(F.col("ord.source_row") == 20, 1).otherwise(0)
     r = staged(s, sf)
-    changes = ch.build_changes(r).filter("ord.source_row not in (20, 30)")
-    sinks.write_ledger(path, r.withColumn("cents", F.col("cents") + cent), changes, dirty_rules(s), [sf])
+    changes = ch.build_changes(sinks.in_order(r)).filter("ord.source_row not in (20, 30)")
+    sinks.write_ledger(
+        path, r.withColumn("cents", F.col("cents") + cent), changes, dirty_rules(s), [sf], laid_out=True
+    )
     return sinks.verify_ledger(path, dirty_bills(s, sf)).select("check", "ok")
 
 
