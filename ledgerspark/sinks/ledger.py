@@ -125,19 +125,21 @@ def verify_ledger(path: str, rows: DataFrame, decisions: DataFrame | None = None
     ])
 
 
-def write_reports(path: str, reports: dict[str, DataFrame]) -> None:
+def write_reports(path: str, reports: dict[str, DataFrame], laid_out: Collection[str] = ()) -> None:
     """Write each report table under its name; tables with a month are partitioned by it.
 
-    A summary is written in its reading order.
+    A summary is written in its reading order.  Tables named in ``laid_out`` were made from rows
+    ``in_order`` (with a month: ``in_month_order``), and are written as they come.
     """
     for name, df in reports.items():
         target = f"{path}/{name}"
-        if set(SUMMARY_ORDER) <= set(df.columns):
-            laid_out = df.repartitionByRange(*SUMMARY_ORDER).sortWithinPartitions(*SUMMARY_ORDER)
-            laid_out.write.mode(NEW).parquet(target)
+        if name in laid_out:
+            written = df.write.mode(NEW)
+            (written.partitionBy("month") if "month" in df.columns else written).parquet(target)
+        elif set(SUMMARY_ORDER) <= set(df.columns):
+            _ranged(df, *SUMMARY_ORDER).write.mode(NEW).parquet(target)
         elif "month" in df.columns and "ord" in df.columns:
-            laid_out = df.repartitionByRange("month", "ord").sortWithinPartitions("month", "ord")
-            laid_out.write.mode(NEW).partitionBy("month").parquet(target)
+            _ranged(df, "month", "ord").write.mode(NEW).partitionBy("month").parquet(target)
         elif "ord" in df.columns:
             tie = [c for c in ("slot", "seq") if c in df.columns]
             _by_ord(df, *tie).write.mode(NEW).parquet(target)

@@ -879,14 +879,19 @@ def q_write_reports(s, sf):
     """The five report tables, written and read again: each of their rows."""
     path = fx.work_folder(s)
     r = staged(s, sf)
-    log = ch.change_log(ch.build_changes(r), review.reviewer_changes(r, fx.decision_log(s, sf)))
+    by_ord = sinks.in_order(r)
+    # what takes joins or totals to make is written before it is laid out, which reads it twice
+    made = stage(review.reviewer_changes(r, fx.decision_log(s, sf)), fx.work_folder(s))
+    log = ch.change_log(ch.build_changes(by_ord), sinks.in_order(made))
     sinks.write_reports(
         path,
         {
-            "bills": reports.report_bills(r), "needs_review": reports.report_needs_review(r),
-            "duplicates": reports.report_duplicates(r), "change_log": reports.report_change_log(log),
-            "summary": reports.report_summary(r, HIGH_CENTS),
+            "bills": reports.report_bills(sinks.in_month_order(r)),
+            "needs_review": reports.report_needs_review(by_ord),
+            "duplicates": reports.report_duplicates(by_ord), "change_log": reports.report_change_log(log),
+            "summary": stage(reports.report_summary(r, HIGH_CENTS), fx.work_folder(s)),
         },
+        laid_out=["bills", "needs_review", "duplicates", "change_log"],
     )
 
     def rows(name, cents, *label):
