@@ -252,12 +252,15 @@ def rules_in_force(rules: Rules, decisions: DataFrame) -> Rules:
 
 
 def rules_from_decisions(
-    records: DataFrame, decisions: DataFrame, high_cents: int = S.DEFAULT_HIGH_CENTS
+    records: DataFrame, decisions: DataFrame, high_cents: int = S.DEFAULT_HIGH_CENTS,
+    folder: str | None = None,
 ) -> Rules:
     """The reviewer rules that category decisions in force have added.
 
     A rule maps the merchant of the decided record to the chosen category; of several for one
-    merchant, the last counts.  Undoing a decision takes its rule away.
+    merchant, the last counts.  Undoing a decision takes its rule away.  Cleaning reads rules more
+    than once: they are written to ``folder``, a new path, when it is given, and otherwise derived
+    from the records again each time.
     """
     adding = active_decisions(decisions).filter(_is("category") & F.col("rule_added").isNotNull())
     named = adding.join(
@@ -268,7 +271,7 @@ def rules_from_decisions(
         "norm_key", F.col("last.merchant").alias("alias"), F.col("last.after").alias("category"),
         F.lit("reviewer").alias("origin"), F.col("last.rule_added").alias("rule_id"),
     )
-    return Rules(df, high_cents)
+    return Rules(df if folder is None else stage(df, folder), high_cents)
 
 
 def decisions_from_bulk(

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark import schema as S
 from ledgerspark.functions import reasons as fr
 from ledgerspark.functions import text as ft
 from ledgerspark.operators import changes as ch
@@ -504,8 +505,10 @@ def q_rules_in_force(s, sf):
 
 def q_rules_from_decisions(s, sf):
     """Bills cleaned with the rules that decisions have added, some of them undone."""
-    added = review.rules_from_decisions(staged(s, sf), fx.decision_log(s, sf), HIGH_CENTS)
-    again = clean(dirty_bills(s, sf), rules.effective_rules(dirty_rules(s), added))
+    r = staged(s, sf)
+    added = review.rules_from_decisions(r, fx.decision_log(s, sf), HIGH_CENTS, fx.work_folder(s))
+    # the stored records hold the source rows as they were read
+    again = clean(r.select(S.SOURCE_ROW_COLUMNS), rules.effective_rules(dirty_rules(s), added))
     return again.groupBy("merchant", "category").agg(F.count("*").alias("rows"))
 
 

@@ -232,3 +232,19 @@ def test_tables_that_are_laid_out_are_made_once_and_keep_their_order(spark, tmp_
     stored = [r for part in files_in_order(spark, str(tmp_path / "ledger" / "changes")) for r in part]
     wanted = ch.build_changes(records).orderBy("ord", "slot").select("ord", "slot", "seq", "id", "field").collect()
     assert stored == wanted
+
+
+def test_rules_of_decisions_are_written_once(spark, tmp_path):
+    records = clean(sample.source_rows(spark), rules.builtin_rules(spark)).cache()
+    decided = review.decisions_from_bulk(
+        records.limit(5), "category", 1, dt.datetime(2026, 1, 1), after="Rent", rule_added=F.concat(F.lit("rule-"), "id")
+    )
+    folder = str(tmp_path / "rules")
+    plain = review.rules_from_decisions(records, decided)
+    stored = review.rules_from_decisions(records, decided, folder=folder)
+    assert stored.df.inputFiles() and all(folder in f for f in stored.df.inputFiles())
+    assert ck.check_policy(stored, plain).first()["ok"] and stored.df.count() == plain.df.count() > 0
+    # records hold their source rows: cleaning these again gives what cleaning the input gives
+    again = clean(records.select(S.SOURCE_ROW_COLUMNS), rules.effective_rules(rules.builtin_rules(spark), stored))
+    wanted = clean(sample.source_rows(spark), rules.effective_rules(rules.builtin_rules(spark), plain))
+    assert ck.check_repeatable(again, wanted).first()["ok"]
