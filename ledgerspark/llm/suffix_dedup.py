@@ -16,9 +16,11 @@ Sorting the suffixes of all positions is not affordable, so a sieve decides most
 3. The windows of undecided runs are the suffixes that are sorted.  Runs of one anchor meet in one
    task, many anchors at a time, where the suffix array of their bytes is built.  The runs of an
    anchor with more than ``GROUP`` different runs are cut into parts at fixed distances from the
-   anchor; a part that equals an earlier one is repeated as a whole, and the suffixes of the first
-   parts are range-partitioned by bytes and position, so that they are spread over tasks wherever
-   their bytes agree.  The first row of a partition compares with the last one of the one before.
+   anchor; a part that equals an earlier one is repeated as a whole.  All windows at the distances
+   of a part share its core, so a first part whose core no other first part has is decided too.
+   The suffixes of the others are range-partitioned by bytes and position, so that they are spread
+   over tasks wherever their bytes agree.  The first row of a partition compares with the last one
+   of the one before.
 
 The removed bytes are the union of the repeated windows.  Defined cases: a null text is empty;
 texts of less than ``LENGTH`` bytes lose nothing; a null id comes first; rows that repeat an id
@@ -40,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import slices, small, staged
+from ledgerspark.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
 
 LENGTH = 100
 GRAM = 32
@@ -276,8 +279,13 @@ def repeated_in_groups(found: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def run_parts(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, tag, lo, bytes)``: the runs cut where the distance to the anchor is a multiple
-    of ``PART``, so that runs which agree around the anchor have equal parts there."""
+    """``(doc_id, tag, lo, bytes, core)``: the runs cut where the distance to the anchor is a multiple
+    of ``PART``, so that runs which agree around the anchor have equal parts there.
+
+    ``core`` is a hash of the distances and of the bytes that all windows at these distances have in
+    common, whether the part has all of them or not.  Equal windows have equal distances to their
+    anchors and thus lie in parts of equal cores; two windows of one part are never equal.
+    """
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +296,7 @@ def run_parts(found: DataFrame, length: int = LENGTH) -> DataFrame:
                 sizes = np.array([len(t) for t in texts])
                 at = np.cumsum(sizes) - sizes
                 place = anchors(gram_hashes(_TABLE[np.frombuffer(b"".join(texts), np.uint8)]), length)[at] - at
-                rows, shift, pieces = [], [], []
+                rows, shift, pieces, step, skip = [], [], [], [], []
                 for i, (text, far) in enumerate(zip(texts, place, strict=True)):
                     count = len(text) - length + 1
                     # windows near the anchor end first: cuts where far - window passes a multiple
@@ -297,24 +305,41 @@ def run_parts(found: DataFrame, length: int = LENGTH) -> DataFrame:
                         rows.append(i)
                         shift.append(a)
                         pieces.append(text[a : b + length - 1])
+                        step.append(int(far - a) // PART)
+                        skip.append(int(far - a) % PART)
                 index = pa.array(rows)
                 lo = part.column("lo").to_numpy()[rows] + np.array(shift)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(index), part.column("tag").take(index), pa.array(lo), pa.array(pieces, pa.binary())], [*KEY, "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(index), part.column("tag").take(index), pa.array(lo), pa.array(pieces, pa.binary()), pa.array(step, pa.int32()), pa.array(skip, pa.int32())],
+                    [*KEY, "lo", "bytes", "step", "skip"],
+                )
 
-    return found.select(*KEY, "lo", "bytes").mapInArrow(cut, f"doc_id {kind}, tag long, lo long, bytes binary")
+    parts = found.select(*KEY, "lo", "bytes").mapInArrow(cut, f"doc_id {kind}, tag long, lo long, bytes binary, step int, skip int")
+    common = F.substring("bytes", F.col("skip") + 1, F.lit(length - PART + 1))
+    return parts.select(*KEY, "lo", "bytes", F.xxhash64("step", common).alias("core"))
 
 
 def repeated_when_spread(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(doc_id, tag, a, b)``: repeated bytes of open runs of very frequent anchors."""
     parts = staged(run_parts(found, length))
     place = F.struct(*KEY, "lo")
-    firsts = parts.groupBy(F.col("bytes").alias("_bytes")).agg(F.min(place).alias("_first"))
-    later = parts.join(firsts, F.col("bytes") == F.col("_bytes")).where(place > F.col("_first"))
+    # equal bytes have equal cores
+    firsts = parts.groupBy(F.col("bytes").alias("_bytes")).agg(F.min(place).alias("_first"), F.min("core").alias("core"))
+    firsts = staged(firsts)
+    later = parts.drop("core").join(firsts, F.col("bytes") == F.col("_bytes")).where(place > F.col("_first"))
     whole = later.select(*KEY, F.col("lo").alias("a"), (F.col("lo") + F.octet_length("bytes")).alias("b"))
-    single = repeated_suffixes(suffixes(firsts.select("_first.*", F.col("_bytes").alias("bytes")), length))
+    single = repeated_suffixes(suffixes(undecided_parts(firsts), length))
     return whole.union(single.select(*KEY, F.col("at").alias("a"), (F.col("at") + length).alias("b")))
 
 
+def undecided_parts(firsts: DataFrame) -> DataFrame:
+    """``(doc_id, tag, lo, bytes)``: first parts whose core other first parts have as well."""
+    shared = staged(firsts.groupBy("core").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("core"))
+    rows = BROADCAST_ROWS if fits_broadcast(shared) else None
+    met = lookup_join(firsts, shared, ["core"], "_bytes", rows, "inner")
+    return met.select("_first.*", F.col("_bytes").alias("bytes"))
+
+
 def suffixes(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(suffix, doc_id, tag, at)``: the first ``length`` bytes at each window of the open runs."""
     kind = found.schema["doc_id"].dataType.simpleString()

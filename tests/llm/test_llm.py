@@ -123,6 +123,29 @@ def test_repeats_against_brute_force(spark, odd, group, monkeypatch):
     assert sorted(rows_of(got), key=repr) == brute_repeats([(r[0], (r[1] or "").encode()) for r in odd_rows()], 100)
 
 
+def test_only_parts_with_a_common_core_are_cut_into_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 4)
+    rng = random.Random(11)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghij ", k=n))
+
+    phrase, passage = letters(60), (letters(25), letters(25))
+    rows = [(i, letters(150) + phrase + letters(150)) for i in range(40)]
+    rows += [(100 + i, letters(150) + passage[0] + phrase + passage[1] + letters(150)) for i in range(3)]
+    cut = []
+    real = suffix_dedup.suffixes
+
+    def seen(found, length):
+        cut.extend(r.doc_id for r in found.select("doc_id").collect())
+        return real(found, length)
+
+    monkeypatch.setattr(suffix_dedup, "suffixes", seen)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert sorted(rows_of(got), key=repr) == brute_repeats([(d, t.encode()) for d, t in rows], 100)
+    assert cut and set(cut) <= {100, 101, 102}, "the phrase alone makes no windows equal"
+
+
 def test_repeats_across_pieces_of_a_long_text(spark, none):
     rng = np.random.default_rng(3)
     text = "".join(chr(97 + x) for x in rng.integers(0, 26, suffix_dedup.PIECE + 400_000))
