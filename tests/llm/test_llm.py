@@ -146,6 +146,32 @@ def test_only_parts_with_a_common_core_are_cut_into_suffixes(spark, monkeypatch)
     assert cut and set(cut) <= {100, 101, 102}, "the phrase alone makes no windows equal"
 
 
+@pytest.mark.parametrize("copies, most", [(2, 0), (30, 400)])
+def test_few_windows_of_frequent_anchors_are_cut_into_suffixes(spark, monkeypatch, copies, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 8)
+    rng = random.Random(13)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefghij ", k=n))
+
+    # all anchors lie in the phrase, which makes no windows equal; each passage around it does
+    phrase = letters(60)
+    passages = [letters(25) + phrase + letters(25) for _ in range(60 // copies)]
+    rows = [(i, letters(150) + passages[i % len(passages)] + letters(150)) for i in range(60)]
+    cut = []
+    real = suffix_dedup.suffixes
+
+    def seen(found, length):
+        made = real(found, length)
+        cut.append(made.count())
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "suffixes", seen)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept")
+    assert sorted(rows_of(got), key=repr) == brute_repeats([(d, t.encode()) for d, t in rows], 100)
+    assert sum(cut) <= most, "windows of passages that few share, or that agree anyway"
+
+
 def test_repeats_across_pieces_of_a_long_text(spark, none):
     rng = np.random.default_rng(3)
     text = "".join(chr(97 + x) for x in rng.integers(0, 26, suffix_dedup.PIECE + 400_000))
